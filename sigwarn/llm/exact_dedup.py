@@ -88,5 +88,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     marked = docs.withColumn("_own", sha)
     on = F.col(f"d.{id_col}").eqNullSafe(F.col("v._id")) & (F.col("d._own") == F.col("v._sha"))
     once = marked.alias("d").join(verdict.alias("v"), on, "left_anti").drop("_own")
-    repeated = marked.alias("d").join(verdict.where("_kept").alias("v"), on, "left_semi").dropDuplicates([id_col, "_own"]).drop("_own")
-    return once.unionByName(repeated)
+    again = verdict.where("_kept")
+    if again.isEmpty():
+        return once
+    return once.unionByName(marked.alias("d").join(again.alias("v"), on, "left_semi").dropDuplicates([id_col, "_own"]).drop("_own"))

@@ -113,7 +113,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def keys_of(bitmap=None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found, owners, counts = [np.zeros(0, np.uint64)], [0][:0], []
+                found, owners, counts = [np.zeros(0, np.uint64)], [], []
                 for _, s in _sets(batch, n):
                     if len(s):
                         key = pieces(s, bounds, percent)
@@ -204,15 +204,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, base: DataFrame, n: int, perce
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs for each component, that with the smallest id, and all rows without words; the columns of docs.
 
-    Rows that repeat the smallest id of their component become one. Rows with a null id stay only where no row of
-    their component has an id.
+    Rows equal in id and text become one. Rows that repeat an id with other texts stay if one of them does. Rows with
+    a null id stay only where no row of their component has an id.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col, n, percent).select(F.col(id_col).alias("_id"), "n_shingles", "component_id"))
-    verdict = found.groupBy("_id").agg(F.max(F.expr("n_shingles > 0 and not (_id <=> component_id)")).alias("_gone"), F.count(F.lit(1)).alias("_rows"))
-    verdict = materialize(verdict.where("_gone or _rows > 1"))
+    found = near_duplicates(docs, id_col, text_col, n, percent)
+    stays = F.expr(f"n_shingles = 0 or `{id_col}` <=> component_id")
+    verdict = found.groupBy(F.col(id_col).alias("_id")).agg(F.max(stays).alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    verdict = materialize(verdict.where("not _stays or _rows > 1"))
     on = F.col(f"d.{id_col}").eqNullSafe(F.col("v._id"))
     once = docs.alias("d").join(verdict.alias("v"), on, "left_anti")
-    again = docs.alias("d").join(verdict.where("_rows > 1").alias("v"), on, "left_semi").dropDuplicates([id_col, text_col])
-    held = found.where("not (n_shingles > 0 and not (_id <=> component_id))").select("_id").distinct()
-    again = again.alias("d").join(held.alias("v"), on, "left_semi")
-    return once.unionByName(again)
+    again = verdict.where("_stays")
+    if again.isEmpty():
+        return once
+    return once.unionByName(docs.alias("d").join(again.alias("v"), on, "left_semi").dropDuplicates([id_col, text_col]))

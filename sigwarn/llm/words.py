@@ -98,9 +98,9 @@ def shingle_sets(words: Words, n: int) -> Iterator[np.ndarray]:
         if b - a >= n:
             yield np.unique(grams[a : b - n + 1])
         elif b > a:
-            whole = h[a] + np.uint64(b - a)
+            whole = h[a : a + 1] + np.uint64(b - a)
             for k in range(a + 1, b):
-                whole = mix(np.array([whole * odd + h[k]]))[0]
-            yield np.array([whole], dtype=np.uint64)
+                whole = mix(whole * odd + h[k : k + 1])
+            yield whole
         else:
             yield np.zeros(0, dtype=np.uint64)
