@@ -79,8 +79,8 @@ def oracle_sql() -> dict[str, str]:
                 sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
         "op6_exact_top_k": """
-            WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS e FROM embeddings
-                WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+            WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
             s AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e)::BIGINT AS score
                 FROM v q JOIN v x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id),
             r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
@@ -95,11 +95,11 @@ def oracle_sql() -> dict[str, str]:
                 sum(6 + length(n::VARCHAR) + 1 + n + 1 + m + 9)::BIGINT AS formatted_chars
             FROM e GROUP BY conv_id""",
         "op8_license_scan": rf"""
-            WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '{licenses.STOP}', '\1' || chr(10) || '\2', 'g'), '{licenses.LINES}'), x -> x <> '') AS s FROM documents),
-            i AS (SELECT doc_id, list_transform(s, x -> CASE WHEN regexp_matches(x, '{licenses.MARKS}')
+            WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '{licenses.STOP}', '\1' || chr(10) || '\2', 'g'), '{licenses.LINES}'), lambda x: x <> '') AS s FROM documents),
+            i AS (SELECT doc_id, list_transform(s, lambda x: CASE WHEN regexp_matches(x, '{licenses.MARKS}')
                 THEN coalesce(({known})[trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))], '') ELSE '' END) AS ids FROM s),
-            k AS (SELECT doc_id, ids, list_filter(ids, x -> x <> '') AS known, ',' || array_to_string(ids, ',') || ',' AS line FROM i),
-            f AS (SELECT *, list_filter([{rules}], x -> x IS NOT NULL) AS found FROM k)
+            k AS (SELECT doc_id, ids, list_filter(ids, lambda x: x <> '') AS known, ',' || array_to_string(ids, ',') || ',' AS line FROM i),
+            f AS (SELECT *, list_filter([{rules}], lambda x: x IS NOT NULL) AS found FROM k)
             SELECT doc_id, len(ids)::BIGINT AS n_sentences, len(known)::BIGINT AS n_known, coalesce(array_to_string(known, ','), '') AS sentence_ids,
                 coalesce(array_to_string(found, ','), '') AS licenses, len(found)::BIGINT AS n_licenses FROM f""",
         "op9_jaccard_join": rf"""
