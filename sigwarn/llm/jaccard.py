@@ -3,17 +3,19 @@
 All shingles have one global order, that of their 64-bit hashes. It is cut into fragments, so that every set is cut
 into pieces that only meet the same fragment of another set.
 
-Candidates. Two sets with similarity of t or more differ in at most d = (1-t)/(1+t) of their summed sizes. With d + 1
-+ SPARE fragments at least 1 + SPARE pieces are identical in both, so it is enough to look for sets that share a whole
-piece. The number of fragments depends on a class of sizes; a set is cut for its own class and for the next, as
-similar sets lie in the same or in neighbouring classes. Empty pieces are looked at only by sets with more than SPARE
-of them: others that agree have another piece in common.
+Candidates. Two sets with similarity of t or more differ in at most d = (1-t)/(1+t) of their summed sizes. With
+d + 1 + spare fragments at least 1 + spare pieces are identical in both, so sets that share fewer whole pieces with
+others are no candidates. The number of fragments depends on a class of sizes; a set is cut for its own class and for
+the next, as similar sets lie in the same or in neighbouring classes. Empty pieces are looked at only by sets with
+more than `spare` of them: others have another piece in common with all that are similar.
 
 Counts. For candidate pairs, overlaps are counted in each of FRAGMENTS fragments on their own and summed per pair.
+A shingle that no other candidate has can't be matched, which bounds a pair's overlap before it is counted.
 
-Groups of copies. Equal sets are one class from the start. A piece that many classes share first gives links to its
-smallest class only. Then pairs of one piece whose classes are not connected yet are all compared. A pair is left out
-only if it is in one component already, so components are exact and no group is expanded into all its pairs.
+Groups of copies. Equal sets are one class from the start. A piece that many sets share first gives links to one of
+them only, that with most in common with all others. Then pairs of one piece whose sets are not connected yet, have
+enough pieces in common and can be similar by the bound are all compared. A pair is left out only if it is in one
+component already or can't be similar, so components are exact and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from sigwarn.llm.components import components
 from sigwarn.llm.store import discard, materialize
 from sigwarn.llm.words import Words, byte_blocks, mix, shingle_sets
 
-#: Fragments in which overlaps are counted, and empty pieces that a set may have without looking at them.
-FRAGMENTS, SPARE = 8, 1
+#: Fragments in which overlaps are counted.
+FRAGMENTS = 8
 #: Bits of the largest prefilter that goes to the executors: 8 MB. Beyond, it lets more rows through; joins decide.
 MOST_BITS = 1 << 26
 
@@ -51,23 +53,24 @@ def identity(found: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(found))]))[0].view(np.int64))
 
 
-def pieces(found: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of a sorted set's pieces, in both classes that it is cut for."""
+def pieces(found: np.ndarray, bounds: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(class, least number of them that a similar set has, keys of the pieces) of a sorted set for both its classes."""
     n = len(found)
     own = int(np.searchsorted(bounds, n, side="right")) - 1
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)), out=total[1:])
-    high, keys = found >> np.uint64(32), []
+    high, out = found >> np.uint64(32), []
     for group in (own, own + 1):
         differ = 2 * int(bounds[group + 1] - 1) * (100 - percent) // (100 + percent)
-        k = differ + 1 + SPARE
-        edges = (np.arange(k + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(k)
-        cut = np.searchsorted(high, edges)
+        spare = 1 + differ // 6
+        k = differ + 1 + spare
+        cut = np.searchsorted(high, (np.arange(k + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(k))
         cut[-1] = n
         key = mix(mix(total[cut[1:]] - total[cut[:-1]]) + (np.arange(k, dtype=np.uint64) << np.uint64(32)) + np.uint64(group))
         full = cut[1:] > cut[:-1]
-        keys.append(key if k - full.sum() > SPARE else key[full])
-    return np.concatenate(keys)
+        empty = k - int(full.sum())
+        out.append((group, 1, key) if empty > spare else (group, 1 + spare - empty, key[full]))
+    return out
 
 
 def _prefilter(keys: DataFrame, name: str) -> np.ndarray:
@@ -113,50 +116,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def keys_of(bitmap=None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found, owners, counts = [np.zeros(0, np.uint64)], [], []
+                keys, facts = [np.zeros(0, np.uint64)], []
                 for _, s in _sets(batch, n):
                     if len(s):
-                        key = pieces(s, bounds, percent)
-                        found.append(key if bitmap is None else key[_passes(bitmap.value, key)])
-                        owners.append(identity(s))
-                        counts.append((len(s), len(found[-1])))
-                repeat = np.array([c[1] for c in counts], dtype=np.int64)
-                sid = np.repeat(np.array(owners, dtype=np.int64), repeat)
-                size = np.repeat(np.array([c[0] for c in counts], dtype=np.int64), repeat)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(sid), pa.array(size)], names=["key", "sid", "n"])
-
-        return texts.mapInArrow(run, "key long, sid long, n long")
-
-    # pieces that at least two different sets have, and their smallest set
-    shared = keys_of().groupBy("key").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first <> last").select("key", "first")
-    shared = materialize(shared)
+                        sid = identity(s)
+                        for group, need, key in pieces(s, bounds, percent):
+                            keys.append(key if bitmap is None else key[_passes(bitmap.value, key)])
+                            facts.append((sid, len(s), group, need, len(keys[-1])))
+                table = np.array(facts, dtype=np.int64).reshape(-1, 5)
+                rows = np.repeat(table[:, :4], table[:, 4], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)]], names=["key", "sid", "n", "g", "need"])
+
+        return texts.mapInArrow(run, "key long, sid long, n long, g long, need long")
+
+    # pieces that at least two different sets have
+    several = lambda df: df.groupBy("key").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y").select("key")
+    shared = materialize(several(keys_of()))
     bitmap = docs.sparkSession.sparkContext.broadcast(_prefilter(shared, "key"))
     members = materialize(keys_of(bitmap).distinct().join(shared, "key"))
-    stars = members.where("sid <> first").select(F.least("sid", "first").alias("a"), F.greatest("sid", "first").alias("b")).distinct()
-    links = materialize(_verified(stars, texts, base, n, percent))
+    for _ in range(2):
+        enough = members.groupBy("sid", "g", "need").agg(F.count(F.lit(1)).alias("c")).where("c >= need").select("sid", "g")
+        fewer = materialize(members.join(enough, ["sid", "g"], "left_semi"))
+        discard(members)
+        members = materialize(fewer.join(several(fewer), "key", "left_semi"))
+        discard(fewer)
+    parts = _parts(members.select(F.col("sid").alias("set_id")).distinct(), texts, n)
+    # shingles of one candidate only can't be matched
+    alone = parts.select("sid", F.explode("part").alias("s")).groupBy("s").agg(F.min("sid").alias("sid"), F.count(F.lit(1)).alias("c")).where("c = 1").groupBy("sid").agg(F.count(F.lit(1)).alias("u"))
+    wide = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    weight = members.join(wide, "key").groupBy("sid").agg(F.sum("c").alias("weight"))
+    facts = weight.join(alone, "sid", "left").select("sid", "weight", F.coalesce("u", F.lit(0)).alias("u"))
+    members = materialize(members.join(facts, "sid").withColumn("m", F.col("n") - F.col("u")).drop("u"))
+    can = f"100 * least(a.m, b.m) >= {percent} * (a.n + b.n - least(a.m, b.m))"
+    middle = members.groupBy("key").agg(F.max(F.struct("weight", "sid", "n", "m")).alias("b")).select("key", "b.sid", "b.n", "b.m")
+    stars = members.alias("a").join(middle.alias("b"), F.expr("a.key = b.key and a.sid <> b.sid and " + can)).select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
+    stars = materialize(stars)
+    links = materialize(_verified(stars, parts, percent))
     found = components(links)
-    members = members.join(found.select(F.col("node").alias("sid"), "component"), "sid", "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("component"))
+    members = members.join(found.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     members = materialize(members)
+    # pieces of more than one component, and all pairs of sets between them that can be similar
     open_keys = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = members.join(open_keys, "key")
-    close = F.expr(f"a.key = b.key and a.component < b.component and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)")
-    more = left.alias("a").join(left.alias("b"), close).select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
-    more = materialize(more.join(stars_of(members, shared), ["a", "b"], "left_anti"))
+    left = members.where(f"100 * m >= {percent} * n").join(open_keys, "key")
+    pairs = left.alias("a").join(left.alias("b"), F.expr("a.key = b.key and a.component <> b.component and a.sid < b.sid and " + can))
+    pairs = pairs.groupBy(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), F.col("a.g").alias("g")).agg(F.count(F.lit(1)).alias("c"), F.max(F.least("a.need", "b.need")).alias("need"))
+    more = materialize(pairs.where("c >= need").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        extra = materialize(_verified(more, texts, base, n, percent))
+        extra = materialize(_verified(more, parts, percent))
         if not extra.isEmpty():
             links = materialize(links.unionByName(extra))
             found = components(links)
-    discard(shared)
+    for used in (shared, parts, stars, members, more):
+        discard(used)
     return _labelled(base, links, found, id_col)
 
 
-def stars_of(members: DataFrame, shared: DataFrame) -> DataFrame:
-    """The pairs of a set and the smallest set of one of its pieces, which were compared first."""
-    pairs = members.join(shared, "key").where("sid <> first")
-    return pairs.select(F.least("sid", "first").alias("a"), F.greatest("sid", "first").alias("b")).distinct()
-
-
 def _labelled(base: DataFrame, links: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     first = base.where("n > 0").groupBy("set_id").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
@@ -170,10 +184,8 @@ def _labelled(base: DataFrame, links: DataFrame, found: DataFrame, id_col: str)
     )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, base: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set identifiers whose sets are similar, with their overlap."""
-    pairs = materialize(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+def _parts(wanted: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(sid, fragment, n, part): the shingles of the wanted sets in each fragment, once for each set."""
     wanted = materialize(wanted)
     bitmap = texts.sparkSession.sparkContext.broadcast(_prefilter(wanted, "set_id"))
 
@@ -191,14 +203,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, base: DataFrame, n: int, perce
             )
 
     parts = texts.mapInArrow(run, "sid long, fragment int, n long, part array<long>").join(wanted.withColumnRenamed("set_id", "sid"), "sid", "left_semi")
-    parts = materialize(parts.dropDuplicates(["sid", "fragment"]))
-    left = parts.select(F.col("sid").alias("a"), "fragment", F.col("part").alias("p"))
-    right = parts.select(F.col("sid").alias("b"), "fragment", F.col("part").alias("q"))
-    overlaps = pairs.join(left, "a").join(right, ["b", "fragment"]).groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("p", "q"))).alias("overlap"))
-    size = base.where("n > 0").groupBy("set_id").agg(F.min("n").alias("n"))
-    size = size.join(wanted, "set_id", "left_semi")
-    sized = overlaps.join(size.select(F.col("set_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.where(f"100 * overlap >= {percent} * (na + nb - overlap)").select("a", "b", "overlap")
+    return materialize(parts.dropDuplicates(["sid", "fragment"]))
+
+
+def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set identifiers whose sets are similar, with their overlap."""
+    left = parts.select(F.col("sid").alias("a"), "fragment", F.col("n").alias("na"), F.col("part").alias("p"))
+    right = parts.select(F.col("sid").alias("b"), "fragment", F.col("n").alias("nb"), F.col("part").alias("q"))
+    counted = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("p", "q")).alias("c"))
+    overlaps = counted.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("overlap"))
+    return overlaps.where(f"100 * overlap >= {percent} * (na + nb - overlap)").select("a", "b", "overlap")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
