@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from sigwarn.plans import evaluation  # noqa: E402, F401
+from sigwarn.plans import evaluation, labelling, series  # noqa: E402, F401
