@@ -13,9 +13,11 @@ Counts. For candidate pairs, overlaps are counted in each of FRAGMENTS fragments
 A shingle that no other candidate has can't be matched, which bounds a pair's overlap before it is counted.
 
 Groups of copies. Equal sets are one class from the start. A piece that many sets share first gives links to one of
-them only, that with most in common with all others. Then pairs of one piece whose sets are not connected yet, have
-enough pieces in common and can be similar by the bound are all compared. A pair is left out only if it is in one
-component already or can't be similar, so components are exact and no group is expanded into all its pairs.
+them only, that with most in common with all others. Then pieces of sets that are not connected yet are looked at. A
+set lists its rarest ones, as many as reach to meet all similar sets. In small groups, pairs that can be similar are
+compared. In large ones, sets are described by their difference from one of them, and sets are compared only where
+their descriptions meet. A pair is left out only if it is in one component already or can't be similar, so components
+are exact and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigwarn.llm.components import components
@@ -35,6 +37,8 @@ from sigwarn.llm.words import Words, byte_blocks, mix, shingle_sets
 FRAGMENTS = 8
 #: Bits of the largest prefilter that goes to the executors: 8 MB. Beyond, it lets more rows through; joins decide.
 MOST_BITS = 1 << 26
+#: Sets of one piece up to which all their pairs are looked at; larger groups are compared by what they differ in.
+SMALL = 16
 
 _ONE = np.uint64(1)
 
@@ -155,12 +159,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links)
     members = members.join(found.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     members = materialize(members)
-    # pieces of more than one component, and all pairs of sets between them that can be similar
+    # pieces of more than one component: pairs of sets between them that can be similar
     open_keys = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = members.where(f"100 * m >= {percent} * n").join(open_keys, "key")
-    pairs = left.alias("a").join(left.alias("b"), F.expr("a.key = b.key and a.component <> b.component and a.sid < b.sid and " + can))
-    pairs = pairs.groupBy(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), F.col("a.g").alias("g")).agg(F.count(F.lit(1)).alias("c"), F.max(F.least("a.need", "b.need")).alias("need"))
-    more = materialize(pairs.where("c >= need").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
+    few, many = _rarest(members.where(f"100 * m >= {percent} * n").join(open_keys, "key"))
+    room = "least(a.pieces - a.i, b.pieces - b.i) + 1 >= greatest(a.need, b.need)"
+    pairs = few.alias("a").join(few.alias("b"), F.expr(f"a.key = b.key and a.component <> b.component and a.sid < b.sid and {room} and {can}")).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
+    if not many.isEmpty():
+        pairs = pairs.unionByName(_across_groups(many, parts, percent))
+    more = materialize(pairs.distinct().join(stars, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         extra = materialize(_verified(more, parts, percent))
         if not extra.isEmpty():
@@ -171,6 +177,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _labelled(base, links, found, id_col)
 
 
+def _rarest(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of pieces that up to SMALL sets list, and those of the other pieces.
+
+    A set that must share `need` of its pieces lists all but need - 1 of them, the rarest first: two similar sets
+    list a common piece. i is the place of a piece in the list.
+    """
+    sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("w"))
+    whole = Window.partitionBy("sid", "g")
+    placed = left.join(sizes, "key").withColumns({"i": F.row_number().over(whole.orderBy("w", "key")), "pieces": F.count(F.lit(1)).over(whole)})
+    listed = materialize(placed.where("i <= pieces - need + 1").drop("w"))
+    again = listed.groupBy("key").agg(F.count(F.lit(1)).alias("w"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "w")
+    few = materialize(listed.join(again.where(F.col("w") <= SMALL), "key").drop("w"))
+    many = materialize(listed.join(again.where(F.col("w") > SMALL), "key").drop("w"))
+    discard(listed)
+    return few, many
+
+
+def _across_groups(many: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that can be similar of sets that list a piece of a large group and are not connected.
+
+    Each piece has a centre, that set with most in common with all others, and each of its sets is described by what
+    it and the centre don't both have. The symmetric difference of two sets is that of their descriptions, and one of
+    two sets that are not connected is not similar to the centre either, so its description is longer than the
+    difference of similar sets. Such a pair is similar only if the descriptions have something in common. Of a
+    description, as many of the rarest shingles are listed as similar sets may differ in, and one more; places in the
+    lists bound what two descriptions can share.
+    """
+    middle = many.groupBy("key").agg(F.max(F.struct("weight", "sid", "component")).alias("b")).select("key", F.col("b.sid").alias("c"), F.col("b.component").alias("c_component"))
+    near = many.join(middle, "key").where("sid <> c").groupBy("c", "sid").agg(F.first("component").alias("component"), F.first("n").alias("n"))
+    near = near.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    none = F.array().cast("array<long>")
+    p, q = F.coalesce("p", none), F.coalesce("q", none)
+    own = near.join(parts.select("sid", "fragment", F.col("part").alias("p")), ["sid", "fragment"], "left")
+    both = own.join(parts.select(F.col("sid").alias("c"), "fragment", F.col("part").alias("q")), ["c", "fragment"], "left")
+    unlike = both.select("c", "sid", "component", "n", F.concat(F.array_except(p, q), F.array_except(q, p)).alias("d"))
+    described = materialize(unlike.select("c", "sid", "component", "n", F.explode("d").alias("s")))
+    often = described.groupBy("c", "s").agg(F.count(F.lit(1)).alias("w"))
+    whole = Window.partitionBy("c", "sid")
+    placed = described.join(often, ["c", "s"]).withColumns({"i": F.row_number().over(whole.orderBy("w", "s")), "c_d": F.count(F.lit(1)).over(whole)})
+    listed = materialize(placed.where(f"w > 1 and i <= ({100 - percent} * n) div {percent} + 1").drop("w"))
+    differ = f"{100 + percent} * (a.c_d + b.c_d - 2 * (least(a.c_d - a.i, b.c_d - b.i) + 1)) <= {100 - percent} * (a.n + b.n)"
+    sizes = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
+    meet = listed.alias("a").join(listed.alias("b"), F.expr(f"a.c = b.c and a.s = b.s and a.sid < b.sid and a.component <> b.component and {sizes} and {differ}"))
+    with_centre = many.join(middle, "key").where("component <> c_component").select(F.least("sid", "c").alias("a"), F.greatest("sid", "c").alias("b"))
+    return meet.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).unionByName(with_centre).distinct()
+
+
 def _labelled(base: DataFrame, links: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     first = base.where("n > 0").groupBy("set_id").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))

@@ -60,25 +60,51 @@ def test_rows_equal_in_id_and_text_become_one(spark):
     assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(df.unionByName(df)).collect()) == [1, 2]
 
 
-@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
-def test_jaccard_components(spark, texts, n, percent):
+def brute_components(texts, n, percent):
     def shingles(t):
         w = [x for x in re.split("[\x20\x09-\x0d]+", (t or "").lower()) if x]
         return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
     sets = [shingles(t) for t in texts]
-    root = list(range(len(sets)))
-    for _ in sets:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if a and b and 100 * len(a & b) >= percent * len(a | b):
-                    root[i] = root[j] = min(root[i], root[j])
+    links = [(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if a and b and 100 * len(a & b) >= percent * len(a | b)]
+    root, last = list(range(len(sets))), None
+    while last != root:
+        last = list(root)
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    return sets, root
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_components(spark, texts, n, percent):
+    sets, root = brute_components(texts, n, percent)
     got = {r["doc_id"]: r for r in jaccard.near_duplicates(documents(spark, texts), n=n, percent=percent).collect()}
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(sets))] == [(len(s), root[i]) for i, s in enumerate(sets)]
     kept = {r["doc_id"] for r in jaccard.drop_near_duplicates(documents(spark, texts), n=n, percent=percent).collect()}
     assert kept == {i for i, s in enumerate(sets) if not s or root[i] == i}
 
 
+@pytest.mark.parametrize(("n", "percent", "small"), [(3, 90, 16), (3, 90, 1), (5, 80, 1)])
+def test_jaccard_in_large_groups_that_one_set_does_not_connect(spark, monkeypatch, n, percent, small):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    rng, made = random.Random(n * 100 + small), []
+    for length, edits in ((60, 2), (130, 3), (131, 4), (400, 14)):
+        base = [f"w{length}x{i}" for i in range(length)]
+        choices = [(rng.randrange(length), f"new{k}") for k in range(edits * 4)]
+        for _ in range(45):
+            w = list(base)
+            for at, word in rng.sample(choices, rng.randint(1, edits)):
+                w[at] = word
+            for _ in range(rng.randint(0, edits)):
+                w[rng.randrange(len(w))] = f"own{rng.random()}"
+            made.append(" ".join(w[: rng.choice((length, length - 2))]))
+    rng.shuffle(made)
+    sets, root = brute_components(made, n, percent)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(documents(spark, made), n=n, percent=percent).collect()}
+    assert [got[i] for i in range(len(sets))] == root
+    assert 4 < len(set(root)) < len(root) - 20
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
