@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sigwarn.functions import r6
 from sigwarn.operators import ordered as o
+from sigwarn.operators import windows as w
 from sigwarn.plans.evaluation import block_sql
+from sigwarn.plans.labelling import GAP
 from sigwarn.registry import query
 from sigwarn.sources.tables import CELLS, SCORED, matrices, scored
 
@@ -106,3 +108,26 @@ def h2_z_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = matrices(spark, sf_dir).withColumn("m", F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n)
     rows = rows.withColumn("d", F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - F.col("m")) * (x - F.col("m"))) / n))
     return rows.select("seq", r6(F.col("m")).alias("mean"), r6((F.array_max(a) - F.col("m")) / (F.col("d") + 1e-8)).alias("top_z"))
+
+
+def block_events(blocked: DataFrame) -> DataFrame:
+    """Blocks as events: (subject_id, recording_id, event_idx, onset, abs_onset, abs_offset), seconds."""
+    second = lambda c: F.floor(c / F.lit(1_000_000)).cast("long")
+    b = blocked.where("block is not null").groupBy("subject_id", F.col("block").alias("event_idx")).agg(second(F.min("t_us")).alias("abs_onset"), second(F.max("t_us")).alias("abs_offset"))
+    return b.withColumn("recording_id", F.floor(F.col("abs_onset") / 86_400).cast("long")).withColumn("onset", F.col("abs_onset") - F.col("recording_id") * 86_400)
+
+
+@query(f"WITH {BLOCKS}, b AS (SELECT subject_id, block, min(t_us) // 1000000 AS a, max(t_us) // 1000000 AS z FROM ab WHERE block IS NOT NULL GROUP BY ALL), k AS (SELECT subject_id, block, a - lag(z) OVER (PARTITION BY subject_id ORDER BY a, block) AS since FROM b) SELECT subject_id, seq, ab.label FROM ab LEFT JOIN k USING (subject_id, block) WHERE since IS NULL OR since >= {GAP}")
+def c4_lead_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = blocked(spark, sf_dir)
+    return w.lead_only(rows, o.classify_leads(block_events(rows), BY, GAP, 0), BY).select("subject_id", "seq", "label")
+
+
+@query(f"WITH {LEVEL}, p AS (SELECT subject_id, (t_us // 1000000 + 43200) // 86400 AS rec, min(t_us) // 1000000 % 86400 AS s, max(t_us) // 1000000 % 86400 AS e FROM lv GROUP BY ALL), q AS (SELECT subject_id, rec, s, CASE WHEN e < s THEN e + 86400 ELSE e END AS e FROM p), r AS (SELECT *, coalesce((s < lag(e) OVER (PARTITION BY subject_id ORDER BY rec) - 3600)::INTEGER, 0) AS roll FROM q) SELECT subject_id, rec, (s + 86400 * sum(roll) OVER v)::BIGINT AS abs_start, (e + 86400 * sum(roll) OVER v)::BIGINT AS abs_end FROM r WINDOW v AS (PARTITION BY subject_id ORDER BY rec)")
+def e1_rebuild_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings from noon to noon that only tell the time of day of their start and end."""
+    second = F.floor(F.col("t_us") / 1_000_000).cast("long")
+    clock = lambda c: F.format_string("%02d:%02d:%02d", F.floor(c % 86_400 / 3600), F.floor(c % 3600 / 60), c % 60)
+    spans = level(spark, sf_dir).groupBy("subject_id", F.floor((second + 43_200) / 86_400).cast("long").alias("rec")).agg(F.min(second).alias("a"), F.max(second).alias("z"))
+    told = spans.select("subject_id", "rec", clock(F.col("a")).alias("start_clock"), clock(F.col("z")).alias("end_clock"))
+    return o.rebuild_clock(told, BY, "rec").select("subject_id", "rec", "abs_start", "abs_end")
