@@ -1,11 +1,14 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
 Text is cut into sentences, each is normalised, and known licence sentences become identifiers. A licence is found
-where its rule, an ordered list of identifiers, matches a run of consecutive sentences of the document.
+where its rule, an ordered list of identifiers, matches sentences of the document. Two cuts are read: by lines, for
+one-line notices, and by paragraphs with wrapped lines joined, for complete licence texts.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +48,55 @@ STOP, LINES = r"([.!?;])[ \t]+([^0-9 \t])", r"[\r\n]+"
 #: Sentences without one of these are not looked up; each known sentence has one.
 MARKS = r"(?i)licen[sc]e|permission|permitted|warrant|redistribut|copyright|reserved"
 
+# Complete sentences of licence texts, their variants under one identifier, after REWRITES.
+_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+_REDISTRIBUTE = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_AS_IS = "this software is provided by the holder as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+_FREE = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+_USEFUL = "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+_APACHE = "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"
+_OBTAIN = "you may obtain a copy of the license at"
+_CC = {"ccby4": "attribution", "ccbync4": "attribution noncommercial", "ccbysa4": "attribution sharealike"}
+TEXT_SENTENCES = {
+    "mit-grant": [_GRANT],
+    "mit-keep": [f"the above copyright notice and this permission notice {x}shall be included in all copies or substantial portions of the software" for x in ("", "including the next paragraph ")],
+    "gpl3-free": [f"{_FREE} {x}" for by in ("as published by the free software foundation ", "") for x in (f"{by}either version 3 of the license or at your option any later version", f"{by}either version 3 or at your option any later version", f"{by}version 3 of the license", f"{by}version 3")],
+    "gpl-warranty": [_USEFUL],
+    "gpl3-title": ["gnu general public license version 3 29 june 2007"],
+    "gpl-verbatim": ["everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"],
+    "bsd-redistribution": [_REDISTRIBUTE],
+    "bsd-asis": [_AS_IS],
+    "apache2-use": [_APACHE],
+    "apache2-copy": [_OBTAIN, *[f"{_OBTAIN} {x} www apache org licenses license 2 0" for x in ("http", "https")]],
+    "apache2-title": [f"apache license version 2 0 january 2004{x}" for x in ("", " http www apache org licenses", " https www apache org licenses")],
+    "apache2-terms": ["terms and conditions for use reproduction and distribution"],
+} | {f"{k}-licensed": [f"this work is licensed under the creative commons {v} 4 0 international {x}license" for x in ("", "public ")] for k, v in _CC.items()} | {
+    f"{k}-accept": [f"by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons {v} 4 0 international public license public license"] for k, v in _CC.items()
+}
+#: Variants of licence texts: the licence's holder or program, and a line before the first sentence.
+REWRITES = [
+    (r"^this software is provided by (?:[a-z0-9]+ ){1,20}?as is ", "this software is provided by the holder as is "),
+    (r"^(?:[a-z0-9]+ ){1,8}?(is free software you can redistribute it |is distributed in the hope that it will be useful )", "this program $1"),
+    (r"^copyright (?:[a-z0-9]+ ){1,12}?everyone is permitted ", "everyone is permitted "),
+    (r"^this work is licensed under a ", "this work is licensed under the "),
+]
+# Licence rules of complete texts, the identifiers in order and the most other sentences between two.
+TEXT_RULES = {
+    "Apache-2.0": [(["apache2-use", "apache2-copy"], 0), (["apache2-title", "apache2-terms"], 2)],
+    "MIT": [(["mit-grant", "mit-keep"], 2)],
+    "GPL-3.0": [(["gpl3-free", "gpl-warranty"], 2), (["gpl3-title", "gpl-verbatim"], 3)],
+    "CC-BY-NC-4.0": [(["ccbync4-licensed"], 0), (["ccbync4-accept"], 0)],
+    "CC-BY-4.0": [(["ccby4-licensed"], 0), (["ccby4-accept"], 0)],
+    "CC-BY-SA-4.0": [(["ccbysa4-licensed"], 0), (["ccbysa4-accept"], 0)],
+    # numbered conditions and their numbers lie between
+    "BSD": [(["bsd-redistribution", "bsd-asis"], 16)],
+}
+#: A wrapped sentence ends at a stop before a blank or line end, at a line without letters and digits, and at a colon
+#: that ends a line before a number or capital. Stops of company names don't count.
+TEXT_STOP = r"(?<!\b(?i:inc|ltd|corp|co))[.!?][\"')\]]*(?=\s)|\r?\n[^\p{L}\p{N}\r\n]*(?=\r?\n)|:[ \t]*\r?\n(?=[^\p{L}\p{N}\r\n]*[A-Z0-9])"
+#: Texts without one of these hold no sentence of TEXT_SENTENCES.
+TEXT_MARKS = r"(?i)license|permission|redistribution|\bas is\b|warranty|conditions for use"
+
 
 def normalise(sentence: Column) -> Column:
     """Lower case of A-Z; every run of anything but a-z and digits is one blank; none at the ends."""
@@ -62,20 +114,41 @@ def sentence_ids(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.regexp_replace(text, STOP, "$1\n$2"), LINES), lambda s: s != ""), look)
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict[str, list[list[str]]] | None = None) -> DataFrame:
+def text_sentence_ids(text: Column) -> Column:
+    """The same of the complete sentences of a text whose wrapped lines are joined, by TEXT_SENTENCES."""
+    known = F.create_map(*[F.lit(x) for name, variants in TEXT_SENTENCES.items() for s in variants for x in (s, name)])
+
+    def look(s: Column) -> Column:
+        for pattern, to in REWRITES:
+            s = F.regexp_replace(s, pattern, to)
+        return F.coalesce(F.try_element_at(known, s), F.lit(""))
+
+    cut = F.filter(F.transform(F.split(text, TEXT_STOP), normalise), lambda s: s != "")
+    return F.when(text.rlike(TEXT_MARKS), F.transform(cut, look)).otherwise(F.array().cast("array<string>"))
+
+
+def scan_licenses(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict[str, list[list[str]]] | None = None, text_rules: dict[str, list[tuple[list[str], int]]] | None = None
+) -> DataFrame:
     """doc_id, n_sentences, n_known, sentence_ids (comma-joined known ones), licenses (comma-joined, in order of rules), n_licenses.
 
-    A rule matches where its identifiers follow one another with no other sentence between them. Null texts count as
-    empty: no sentences, '' and 0. Repeated rows are scanned each; null ids stay null. An empty table gives an empty
+    A rule matches where its identifiers follow one another with no other sentence between them; a text rule (of
+    TEXT_RULES unless rules are given) where they follow in the joined text with no more sentences between them than
+    it allows. n_sentences counts the cut by lines; known sentences of the joined text come after those of the lines,
+    without ones that these have. Null texts count as empty: no sentences, '' and 0. Repeated rows are scanned each; null ids stay null. An empty table gives an empty
     result; other columns are not looked at.
     """
+    text_rules = (TEXT_RULES if rules is None else {}) if text_rules is None else text_rules
     rules = RULES if rules is None else rules
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.select(F.col(id_col), sentence_ids(text).alias("_ids"))
-    known = F.filter("_ids", lambda s: s != "")
-    line = F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(","))
-    match = lambda variants: F.when(_any([line.contains("," + ",".join(v) + ",") for v in variants]), True)
-    found = F.array_compact(F.array(*[F.when(match(v), F.lit(name)) for name, v in rules.items()]))
+    out = docs.select(F.col(id_col), sentence_ids(text).alias("_ids"), text_sentence_ids(text).alias("_joined"))
+    named = lambda c: F.filter(c, lambda s: s != "")
+    known = F.concat(named("_ids"), F.array_except(named("_joined"), named("_ids")))
+    line, joined = [F.concat(F.lit(","), F.array_join(c, ","), F.lit(",")) for c in ("_ids", "_joined")]
+    gap = lambda ids, most: "," + f",(?:[^,]*,){{0,{most}}}".join(map(re.escape, ids)) + ","
+    match = lambda name, variants: F.when(_any([line.contains("," + ",".join(v) + ",") for v in variants] + [joined.rlike(gap(*v)) for v in text_rules.get(name, [])]), True)
+    names = [*rules, *[n for n in text_rules if n not in rules]]
+    found = F.array_compact(F.array(*[F.when(match(name, rules.get(name, [])), F.lit(name)) for name in names]))
     out = out.select(id_col, F.size("_ids").cast("long").alias("n_sentences"), known.alias("_known"), F.when(F.size(known) > 0, found).otherwise(F.array().cast("array<string>")).alias("_found"))
     return out.select(
         id_col, "n_sentences", F.size("_known").cast("long").alias("n_known"), F.array_join("_known", ",").alias("sentence_ids"), F.array_join("_found", ",").alias("licenses"), F.size("_found").cast("long").alias("n_licenses")

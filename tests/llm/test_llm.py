@@ -203,6 +203,80 @@ def test_license_rules_need_order(spark):
     assert [got[i] for i in range(6)] == ["MIT", "", "", "MIT", "", "CC-BY-NC-4.0"]
 
 
+GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+KEEP = """The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+MIT = f"""MIT License
+
+Copyright (c) 2020 A. Person
+
+{GRANT}
+{KEEP}
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+GPL = """This file is part of Thing.
+
+Thing is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+Thing is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+BSD = """Copyright 2011, Some Company Inc.
+All code below.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. Neither the name of Some Company Inc. nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY SOME COMPANY INC. AND CONTRIBUTORS "AS IS" AND ANY
+EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE HOLDER BE LIABLE.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not
+use this file except in compliance with the License. You may obtain a copy of
+the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+CC = """This work is licensed under a Creative Commons
+Attribution-ShareAlike 4.0 International License.
+"""
+
+
+def test_complete_wrapped_licenses_are_found(spark):
+    hashed, starred = ("\n".join(f"{mark} {x}".rstrip() for x in BSD.splitlines()) for mark in ("#", " *"))
+    one_line = "\n\n".join(" ".join(p.split()) for p in MIT.split("\n\n"))
+    old, far = GPL.replace("version 3", "version 2"), GRANT + "\n" + "Other words. " * 9 + "\n\n" + KEEP
+    cases = [(MIT, "MIT"), (one_line, "MIT"), (MIT.replace("\n", "\r\n"), "MIT"), (GPL, "GPL-3.0"), (old, ""), (BSD, "BSD"), (hashed, "BSD"), (starred, "BSD")]
+    cases += [(APACHE, "Apache-2.0"), (CC, "CC-BY-SA-4.0"), (GRANT, ""), (KEEP + "\n" + GRANT, ""), (far, ""), (MIT + "\n" + BSD, "MIT,BSD")]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(documents(spark, [t for t, _ in cases])).collect()}
+    assert [got[i]["licenses"] for i in range(len(cases))] == [want for _, want in cases]
+    assert got[0]["sentence_ids"] == "mit-grant,mit-keep" and got[0]["n_known"] == 2
+
+
 def test_base_spans_equal_the_plain_rules():
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
