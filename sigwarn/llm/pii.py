@@ -1,7 +1,8 @@
 """Personal data by weak supervision.
 
-Base kinds (email, ip, card, phone) come from fixed rules and always stay. Further spans come from candidates: longer
-tokens and digit groups outside base spans. Labelers vote on each (its form by regular expressions, words of a
+Base kinds (email, ip, card, phone) come from fixed rules and always stay. Further spans come from candidates
+outside base spans: longer tokens with a digit, the value after a gazetteer word or an assignment (of any length, with
+or without digits), and numbers whose groups blanks, dots, dashes or brackets part. Labelers vote on each (its form by regular expressions, words of a
 gazetteer before it, the characters around it, its mix of characters); they may abstain. Expectation-maximisation over
 the counts of all vote patterns of the corpus estimates how reliable each labeler is, and a logistic span classifier is
 trained on the resulting probabilities with the votes and the form of the candidate as features. Candidates that it
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,6 +28,8 @@ KINDS = ("email", "ip", "card", "phone", "secret", "number")
 BASE = KINDS[:4]
 #: A candidate is a span when the classifier's probability is at least this.
 THRESHOLD = 0.5
+#: Bounds of how often a labeler is right, and of the share of candidates that are personal data.
+RIGHT, SHARE = (0.6, 0.95), (0.2, 0.5)
 #: Characters before and after a candidate that the context labelers see.
 CONTEXT = 24
 
@@ -45,6 +49,17 @@ _NUMBER_WORD = re.compile(r"\b(?:" + "|".join(map(re.escape, NUMBER_WORDS)) + r"
 _KEY_FORM = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,}\Z|[0-9a-f]{16,}\Z")
 _NUMBER_FORM = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}\Z|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\Z")
 _ASSIGN = re.compile(r"[=:]\s*[\"']?\Z")
+# A value: in quotes up to the closing one, else up to a blank; after a word and a verb, an assignment or a blank, or after any assignment.
+_QUOTED = r"\"(?P<q>[^\"\n]{1,200})\"|'(?P<s>[^'\n]{1,200})'|(?P<v>[^\s\"'`<>]{1,200})"
+_GIVEN = r"[\"']?(?:[ \t]*(?P<sign>[:=]+>?)[ \t]*\n?[ \t]*|[ \t]+(?:is|ist|lautet|es|est|no\.?|nr\.?|number)\b[ \t]*(?P<verb>:?)[ \t]*|\.?[ \t]+)"
+_WORDS = "|".join(re.escape(w) for w in sorted(SECRET_WORDS + NUMBER_WORDS, key=len, reverse=True))
+_AFTER_WORD = re.compile(rf"(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z])(?=[A-Z])))(?P<word>{_WORDS})(?![^\W_]){_GIVEN}(?:{_QUOTED})", re.I)
+_AFTER_SIGN = re.compile(rf"(?:=|:(?=[ \t\"']))[ \t]*(?:{_QUOTED})")
+_GROUPS = re.compile(r"(?<![\w.+-])[(\[]?[0-9](?:[ ().\[\]/-]{0,2}[0-9])+(?![\w-])")
+_GROUP_FORM = re.compile(r"[(\[]?[0-9]{3}[)\]][ .-]?[0-9]{3}[ .-][0-9]{4}\Z|[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}\Z|[(\[]?0[0-9]{1,4}[)\]]?[ /-][0-9]{3,}(?:[ -][0-9]{2,})*\Z|[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}\Z")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: What stands where a value would, but is none: calls, placeholders, masks and words of programs.
+_NO_VALUE = re.compile(r"[\w.]+\(|\$[({]|%\(|\{\{|//|(?:none|null|nil|true|false|required|optional|string|str)\Z|[*x.…_-]+\Z", re.I)
 LABELERS = ("form", "gazetteer", "assignment", "mixture", "digits")
 
 
@@ -88,32 +103,118 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
-    """(kind, start, end, pattern) of the candidates outside base spans; pattern: a vote of each labeler (+, -, 0) and two form features."""
-    if not _DIGIT.search(text):
-        return []
-    taken, out, k = sorted((a, b) for _, a, b in base), [], 0
-    for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
-        while k < len(taken) and taken[k][1] <= a:
-            k += 1
-        if any(x < b and y > a for x, y in taken[k : k + 4]):
+def _iban(s: str) -> bool:
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def _values(text: str) -> Iterator[tuple[int, int, str, bool]]:
+    """(start, end, kind, after a word) of values; kind number after a word for numbers, which must hold a digit."""
+    for pattern in (_AFTER_WORD, _AFTER_SIGN):
+        if pattern is _AFTER_WORD:
+            low = text.lower()
+            if not any(w in low for w in SECRET_WORDS + NUMBER_WORDS):
+                continue
+        elif "=" not in text and ":" not in text:
             continue
-        s, before = m.group(), text[max(0, a - CONTEXT) : a]
+        at = 0
+        while m := pattern.search(text, at):
+            if pattern is _AFTER_SIGN and not text[max(0, m.start() - 4) : m.start()].rstrip(" \t\"'")[-1:].isalnum():
+                at = m.start() + 1
+                continue
+            a, b = m.span(next(g for g in "qsv" if m.group(g) is not None))
+            # the value may itself be a word before another value
+            at = max(a, m.start() + 1)
+            if m.group("v"):
+                b = a + len(m.group("v").rstrip(".,;:!?)]}"))
+            if a < b and not _NO_VALUE.match(text, a, b):
+                word = m.groupdict().get("word")
+                kind = "number" if word and not _SECRET_WORD.fullmatch(word) else "secret"
+                if kind == "secret" or _DIGIT.search(text, a, b):
+                    yield a, b, kind, bool(word)
+
+
+def _groups(text: str) -> Iterator[tuple[int, int]]:
+    """Numbers in groups: account numbers whose check digits are right, and 7 to 15 digits parted by blanks or signs."""
+    for m in _IBAN.finditer(text):
+        s = m.group()
+        while " " in s and not _iban(s):
+            s = s[: s.rindex(" ")]
+        if " " in s:
+            yield m.start(), m.start() + len(s)
+    for m in _GROUPS.finditer(text):
+        if 7 <= sum("0" <= c <= "9" for c in m.group()) <= 15 and not m.group().isdigit():
+            yield m.span()
+
+
+def _meeting(spans: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
+    """Those of sorted spans without overlaps that overlap a to b."""
+    k = bisect_left(spans, (a, a))
+    k -= k > 0 and spans[k - 1][1] > a
+    out = []
+    while k < len(spans) and spans[k][0] < b:
+        out.append(spans[k])
+        k += 1
+    return out
+
+
+def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
+    """(kind, start, end, pattern) of the candidates outside base spans; pattern: a vote of each labeler (+, -, 0) and two form features.
+
+    Candidates don't overlap: grouped numbers go first, then tokens, then values; but a value after a word replaces
+    what lies within it.
+    """
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(b, taken[-1][1])
+        else:
+            taken.append((a, b))
+    found: dict[tuple[int, int], tuple[str, str, bool]] = {}
+    held: list[tuple[int, int]] = []
+
+    def add(a: int, b: int, origin: str, kind: str, word: bool = False) -> None:
+        if _meeting(taken, a, b):
+            return
+        inner = _meeting(held, a, b)
+        if inner and not (word and (a, b) not in found and all(a <= x and y <= b for x, y in inner)):
+            return
+        for s in inner:
+            del found[s]
+            held.remove(s)
+        found[a, b] = (origin, kind, word)
+        insort(held, (a, b))
+
+    if _DIGIT.search(text):
+        for s in _groups(text):
+            add(*s, "group", "number")
+        for m in _CANDIDATE.finditer(text):
+            add(*m.span(), "token", "")
+    for a, b, kind, word in _values(text):
+        add(a, b, "value", kind, word)
+    out = []
+    for (a, b), (origin, kind, word) in sorted(found.items()):
+        s, before = text[a:b], text[max(0, a - CONTEXT) : a]
         digits = sum("0" <= c <= "9" for c in s)
         only = digits == sum(c not in "-/+_=" for c in s)
-        kind = "number" if only or _NUMBER_FORM.match(s) else "secret"
+        kind = kind or ("number" if only or _NUMBER_FORM.match(s) else "secret")
         known = _KEY_FORM.match(s) if kind == "secret" else _NUMBER_FORM.match(s)
-        word = (_SECRET_WORD if kind == "secret" else _NUMBER_WORD).search(before)
+        word = word or (_SECRET_WORD if kind == "secret" else _NUMBER_WORD).search(before)
         upper, lower = any("A" <= c <= "Z" for c in s), any("a" <= c <= "z" for c in s)
         mixed = (upper or lower) and 0.1 <= digits / len(s) <= 0.9
-        votes = "".join((
-            "+" if known else "-",
-            "+" if word else "0",
-            "+" if _ASSIGN.search(before) else "0",
-            "+" if mixed and len(s) >= 16 else "-",
-            "-" if only or len(s) > 128 else "0",
-        ))
+        form, mixture, alone = "+" if known else "-", "+" if mixed and len(s) >= 16 else "-", "-" if only or len(s) > 128 else "0"
+        # a value without a word or a sign before it is likely none; tokens and grouped numbers stand alone as well
+        none = "-" if origin == "value" else "0"
+        if origin == "group":
+            # the mix of characters says nothing here; check digits and brackets tell more than the form does
+            sure = s[0].isalpha() or _GROUP_FORM.match(s) and s[0] in "(["
+            form = "+" if s[0].isalpha() or _GROUP_FORM.match(s) else "0" if digits == 7 and word else "-"
+            mixture, alone = "0", "+" if sure else "0"
+        elif origin == "value":
+            # a plain word may be a password, where a word and a sign announce one
+            form, mixture = "+" if known else "0", "+" if mixed and len(s) >= 16 else "-" if s.isalpha() and not (word and _ASSIGN.search(before)) else "0"
+            alone = "-" if len(s) > 128 or only and not word else "0"
+        votes = "".join((form, "+" if word else none, "+" if _ASSIGN.search(before) else none, mixture, alone))
         out.append((kind, a, b, f"{votes}{min(3, len(s) // 12)}{int(4 * digits / len(s))}"))
     return out
 
@@ -122,29 +223,25 @@ def estimate(patterns: dict[str, float], rounds: int = 50) -> dict[str, float]:
     """The classifier's probability of each vote pattern.
 
     Two latent classes, labelers independent in each; expectation-maximisation on the counts of the patterns, from a
-    start in which labelers are right four times in five. Then logistic regression on the class probabilities.
+    start in which labelers are right four times in five. An abstention tells nothing, and every labeler is right more
+    often than not but never sure (RIGHT), in both classes: so neither the classes nor one labeler's say depend on
+    which kinds of candidates are many. Then logistic regression on the class probabilities.
     """
     names = sorted(patterns)
     if not names:
         return {}
     count = np.array([patterns[n] for n in names], dtype=np.float64)
-    # the first four labelers vote for personal data or not; the vote of each is one of +, -, 0
     votes = np.array([["+-0".index(c) for c in n[: len(LABELERS)]] for n in names])
-    theta = np.full((2, len(LABELERS), 3), 1 / 3)
-    theta[1] = (0.6, 0.15, 0.25)
-    theta[0] = (0.1, 0.55, 0.35)
-    prior, held = np.array([0.5, 0.5]), 0.0
+    right, prior, held = np.full((2, len(LABELERS)), 0.8), 0.4, 0.0
+    agrees = np.stack([votes == 1, votes == 0])
+    against = np.stack([votes == 0, votes == 1])
     for _ in range(rounds):
-        log = np.log(prior) + np.stack([np.log(theta[c, np.arange(len(LABELERS)), votes]).sum(1) for c in (0, 1)], 1)
-        p = np.exp(log - log.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        held = p[:, 1]
-        weight = p * count[:, None]
-        prior = (weight.sum(0) + 1) / (count.sum() + 2)
-        for c in (0, 1):
-            for v in range(3):
-                theta[c, :, v] = (weight[:, c, None] * (votes == v)).sum(0) + (2.0 if (v == 0) == (c == 1) and v < 2 else 1.0)
-            theta[c] /= theta[c].sum(1, keepdims=True)
+        log = (agrees * np.log(right)[:, None] + against * np.log(1 - right)[:, None]).sum(2) + np.log([1 - prior, prior])[:, None]
+        held = 1 / (1 + np.exp(log[0] - log[1]))
+        weight = np.stack([1 - held, held]) * count
+        prior = float(np.clip((weight[1].sum() + 0.8) / (count.sum() + 2), *SHARE))
+        good, bad = (weight[:, :, None] * agrees).sum(1), (weight[:, :, None] * against).sum(1)
+        right = np.clip((good + 4) / (good + bad + 5), *RIGHT)
     x = np.concatenate([np.ones((len(names), 1)), votes == 0, votes == 1, [[int(n[-2]) / 3, int(n[-1]) / 4] for n in names]], axis=1).astype(np.float64)
     share, w = count / count.sum(), np.zeros(x.shape[1])
     share = 0.5 * share + 0.5 / len(names)
@@ -161,7 +258,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
         for batch in batches:
             for text in batch.column(0):
                 t = text.as_py() or ""
-                seen.update(c[3] for c in candidates(t, base_spans(t) if _DIGIT.search(t) else []))
+                seen.update(c[3] for c in candidates(t, base_spans(t)))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
     # patterns are three votes of five labelers and 4 * 5 forms: a bounded table

@@ -301,6 +301,21 @@ def test_personal_data_is_replaced(spark):
     assert got[0]["text"] == "mail <EMAIL> now" and got[0]["n_chars"] == 16 and got[1]["text"] is None and got[4]["text"] == texts[4]
 
 
+def test_short_and_grouped_personal_data_is_replaced(spark):
+    secret = ["hunter2", "correcthorse", "s3!", "p@ss word"]
+    texts = [f"login password: {secret[0]}, then", f"passwort = {secret[1]} und", f"clave: '{secret[2]}' fin", f'DB_PASSWORD="{secret[3]}"']
+    texts += ["call (555) 123-4567 now", "phone: 555 123 4567.", "Tel. 030 1234567 ok", "IBAN DE89 3704 0044 0532 0130 00 BIC X", "pays DE89 3704 0044 0532 0130 00"]
+    want = ["login password: <SECRET>, then", "passwort = <SECRET> und", "clave: '<SECRET>' fin", 'DB_PASSWORD="<SECRET>"']
+    want += ["call <NUMBER> now", "phone: <NUMBER>.", "Tel. <NUMBER> ok", "IBAN <NUMBER> BIC X", "pays <NUMBER>"]
+    clean = ["the password was reset by the clerk", "Note: bring apples", "open 2024-01-02 12 to 14", "a phone call later", "password = get_password(user)", "rows 100-2000 of 30 400 500"]
+    tokens = ['token = "%040x" x' % (7**k) for k in range(30, 45)]
+    # whichever candidates are many
+    for more in (tokens, ["see part %d: done" % k for k in range(400)], ["at 98079157628%05d on" % k for k in range(400)]):
+        got = {r["doc_id"]: r["text"] for r in pii.redact(documents(spark, texts + clean + more)).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+        assert [got[len(texts) + i] for i in range(len(clean))] == clean
+
+
 def test_empty_tables(spark):
     none = documents(spark, ["a"]).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int")
