@@ -163,9 +163,9 @@ def log_spectrogram(x: np.ndarray, fs: int, low: float = 0.5, high: float = 30)
     return np.log(p + 1e-10).transpose(0, 1, 3, 2)
 
 
-def band_pass(x: np.ndarray, fs: float, low: float = 0.5, high: float = 30, order: int = 4) -> np.ndarray:
-    """Zero-phase Butterworth band-pass along the last axis: oddly extended at both ends, weighted by the squared response."""
-    pad = min(x.shape[-1] - 1, int(3 * fs / low))
+def band_pass(x: np.ndarray, fs: float, low: float = 0.5, high: float = 30, order: int = 4, periods: float = 3) -> np.ndarray:
+    """Zero-phase Butterworth band-pass along the last axis: oddly extended at both ends by periods of low, weighted by the squared response."""
+    pad = min(x.shape[-1] - 1, int(periods * fs / low))
     head = 2 * x[..., :1] - x[..., pad:0:-1]
     tail = 2 * x[..., -1:] - x[..., -2 : -pad - 2 : -1]
     long = np.concatenate([head, x, tail], axis=-1)
@@ -173,3 +173,50 @@ def band_pass(x: np.ndarray, fs: float, low: float = 0.5, high: float = 30, orde
     at, a, b = warp(np.fft.rfftfreq(long.shape[-1], 1 / fs)), warp(low), warp(high)
     gain = 1 / (1 + ((at**2 - a * b) / np.maximum(at * (b - a), 1e-30)) ** (2 * order))
     return np.fft.irfft(np.fft.rfft(long, axis=-1) * gain, long.shape[-1], axis=-1)[..., pad : pad + x.shape[-1]]
+
+
+#: Periods of the lower cut-off after which the filter's response has faded: the margin of chunks.
+FADED = 16
+
+
+def filter_recordings(df: DataFrame, by: list[str], order: str, value: str, channels: int, length: int, fs: float, low: float = 0.5, high: float = 30, least: int = 8192) -> DataFrame:
+    """(by, win, features): each channel of a recording (by) filtered as a whole, then cut into windows of length samples, channel after channel.
+
+    Sample `order` belongs to channel order % channels. Channels are filtered in chunks of at least `least` samples whose
+    margins are cut off again. Missing, null and non-finite samples are bridged by straight lines for the filter and
+    stay null in features; a gap of more than a margin ends the recording and starts another. Windows with at least
+    one sample stay. Of repeated samples the smallest value counts.
+    """
+    margin = int(FADED * fs / low)
+    core = -(-max(least, margin) // length) * length
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & F.col(order).isNotNull())
+    rows = rows.select(*by, F.pmod(F.col(order), F.lit(channels)).cast("int").alias("channel"), F.floor(F.col(order) / channels).alias("at"), v.alias("v"))
+    own, place = F.floor(F.col("at") / core), F.pmod(F.col("at"), F.lit(core))
+    near = F.array_compact(F.array(own, F.when(place < margin, own - 1), F.when(place >= core - margin, own + 1)))
+    grouped = rows.select("*", F.explode(near).alias("chunk")).groupBy(*by, "channel", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("s"))
+    chunks = grouped.select(*by, "channel", "chunk", F.col("s.at").alias("at"), F.col("s.v").alias("v"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.select(*by, "channel").schema.fields) + ", win long, x array<double>"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for row in part.itertuples(index=False, name=None):
+                *keys, chunk, at, v = row
+                at, first = np.unique(np.asarray(at), return_index=True)
+                v, start = np.asarray(v)[first], chunk * core
+                y = np.full(core, np.nan)
+                for k in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > margin) + 1):
+                    line = np.arange(at[k[0]], at[k[-1]] + 1)
+                    held = band_pass(np.interp(line, at[k], v[k]), fs, low, high, periods=FADED) if len(line) > 1 else np.zeros(1)
+                    inside = (at[k] >= start) & (at[k] < start + core)
+                    y[at[k][inside] - start] = held[at[k][inside] - line[0]]
+                for w, x in enumerate(y.reshape(-1, length)):
+                    some = np.isfinite(x)
+                    if some.any():
+                        out.append((*keys, start // length + w, x if some.all() else [e if e == e else None for e in x.tolist()]))
+            yield pd.DataFrame(out, columns=[*by, "channel", "win", "x"])
+
+    cut = chunks.mapInPandas(run, schema).groupBy(*by, "win").agg(F.map_from_entries(F.collect_list(F.struct("channel", "x"))).alias("m"))
+    blank = F.array_repeat(F.lit(None).cast("double"), length)
+    return cut.select(*by, "win", F.flatten(F.array(*[F.coalesce(F.try_element_at("m", F.lit(c)), blank) for c in range(channels)])).alias("features"))

@@ -32,7 +32,6 @@ def _on_model(view, x):
 
 
 for _name, _doc, _helper in (
-    ("i1_band_pass", "Filtered samples.", partial(s.band_pass, fs=FS)),
     ("i2_autoregression", "Coefficients of each window.", lambda x: s.autoregression(x, ORDER)[0]),
     ("i3_granger", "Absolute influence of channels on each other.", partial(s.granger, order=ORDER)),
     ("i4_signed_views", "Signed, absolute and first-lag views.", partial(s.signed_views, order=ORDER)),
@@ -46,6 +45,12 @@ for _name, _doc, _helper in (
     _query(_name, _doc, _helper)
 
 
+@query()
+def i1_band_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of the filtered recording; null where a sample is missing."""
+    return s.filter_recordings(read(spark, sf_dir, "events"), [], "event_id", "value", CHANNELS, LENGTH, FS)
+
+
 def criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(subject_id, order, criteria) means of windows: one pass over the windows for all orders."""
     orders = (1, 2, 3, 4)

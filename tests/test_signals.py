@@ -40,6 +40,28 @@ def test_filter_keeps_the_band_only():
     assert np.abs(got - inside)[320:-320].max() < 0.02
 
 
+def test_recordings_are_filtered_as_a_whole(spark):
+    n, gone = 64 * 300 + 10, {0, 5, 6000, 6001}
+    whole = {k: RNG.normal(size=(2, n)).cumsum(axis=1) * 0.1 + RNG.normal(size=(2, n)) for k in (1, 2)}
+    rows = [(k, 2 * t + c, None if t in gone and c == 0 else float(x[c, t])) for k, x in whole.items() for c in range(2) for t in range(n)]
+    df = spark.createDataFrame(rows, "rec int, o long, v double").repartition(3)
+    got = {(r["rec"], r["win"]): r["features"] for r in s.filter_recordings(df, ["rec"], "o", "v", 2, 64, 64, least=2048).collect()}
+    assert sorted(got) == [(k, w) for k in (1, 2) for w in range(301)]
+    for k, x in whole.items():
+        for c in range(2):
+            have = [e for w in range(301) for e in got[k, w][64 * c : 64 * c + 64]]
+            kept = [t for t in range(n) if c or t not in gone]
+            assert [t for t, e in enumerate(have) if e is not None] == kept
+            line = np.arange(kept[0], n)
+            want = s.band_pass(np.interp(line, kept, x[c, kept]), 64, periods=s.FADED)
+            assert np.abs(np.array([have[t] for t in kept]) - want[np.array(kept) - line[0]]).max() < 1e-6
+
+
+def test_first_query_keeps_partial_windows(spark):
+    rows = registry.QUERIES["i1_band_pass"](spark, "/root/testdata/sf0.001").collect()
+    assert sum(e is not None for r in rows for e in r["features"]) == 1000 and len(rows) == 6
+
+
 def test_power_and_coherence():
     t = np.arange(256) / 64
     x = np.stack([np.sin(2 * np.pi * 10 * t), np.sin(2 * np.pi * 10 * t + 1), RNG.normal(size=256)])[None]
