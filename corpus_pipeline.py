@@ -35,7 +35,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("personal_data", personal_data_stage), ("packing", packing_stage)]
 
-#: SQL expresses neither the trained stages nor the optimal boundaries; tests hold the stages against plain versions.
+#: SQL expresses neither the trained stages nor the optimal boundaries; tests hold operators of the stages, but none runs the stages in a row.
 ORACLE_SQL = None
 
 
