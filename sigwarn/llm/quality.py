@@ -52,26 +52,29 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(found), np.concatenate(owners)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> tuple[np.ndarray, float]:
-    """One value per bucket and a bias, from (buckets, shares, class) of each document. No rows: all values 0."""
+def train(buckets: np.ndarray, shares: np.ndarray, cuts: np.ndarray, labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
+    """One value per bucket and a bias. Document i has buckets and shares from cuts[i] to cuts[i + 1]. None: all values 0."""
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (BUCKETS, DIMENSION))
     out, bias = rng.uniform(-0.1, 0.1, (2, DIMENSION)), np.zeros(2)
+    # the order of the documents does not depend on the partitions
+    rows = sorted((i for i in range(len(labels)) if labels[i] in (0, 1) and cuts[i + 1] > cuts[i]), key=lambda i: (cuts[i + 1] - cuts[i], buckets[cuts[i] : cuts[i + 1]].tobytes()))
     steps, done = max(1, EPOCHS * len(rows)), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(rows)):
-            buckets, share, label = rows[i]
+        for k in rng.permutation(len(rows)):
+            at = slice(cuts[rows[k]], cuts[rows[k] + 1])
+            used, share = buckets[at], shares[at]
             rate = RATE * (1 - done / steps)
             done += 1
-            mean = share @ table[buckets]
+            mean = share @ table[used]
             z = out @ mean + bias
             p = np.exp(z - z.max())
             error = p / p.sum()
-            error[label] -= 1
+            error[labels[rows[k]]] -= 1
             back = error @ out
             out -= rate * np.outer(error, mean)
             bias -= rate * error
-            table[buckets] -= rate * len(buckets) ** 0.5 * share[:, None] * back
+            table[used] -= rate * len(used) ** 0.5 * share[:, None] * back
     return (table @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
@@ -81,9 +84,9 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             buckets, owner = features(data, offsets)
             pairs, counts = np.unique(owner.astype(np.int64) * BUCKETS + buckets, return_counts=True)
             cuts = np.searchsorted(pairs, np.arange(1, end - at) * BUCKETS)
-            rows = [((b % BUCKETS).astype(np.int32), (c / max(1, c.sum())).astype(np.float32)) for b, c in zip(np.split(pairs, cuts), np.split(counts, cuts), strict=True)]
+            rows = [((b % BUCKETS).astype(np.uint16).view(np.int16), (c / max(1, c.sum())).astype(np.float32)) for b, c in zip(np.split(pairs, cuts), np.split(counts, cuts), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32())), batch.column("label").slice(at, end - at)],
+                [pa.array([r[0] for r in rows], pa.list_(pa.int16())), pa.array([r[1] for r in rows], pa.list_(pa.float32())), batch.column("label").slice(at, end - at)],
                 names=["buckets", "share", "label"],
             )
 
@@ -98,10 +101,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(chosen), "_id").select("_id", "text", "label")
-    found = found.mapInArrow(_sparse, "buckets array<int>, share array<float>, label int").toArrow()
-    rows = [(np.asarray(b.values), np.asarray(s.values), y.as_py()) for b, s, y in zip(found["buckets"], found["share"], found["label"], strict=True)]
-    rows.sort(key=lambda r: (len(r[0]), r[0].tobytes()))  # the order does not depend on the partitions
-    return train([r for r in rows if r[2] in (0, 1) and len(r[0])])
+    found = found.mapInArrow(_sparse, "buckets array<short>, share array<float>, label int").toArrow().combine_chunks()
+    if not len(found):
+        return train(np.zeros(0, np.uint16), np.zeros(0, np.float32), np.zeros(1, np.int64), np.zeros(0, np.int64))
+    lists = found["buckets"].chunk(0)
+    cuts = np.asarray(lists.offsets, dtype=np.int64)
+    return train(np.asarray(lists.flatten()).view(np.uint16), np.asarray(found["share"].chunk(0).flatten()), cuts - cuts[0], np.asarray(found["label"]))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
