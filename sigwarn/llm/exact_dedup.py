@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigwarn.llm.store import materialize
+from sigwarn.llm.store import discard, kept_rows, materialize
 
 #: A chunk has at least this many characters (but for the last) and ends at the next white space after a vowel or a
 #: full stop, or at the largest size. Where it ends depends on the text near the end alone.
@@ -32,24 +32,20 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
-    recipes = materialize(
-        base.select(
-            "_id",
-            F.monotonically_increasing_id().alias("_row"),
-            F.transform(chunks(F.col("_text"), least, most), lambda c: F.xxhash64(c)).alias("_recipe"),
-            F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"),
-        )
-    )
+    recipes = materialize(_recipes(base.withColumn("_row", F.monotonically_increasing_id()), least, most))
     distinct = (
         base.select(F.explode(chunks(F.col("_text"), least, most)).alias("_chunk"))
-        .select(F.xxhash64("_chunk").alias("_hash"), "_chunk")
+        .select(chunk_hash(F.col("_chunk")).alias("_hash"), "_chunk")
         .distinct()
     )
     shared = distinct.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
     shared = materialize(shared)
     marked = recipes.withColumn("_ordinals", F.lit(None).cast("array<long>"))
     if not shared.isEmpty():
-        marked = _with_ordinals(docs, recipes, shared, id_col, text_col, least, most)
+        discard(recipes)
+        marked = _with_ordinals(base, shared, least, most)
+    else:
+        discard(shared)
     same = ["_recipe", "_ordinals"]
     groups = marked.groupBy(*same).agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("_id", "_row")).alias("_best"))
     on = (F.col("d._recipe") == F.col("g._recipe")) & F.col("d._ordinals").eqNullSafe(F.col("g._ordinals"))
@@ -67,28 +63,41 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def _with_ordinals(docs: DataFrame, recipes: DataFrame, shared: DataFrame, id_col: str, text_col: str, least: int, most: int) -> DataFrame:
-    """Recipes with the ordinals of chunks whose hash several contents have; only such chunks move again."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    parts = docs.select(F.monotonically_increasing_id().alias("_row"), F.posexplode(chunks(text, least, most)).alias("_pos", "_chunk"))
-    parts = materialize(parts.withColumn("_hash", F.xxhash64("_chunk")).join(shared, "_hash", "left_semi"))
+def chunk_hash(chunk: Column) -> Column:
+    return F.xxhash64(chunk)
+
+
+def _recipes(rows: DataFrame, least: int, most: int) -> DataFrame:
+    recipe = F.transform(chunks(F.col("_text"), least, most), lambda c: chunk_hash(c)).alias("_recipe")
+    return rows.select("_id", "_row", recipe, F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"))
+
+
+def _with_ordinals(base: DataFrame, shared: DataFrame, least: int, most: int) -> DataFrame:
+    """Recipes with the ordinals of chunks whose hash several contents have; only such chunks move again.
+
+    Row numbers have to mean the same row in both uses, so the rows are written with their numbers first.
+    """
+    rows = materialize(base.withColumn("_row", F.monotonically_increasing_id()))
+    parts = rows.select("_row", F.posexplode(chunks(F.col("_text"), least, most)).alias("_pos", "_chunk"))
+    parts = materialize(parts.withColumn("_hash", chunk_hash(F.col("_chunk"))).join(shared, "_hash", "left_semi"))
     order = F.row_number().over(Window.partitionBy("_hash").orderBy("_chunk"))
     ids = parts.select("_hash", "_chunk").distinct().withColumn("_ordinal", order.cast("long") - 1)
     used = parts.join(ids, ["_hash", "_chunk"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", "_ordinal"))).alias("_o"))
     used = used.select("_row", F.transform("_o", lambda x: x["_ordinal"]).alias("_ordinals"))
-    return recipes.join(used, "_row", "left")
+    out = materialize(_recipes(rows, least, most).join(used, "_row", "left"))
+    for table in (rows, parts, shared):
+        discard(table)
+    return out
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_duplicates() keeps, with the columns of docs. Rows equal in id and text become one."""
+    """The rows of docs that exact_duplicates() keeps, with all columns of docs, whatever their names.
+
+    Rows equal in id and text become one. Null texts count as empty and are equal to empty ones, so one row of them
+    stays; a null id loses to any other. An empty table gives an empty result.
+    """
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    verdict = exact_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
-    verdict = verdict.groupBy("_id", "_sha").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
-    verdict = materialize(verdict.where(~F.col("_kept") | (F.col("_n") > 1)))
-    marked = docs.withColumn("_own", sha)
-    on = F.col(f"d.{id_col}").eqNullSafe(F.col("v._id")) & (F.col("d._own") == F.col("v._sha"))
-    once = marked.alias("d").join(verdict.alias("v"), on, "left_anti").drop("_own")
-    again = verdict.where("_kept")
-    if again.isEmpty():
-        return once
-    return once.unionByName(marked.alias("d").join(again.alias("v"), on, "left_semi").dropDuplicates([id_col, "_own"]).drop("_own"))
+    found = exact_duplicates(docs.select(id_col, text_col), id_col, text_col)
+    verdict = found.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_same")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    verdict = materialize(verdict.where("not _kept or _n > 1").drop("_n"))
+    return kept_rows(docs, verdict, id_col, sha)

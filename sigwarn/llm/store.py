@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Slots of kept_rows(): at most so many numbers go to the executors.
+SLOTS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +40,40 @@ def discard(df: DataFrame) -> None:
     if path:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that df doesn't have, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def kept_rows(docs: DataFrame, verdict: DataFrame, id_col: str, same: Column) -> DataFrame:
+    """The rows of docs without those that verdict(_id, _kept) names as going; of rows it names as kept, one for each `same`.
+
+    With a column _same, a row of the verdict holds for the rows of docs with that value of `same` only. The verdict
+    has rows only for what changes: rows that go, and rows that repeat each other. Texts mostly stay where they are:
+    ids of the verdict are dealt to SLOTS slots, the taken slots are broadcast (that is their bound, whatever the
+    verdict's size), and only documents in such a slot are shuffled to meet the verdict.
+    """
+    slot, own, taken, gone_id, gone_same, stays = fresh(docs, "_slot", "_own", "_taken", "_gone_id", "_gone_same", "_stays")
+    slot_of = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    by_text = "_same" in verdict.columns
+    verdict = verdict.select(F.col("_id").alias(gone_id), F.col("_kept").alias(stays), *[F.col("_same").alias(gone_same)] * by_text)
+    slots = materialize(verdict.select(slot_of(F.col(gone_id)).alias(taken)).distinct())
+    dealt, met = docs.withColumn(slot, slot_of(F.col(id_col))), F.col(slot) == F.col(taken)
+    untouched = dealt.join(F.broadcast(slots), met, "left_anti").drop(slot)
+    touched = dealt.join(F.broadcast(slots), met, "left_semi").withColumn(own, same)
+    named = F.col(id_col).eqNullSafe(F.col(gone_id))
+    if by_text:
+        named &= F.col(own).eqNullSafe(F.col(gone_same))
+    out = untouched.unionByName(touched.join(verdict, named, "left_anti").drop(slot, own))
+    again = verdict.where(stays)
+    if again.isEmpty():
+        return out
+    return out.unionByName(touched.join(again, named, "left_semi").dropDuplicates([id_col, own]).drop(slot, own))
