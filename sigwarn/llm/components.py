@@ -9,7 +9,7 @@ from sigwarn.llm.store import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of each node of links(a, b); the component is its smallest node.
+    """(node, component) of each node of links(a, b), as a table; the component is its smallest node.
 
     Every round is two joins on aggregated minima, so that a node with very many links stays spread over tasks, and
     is written to the shared folder. Ends when a round changes nothing; links to itself and repeats are ignored.
@@ -33,4 +33,6 @@ def components(links: DataFrame) -> DataFrame:
             break
         mark = seen
     roots = edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
-    return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(roots)
+    out = materialize(edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(roots))
+    discard(edges)
+    return out

@@ -15,9 +15,13 @@ A shingle that no other candidate has can't be matched, which bounds a pair's ov
 Groups of copies. Equal sets are one class from the start. A piece that many sets share first gives links to one of
 them only, that with most in common with all others. Then pieces of sets that are not connected yet are looked at. A
 set lists its rarest ones, as many as reach to meet all similar sets. In small groups, pairs that can be similar are
-compared. In large ones, sets are described by their difference from one of them, and sets are compared only where
-their descriptions meet. A pair is left out only if it is in one component already or can't be similar, so components
-are exact and no group is expanded into all its pairs.
+compared. In large ones, sets are described by their difference from one set of the component that holds most of the
+group, sets outside that component meet others only where their descriptions do, and sets inside it don't meet each
+other. A pair is left out only if it is in one component already or can't be similar, so components are exact and no
+group is expanded into all its pairs.
+
+A set is known by 64 bits of its hashes; 64 others tell whether two sets have the same number, and then another number
+is taken for all. Two shingles with one 64-bit hash count as one.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigwarn.llm.components import components
-from sigwarn.llm.store import discard, materialize
+from sigwarn.llm.store import discard, kept_rows, materialize
 from sigwarn.llm.words import Words, byte_blocks, mix, shingle_sets
 
 #: Fragments in which overlaps are counted.
@@ -51,9 +55,9 @@ def size_classes(percent: int, most: int) -> np.ndarray:
     return np.array(bounds, dtype=np.int64)
 
 
-def identity(found: np.ndarray) -> int:
+def identity(found: np.ndarray, seed: int = 0) -> int:
     """A signed 64-bit number for a set; equal sets have the same."""
-    total = mix(found).sum(dtype=np.uint64) if len(found) else np.uint64(0)
+    total = mix(found + np.uint64(seed)).sum(dtype=np.uint64) if len(found) else np.uint64(0)
     return int(mix(np.array([total + np.uint64(len(found))]))[0].view(np.int64))
 
 
@@ -99,23 +103,38 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield at + i, found
 
 
+def _numbered(texts: DataFrame, n: int) -> tuple[DataFrame, int, int]:
+    """(id, n, set_id) of all rows, the seed of set_id, and the largest n. Different sets have different numbers."""
+    schema = f"id {texts.schema['id'].dataType.simpleString()}, n long, set_id long, other long"
+    seed = 0
+    while True:
+
+        def numbers(batches: Iterator[pa.RecordBatch], seed: int = seed) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(len(s), identity(s, seed), identity(s, ~seed & 0xFFFFFFFF)) for _, s in _sets(batch, n)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]], names=["id", "n", "set_id", "other"])
+
+        base = materialize(texts.mapInArrow(numbers, schema))
+        once = base.groupBy("set_id").agg(F.max("n").alias("n"), (F.min("other") < F.max("other")).alias("several"))
+        most, several = once.agg(F.max("n"), F.max("several")).first()
+        if not several:
+            return base, seed, most or 1
+        discard(base)
+        seed += 1
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, set_id, n_links of every row of docs, where similarity >= percent/100 links.
 
     A text with fewer than n words is one shingle; one without words (null too) has none and is linked with nothing.
     component_id is the smallest id that links reach; n_links counts the verified links of the row's class of equal
-    sets that were needed to connect it. Repeated rows are copies of each other. Rows with a null id take part and
-    get the smallest id of their component. An empty table gives an empty result; other columns are not looked at.
+    sets that were needed to connect it. Ids may have any type with an order, texts of one id may repeat. Repeated rows
+    are copies of each other. Rows with a null id take part and get the smallest id of their component. An empty table
+    gives an empty result; other columns are not looked at. The result is a table in the shared folder.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(len(s), identity(s)) for _, s in _sets(batch, n)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["id", "n", "set_id"])
-
-    base = materialize(texts.mapInArrow(sizes, "id long, n long, set_id long"))
-    bounds = size_classes(percent, base.agg(F.max("n")).first()[0] or 1)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base, seed, most = _numbered(texts, n)
+    bounds = size_classes(percent, most)
 
     def keys_of(bitmap=None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +142,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 keys, facts = [np.zeros(0, np.uint64)], []
                 for _, s in _sets(batch, n):
                     if len(s):
-                        sid = identity(s)
+                        sid = identity(s, seed)
                         for group, need, key in pieces(s, bounds, percent):
                             keys.append(key if bitmap is None else key[_passes(bitmap.value, key)])
                             facts.append((sid, len(s), group, need, len(keys[-1])))
@@ -131,50 +150,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rows = np.repeat(table[:, :4], table[:, 4], axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)]], names=["key", "sid", "n", "g", "need"])
 
-        return texts.mapInArrow(run, "key long, sid long, n long, g long, need long")
+        return texts.select("text").mapInArrow(run, "key long, sid long, n long, g long, need long")
 
     # pieces that at least two different sets have
     several = lambda df: df.groupBy("key").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y").select("key")
     shared = materialize(several(keys_of()))
     bitmap = docs.sparkSession.sparkContext.broadcast(_prefilter(shared, "key"))
     members = materialize(keys_of(bitmap).distinct().join(shared, "key"))
+    bitmap.destroy()
     for _ in range(2):
         enough = members.groupBy("sid", "g", "need").agg(F.count(F.lit(1)).alias("c")).where("c >= need").select("sid", "g")
-        fewer = materialize(members.join(enough, ["sid", "g"], "left_semi"))
-        discard(members)
-        members = materialize(fewer.join(several(fewer), "key", "left_semi"))
-        discard(fewer)
-    parts = _parts(members.select(F.col("sid").alias("set_id")).distinct(), texts, n)
+        fewer = _instead(members, members.join(enough, ["sid", "g"], "left_semi"))
+        members = _instead(fewer, fewer.join(several(fewer), "key", "left_semi"))
+    parts = _parts(members.select(F.col("sid").alias("set_id")).distinct(), texts, n, seed)
     # shingles of one candidate only can't be matched
     alone = parts.select("sid", F.explode("part").alias("s")).groupBy("s").agg(F.min("sid").alias("sid"), F.count(F.lit(1)).alias("c")).where("c = 1").groupBy("sid").agg(F.count(F.lit(1)).alias("u"))
     wide = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     weight = members.join(wide, "key").groupBy("sid").agg(F.sum("c").alias("weight"))
     facts = weight.join(alone, "sid", "left").select("sid", "weight", F.coalesce("u", F.lit(0)).alias("u"))
-    members = materialize(members.join(facts, "sid").withColumn("m", F.col("n") - F.col("u")).drop("u"))
+    members = _instead(members, members.join(facts, "sid").withColumn("m", F.col("n") - F.col("u")).drop("u"))
     can = f"100 * least(a.m, b.m) >= {percent} * (a.n + b.n - least(a.m, b.m))"
     middle = members.groupBy("key").agg(F.max(F.struct("weight", "sid", "n", "m")).alias("b")).select("key", "b.sid", "b.n", "b.m")
     stars = members.alias("a").join(middle.alias("b"), F.expr("a.key = b.key and a.sid <> b.sid and " + can)).select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
     stars = materialize(stars)
     links = materialize(_verified(stars, parts, percent))
     found = components(links)
-    members = members.join(found.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    members = materialize(members)
+    members = _instead(members, members.join(found.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
     # pieces of more than one component: pairs of sets between them that can be similar
     open_keys = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     few, many = _rarest(members.where(f"100 * m >= {percent} * n").join(open_keys, "key"))
     room = "least(a.pieces - a.i, b.pieces - b.i) + 1 >= greatest(a.need, b.need)"
     pairs = few.alias("a").join(few.alias("b"), F.expr(f"a.key = b.key and a.component <> b.component and a.sid < b.sid and {room} and {can}")).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
+    described = None
     if not many.isEmpty():
-        pairs = pairs.unionByName(_across_groups(many, parts, percent))
+        described, across = _across_groups(many, parts, percent)
+        pairs = pairs.unionByName(across)
     more = materialize(pairs.distinct().join(stars, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        extra = materialize(_verified(more, parts, percent))
-        if not extra.isEmpty():
-            links = materialize(links.unionByName(extra))
-            found = components(links)
-    for used in (shared, parts, stars, members, more):
-        discard(used)
-    return _labelled(base, links, found, id_col)
+    extra = materialize(_verified(more, parts, percent))
+    if not extra.isEmpty():
+        links = _instead(links, links.unionByName(extra))
+        discard(found)
+        found = components(links)
+    out = materialize(_labelled(base, links, found, id_col))
+    for used in (base, shared, members, parts, stars, few, many, described, more, extra, links, found):
+        if used is not None:
+            discard(used)
+    return out
+
+
+def _instead(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A table of `new`, which reads `old`; `old` is deleted."""
+    new = materialize(new)
+    discard(old)
+    return new
 
 
 def _rarest(left: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -194,34 +222,38 @@ def _rarest(left: DataFrame) -> tuple[DataFrame, DataFrame]:
     return few, many
 
 
-def _across_groups(many: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that can be similar of sets that list a piece of a large group and are not connected.
+def _across_groups(many: DataFrame, parts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The table of descriptions, and pairs (a, b) that can be similar of sets that list a piece of a large group and are not connected.
 
-    Each piece has a centre, that set with most in common with all others, and each of its sets is described by what
-    it and the centre don't both have. The symmetric difference of two sets is that of their descriptions, and one of
-    two sets that are not connected is not similar to the centre either, so its description is longer than the
-    difference of similar sets. Such a pair is similar only if the descriptions have something in common. Of a
-    description, as many of the rarest shingles are listed as similar sets may differ in, and one more; places in the
-    lists bound what two descriptions can share.
+    Each piece takes the component of that set with most in common with all others, and all pieces that take one
+    component have one centre in it. Each of their sets is described by what it and the centre don't both have. The
+    symmetric difference of two sets is that of their descriptions. Sets that may be similar to the centre itself are
+    compared to it, so of two others that are similar and not connected through it, one has a description longer than
+    the difference of similar sets: the descriptions have something in common. Of a description, as many of the
+    rarest shingles are listed as similar sets may differ in, and one more; places in the lists bound what two
+    descriptions can share. One of the two sets is outside the centre's component, so the many inside only meet those.
     """
-    middle = many.groupBy("key").agg(F.max(F.struct("weight", "sid", "component")).alias("b")).select("key", F.col("b.sid").alias("c"), F.col("b.component").alias("c_component"))
-    near = many.join(middle, "key").where("sid <> c").groupBy("c", "sid").agg(F.first("component").alias("component"), F.first("n").alias("n"))
-    near = near.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    middle = many.groupBy("key").agg(F.max(F.struct("weight", "sid", "component")).alias("b")).select("key", F.col("b.component").alias("home"))
+    heads = many.groupBy("component").agg(F.max(F.struct("weight", "sid")).alias("h")).select(F.col("component").alias("home"), F.col("h.sid").alias("c"))
+    near = many.join(middle, "key").groupBy("home", "sid").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.first("m").alias("m")).join(heads, "home").where("sid <> c")
+    spread = near.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     none = F.array().cast("array<long>")
     p, q = F.coalesce("p", none), F.coalesce("q", none)
-    own = near.join(parts.select("sid", "fragment", F.col("part").alias("p")), ["sid", "fragment"], "left")
+    own = spread.join(parts.select("sid", "fragment", F.col("part").alias("p")), ["sid", "fragment"], "left")
     both = own.join(parts.select(F.col("sid").alias("c"), "fragment", F.col("part").alias("q")), ["c", "fragment"], "left")
-    unlike = both.select("c", "sid", "component", "n", F.concat(F.array_except(p, q), F.array_except(q, p)).alias("d"))
-    described = materialize(unlike.select("c", "sid", "component", "n", F.explode("d").alias("s")))
-    often = described.groupBy("c", "s").agg(F.count(F.lit(1)).alias("w"))
+    facts = ["c", "home", "sid", "component", "n", "m"]
+    described = materialize(both.select(*facts, F.explode(F.concat(F.array_except(p, q), F.array_except(q, p))).alias("s")))
+    often = described.groupBy("c", "s").agg(F.count(F.lit(1)).alias("w"), (F.min("component") < F.max("component")).alias("open"))
     whole = Window.partitionBy("c", "sid")
-    placed = described.join(often, ["c", "s"]).withColumns({"i": F.row_number().over(whole.orderBy("w", "s")), "c_d": F.count(F.lit(1)).over(whole)})
-    listed = materialize(placed.where(f"w > 1 and i <= ({100 - percent} * n) div {percent} + 1").drop("w"))
-    differ = f"{100 + percent} * (a.c_d + b.c_d - 2 * (least(a.c_d - a.i, b.c_d - b.i) + 1)) <= {100 - percent} * (a.n + b.n)"
-    sizes = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
-    meet = listed.alias("a").join(listed.alias("b"), F.expr(f"a.c = b.c and a.s = b.s and a.sid < b.sid and a.component <> b.component and {sizes} and {differ}"))
-    with_centre = many.join(middle, "key").where("component <> c_component").select(F.least("sid", "c").alias("a"), F.greatest("sid", "c").alias("b"))
-    return meet.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).unionByName(with_centre).distinct()
+    placed = described.join(often, ["c", "s"]).withColumns({"i": F.row_number().over(whole.orderBy("w", "s")), "size": F.count(F.lit(1)).over(whole)})
+    listed = placed.where(f"open and i <= ({100 - percent} * n) div {percent} + 1")
+    differ = f"{100 + percent} * (a.size + b.size - 2 * (least(a.size - a.i, b.size - b.i) + 1)) <= {100 - percent} * (a.n + b.n)"
+    can = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and 100 * least(a.m, b.m) >= {percent} * (a.n + b.n - least(a.m, b.m))"
+    outside = listed.where("component <> home").alias("a")
+    once = "a.component <> b.component and (b.component = b.home or a.sid < b.sid)"
+    meet = outside.join(listed.alias("b"), F.expr(f"a.c = b.c and a.s = b.s and {once} and {can} and {differ}"))
+    with_centre = near.where("component <> home").select(F.least("sid", "c").alias("a"), F.greatest("sid", "c").alias("b"))
+    return described, meet.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).unionByName(with_centre)
 
 
 def _labelled(base: DataFrame, links: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
@@ -237,7 +269,7 @@ def _labelled(base: DataFrame, links: DataFrame, found: DataFrame, id_col: str)
     )
 
 
-def _parts(wanted: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+def _parts(wanted: DataFrame, texts: DataFrame, n: int, seed: int) -> DataFrame:
     """(sid, fragment, n, part): the shingles of the wanted sets in each fragment, once for each set."""
     wanted = materialize(wanted)
     bitmap = texts.sparkSession.sparkContext.broadcast(_prefilter(wanted, "set_id"))
@@ -246,7 +278,7 @@ def _parts(wanted: DataFrame, texts: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             rows = []
             for _, s in _sets(batch, n):
-                sid = np.array([identity(s)], dtype=np.int64)
+                sid = np.array([identity(s, seed)], dtype=np.int64)
                 if len(s) and _passes(bitmap.value, sid.view(np.uint64))[0]:
                     cut = np.searchsorted(s >> np.uint64(61), np.arange(1, FRAGMENTS, dtype=np.uint64))
                     rows += [(int(sid[0]), f, len(s), part.view(np.int64)) for f, part in enumerate(np.split(s, cut)) if len(part)]
@@ -255,8 +287,10 @@ def _parts(wanted: DataFrame, texts: DataFrame, n: int) -> DataFrame:
                 names=["sid", "fragment", "n", "part"],
             )
 
-    parts = texts.mapInArrow(run, "sid long, fragment int, n long, part array<long>").join(wanted.withColumnRenamed("set_id", "sid"), "sid", "left_semi")
-    return materialize(parts.dropDuplicates(["sid", "fragment"]))
+    parts = texts.select("text").mapInArrow(run, "sid long, fragment int, n long, part array<long>").join(wanted.withColumnRenamed("set_id", "sid"), "sid", "left_semi")
+    found = _instead(wanted, parts.dropDuplicates(["sid", "fragment"]))
+    bitmap.destroy()
+    return found
 
 
 def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -271,16 +305,11 @@ def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs for each component, that with the smallest id, and all rows without words; the columns of docs.
 
-    Rows equal in id and text become one. Rows that repeat an id with other texts stay if one of them does. Rows with
+    All columns of docs stay, whatever their names. Rows equal in id and text become one. Rows that repeat an id with other texts stay if one of them does. Rows with
     a null id stay only where no row of their component has an id.
     """
     found = near_duplicates(docs, id_col, text_col, n, percent)
     stays = F.expr(f"n_shingles = 0 or `{id_col}` <=> component_id")
-    verdict = found.groupBy(F.col(id_col).alias("_id")).agg(F.max(stays).alias("_stays"), F.count(F.lit(1)).alias("_rows"))
-    verdict = materialize(verdict.where("not _stays or _rows > 1"))
-    on = F.col(f"d.{id_col}").eqNullSafe(F.col("v._id"))
-    once = docs.alias("d").join(verdict.alias("v"), on, "left_anti")
-    again = verdict.where("_stays")
-    if again.isEmpty():
-        return once
-    return once.unionByName(docs.alias("d").join(again.alias("v"), on, "left_semi").dropDuplicates([id_col, text_col]))
+    verdict = found.groupBy(F.col(id_col).alias("_id")).agg(F.max(stays).alias("_kept"), F.count(F.lit(1)).alias("_rows"))
+    verdict = _instead(found, verdict.where("not _kept or _rows > 1").drop("_rows"))
+    return kept_rows(docs, verdict, id_col, F.col(text_col))
