@@ -101,3 +101,17 @@ def lead_only(blocked: DataFrame, events: DataFrame, by: list[str]) -> DataFrame
     match = n_blocks.join(n_events, by).where("_b = _e").select(*by)
     drop = numbered.where("kind <> 'lead'").join(match, by, "left_semi").select(*by, F.col("_k").alias("block"))
     return blocked.join(drop, [*by, "block"], "left_anti")
+
+
+def segments(samples: DataFrame, by: list[str], order: str, value: str, width: int, step: int) -> DataFrame:
+    """(by, win_idx, start, samples) of every complete window of `width` samples, one each `step` samples of a series.
+
+    order counts the samples of a series from 0; windows that lack a sample are left out. A sample goes to the windows
+    that cover it, at most width / step rounded up, so no series is gathered in one task.
+    """
+    at = F.col(order).cast("long")
+    last = F.floor(at / step)
+    first = F.greatest(F.lit(0).cast("long"), F.floor((at - width) / step) + 1)
+    covered = samples.select(*by, at.alias("_at"), F.col(value).alias("_v"), F.explode(F.when(first <= last, F.sequence(first, last))).alias("win_idx"))
+    held = covered.groupBy(*by, "win_idx").agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias("_s"))
+    return held.where(F.size("_s") == width).select(*by, "win_idx", (F.col("win_idx") * step).alias("start"), F.transform("_s", lambda x: x["_v"]).alias("samples"))
