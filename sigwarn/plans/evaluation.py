@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigwarn.functions import hash_uniform, r6, ratio
+from sigwarn.functions import hash_uniform, r6, ratio, two_sided_sql
 from sigwarn.operators import metrics as m
 from sigwarn.operators import ordered as o
 from sigwarn.operators import statistics as st
+from sigwarn.operators.curves import even_grid
 from sigwarn.registry import query
 from sigwarn.sources.tables import SCORED, scored
 
@@ -82,9 +83,19 @@ def d3_window_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluated(spark, sf_dir)
 
 
-@query(f"WITH RECURSIVE {ALARMED} SELECT model, subject_id, count(*) FILTER (label = 1 AND alarm = 1) AS tp, count(*) FILTER (label = 0 AND alarm = 1) AS fp, count(*) FILTER (label = 1 AND alarm = 0) AS fn, count(*) FILTER (label = 0 AND alarm = 0) AS tn FROM ab GROUP BY ALL")
+RATIOS = ("sensitivity", "specificity", "precision", "f1", "balanced_accuracy")
+#: The last part of a statement on ab(model, subject_id, label, alarm).
+ALARM_LEVEL = f"""SELECT model, subject_id, tp, fp, fn, tn, round(sn, 6) AS sensitivity, round(sp, 6) AS specificity, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp::DOUBLE / (tp + fp) END, 6) AS precision,
+round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END, 6) AS f1, round((sn + sp) / 2, 6) AS balanced_accuracy, round(CASE WHEN fp + tn > 0 THEN fp / ((fp + tn) * {STEP} / 3600.0::DOUBLE) END, 6) AS fpr_h
+FROM (SELECT *, CASE WHEN tp + fn = 0 THEN 0 ELSE tp::DOUBLE / (tp + fn) END AS sn, CASE WHEN tn + fp = 0 THEN 0 ELSE tn::DOUBLE / (tn + fp) END AS sp FROM
+(SELECT model, subject_id, count(*) FILTER (label = 1 AND alarm = 1) AS tp, count(*) FILTER (label = 0 AND alarm = 1) AS fp, count(*) FILTER (label = 1 AND alarm = 0) AS fn, count(*) FILTER (label = 0 AND alarm = 0) AS tn FROM ab GROUP BY ALL))"""
+
+
+@query(f"WITH RECURSIVE {ALARMED} {ALARM_LEVEL}")
 def d4_alarm_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.confusion(alarmed(spark, sf_dir), BY, F.col("alarm") == 1).select(*BY, "tp", "fp", "fn", "tn")
+    c = m.confusion(alarmed(spark, sf_dir), BY, F.col("alarm") == 1)
+    rate = ratio(F.col("fp"), (F.col("fp") + F.col("tn")) * STEP / 3600)
+    return c.select(*BY, "tp", "fp", "fn", "tn", *[r6(F.col(x)).alias(x) for x in RATIOS], r6(rate).alias("fpr_h"))
 
 
 @query(f"WITH {SCORED}, {AREAS} SELECT model, subject_id, round(auc, 6) AS auc FROM areas")
@@ -168,9 +179,12 @@ def d14_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(*BY, "n1", "n0", r6(F.col("prevalence")).alias("prevalence"), r6(F.col("prevalence_capped")).alias("prevalence_capped"))
 
 
-@query(f"WITH {EVALUATE} SELECT model, round(avg(auc), 6) AS auc_mean, round(stddev_samp(auc), 6) AS auc_std, round(avg(ap), 6) AS ap_mean, round(stddev_samp(ap), 6) AS ap_std FROM evald GROUP BY model")
+EVERY = ("auc", "ap", *RATIOS, "fpr_h_window")
+
+
+@query(f"WITH {EVALUATE} SELECT model, " + ", ".join(f"round(avg({x}), 6) AS {x}_mean, round(stddev_samp({x}), 6) AS {x}_std" for x in EVERY) + " FROM evald GROUP BY model")
 def d15_method_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluated(spark, sf_dir).groupBy("model").agg(*[r6(f(x)).alias(f"{x}_{n}") for x in ("auc", "ap") for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
+    return evaluated(spark, sf_dir).groupBy("model").agg(*[r6(f(x)).alias(f"{x}_{n}") for x in EVERY for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
 
 
 @query(f"WITH RECURSIVE {ALARMED}, {EVENTS}, {CONFUSION} SELECT model, subject_id, round(CASE WHEN fp + tn > 0 THEN fp / ((fp + tn) * {STEP} / 3600.0::DOUBLE) END, 6) AS fpr_h_window, round(CASE WHEN r0 > 0 THEN n_false_alarms::DOUBLE / (r0 * {STEP} / 3600.0::DOUBLE) END, 6) AS fpr_h_event, round(CASE WHEN n_events > 0 THEN events_hit::DOUBLE / n_events END, 6) AS event_sensitivity FROM ev JOIN cm USING (model, subject_id)")
@@ -187,7 +201,7 @@ def d17_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEEDED = ", ".join(f"('{s}')" for s in ("0", "1", "2", "3", "4"))
 
 
-@query(f"WITH {SCORED}, u AS (SELECT s.seed, c.subject_id, c.label, c.event_id, ('0x' || substr(md5('chance' || s.seed || '|' || c.event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS prob FROM scored c, (VALUES {SEEDED}) AS s(seed) WHERE c.model = 'level'), v AS (SELECT seed, count(*) FILTER (label = 1 AND prob >= 0.5)::DOUBLE / count(*) FILTER (label = 1) AS sens FROM u GROUP BY seed) SELECT round(avg(sens), 6) AS sens_mean, round(stddev_pop(sens), 6) AS sens_std, count(*) AS seeds FROM v")
+@query(f"WITH {SCORED}, u AS (SELECT s.seed, c.subject_id, c.label, c.event_id, ('0x' || substr(md5('chance' || s.seed || '|' || c.event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS prob FROM scored c, (VALUES {SEEDED}) AS s(seed) WHERE c.model = 'level'), v AS (SELECT seed, count(*) FILTER (label = 1 AND prob >= 0.5)::DOUBLE / count(*) FILTER (label = 1) AS sens FROM u GROUP BY seed) SELECT round(avg(sens), 6) AS sens_mean, round(stddev_pop(sens), 6) AS sens_std, count(*) AS seeds, string_agg(round(sens * 1000)::BIGINT::VARCHAR, ',' ORDER BY seed) AS per_mille FROM v")
 def d18_seed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir).where("model = 'level'").select("event_id", "label")
     runs = [s.withColumn("seed", F.lit(k)).withColumn("prob", hash_uniform(f"chance{k}", F.col("event_id"))) for k in range(5)]
@@ -195,7 +209,7 @@ def d18_seed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     for r in runs[1:]:
         every = every.unionByName(r)
     one = every.groupBy("seed").agg(ratio(F.sum(F.when((F.col("prob") >= 0.5) & (F.col("label") == 1), 1).otherwise(0)), F.sum("label")).alias("sens"))
-    return one.agg(r6(F.avg("sens")).alias("sens_mean"), r6(F.stddev_pop("sens")).alias("sens_std"), F.count(F.lit(1)).alias("seeds"))
+    return one.agg(r6(F.avg("sens")).alias("sens_mean"), r6(F.stddev_pop("sens")).alias("sens_std"), F.count(F.lit(1)).alias("seeds"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seed", F.round(F.col("sens") * 1000).cast("long").cast("string").alias("v")))), lambda x: x["v"]), ",").alias("per_mille"))
 
 
 @query(f"WITH {SCORED}, h AS (SELECT *, CASE WHEN ('0x' || substr(md5('pool|' || event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2 THEN 1 ELSE 0 END AS test FROM scored) SELECT model, subject_id, count(*) AS rows, count(*) FILTER (label = 1 AND prob >= {THRESHOLD}) AS tp, count(*) FILTER (label = 0 AND prob >= {THRESHOLD}) AS fp FROM h WHERE test = 1 GROUP BY GROUPING SETS ((model), (model, subject_id))")
@@ -225,30 +239,15 @@ def thresholds(s: DataFrame) -> DataFrame:
     return found.join(y, BY, "left").select(*BY, F.coalesce("threshold", clipped).alias("threshold"))
 
 
-@query(f"WITH {SCORED}, {GRID}, f AS (SELECT *, row_number() OVER (PARTITION BY model, subject_id ORDER BY sens DESC, threshold) AS k FROM gr WHERE fpr_h <= {TARGET}), s AS (SELECT DISTINCT model, subject_id FROM scored), nx AS (SELECT *, coalesce(lead(subject_id) OVER (PARTITION BY model ORDER BY subject_id), min(subject_id) OVER (PARTITION BY model)) AS other FROM s) SELECT nx.model, nx.subject_id, nx.other, round(coalesce(f.threshold, 0.5), 6) AS threshold FROM nx LEFT JOIN f ON f.model = nx.model AND f.subject_id = nx.other AND f.k = 1")
-def f5_borrowed_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = m.operating_threshold(m.grid_rates(scored(spark, sf_dir), BY, STEP), BY, TARGET)
-    w = Window.partitionBy("model")
-    ring = found.select(*BY, F.coalesce(F.lead("subject_id").over(w.orderBy("subject_id")), F.min("subject_id").over(w)).alias("other"))
-    return ring.join(found.select("model", F.col("subject_id").alias("other"), "threshold"), ["model", "other"]).select(*BY, "other", r6(F.coalesce("threshold", F.lit(0.5))).alias("threshold"))
-
-
 @query(f"WITH {SKILL}, o AS (SELECT model, subject_id, skill - lag(skill) OVER (PARTITION BY model ORDER BY subject_id) AS step FROM sk) SELECT model, bool_and(step >= 0) AS rising FROM o WHERE step IS NOT NULL GROUP BY model")
 def f6_monotonic_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.col("skill") - F.lag("skill").over(Window.partitionBy("model").orderBy("subject_id"))
     return skills(spark, sf_dir).withColumn("step", step).where("step is not null").groupBy("model").agg(F.bool_and(F.col("step") >= 0).alias("rising"))
 
 
-@query(f"WITH RECURSIVE {SCORED}, sm AS (SELECT * REPLACE (CASE WHEN count(*) OVER (PARTITION BY model, subject_id) < 10 THEN prob ELSE sum(prob) OVER (PARTITION BY model, subject_id ORDER BY seq ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) / 10 END AS prob) FROM scored), {alarm_sql('sm', threshold='0.45')}, {block_sql('alarmed', 'ab')}, {EVENTS} SELECT model, subject_id, {EVENT_COLUMNS} FROM ev")
-def f8_calibrated_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = o.smooth(scored(spark, sf_dir), BY).drop("prob").withColumnRenamed("smoothed", "prob")
-    e = m.event_level(o.blocks(o.alarms(s, BY, 0.45, K, M, REFRACTORY), BY), BY, STEP)
-    return e.withColumn("event_sensitivity", r6(F.col("event_sensitivity"))).withColumn("fpr_h_event", r6(F.col("fpr_h_event")))
-
-
-@query(f"WITH {SCORED}, {AREAS}, at1 AS (SELECT model, subject_id, prob, sum(label) AS p, count(*) AS t FROM scored GROUP BY ALL), rk AS (SELECT *, sum(t) OVER (PARTITION BY model, subject_id ORDER BY prob) - t + (t + 1) / 2.0::DOUBLE AS r, sum(p) OVER (PARTITION BY model, subject_id) AS n1, sum(t) OVER (PARTITION BY model, subject_id) AS n FROM at1), u AS (SELECT model, subject_id, sum(r * p) - max(n1) * (max(n1) + 1) / 2.0::DOUBLE AS u, max(n1)::DOUBLE AS n1, max(n - n1)::DOUBLE AS n0, max(n)::DOUBLE AS n, sum((t::DOUBLE * t * t - t)) AS ties FROM rk GROUP BY ALL) SELECT model, subject_id, round(u, 6) AS u, round((u - n1 * n0 / 2) / sqrt(n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z FROM u")
+@query(f"WITH {SCORED}, {AREAS}, at1 AS (SELECT model, subject_id, prob, sum(label) AS p, count(*) AS t FROM scored GROUP BY ALL), rk AS (SELECT *, sum(t) OVER (PARTITION BY model, subject_id ORDER BY prob) - t + (t + 1) / 2.0::DOUBLE AS r, sum(p) OVER (PARTITION BY model, subject_id) AS n1, sum(t) OVER (PARTITION BY model, subject_id) AS n FROM at1), u AS (SELECT model, subject_id, sum(r * p) - max(n1) * (max(n1) + 1) / 2.0::DOUBLE AS u, max(n1)::DOUBLE AS n1, max(n - n1)::DOUBLE AS n0, max(n)::DOUBLE AS n, sum((t::DOUBLE * t * t - t)) AS ties FROM rk GROUP BY ALL) SELECT model, subject_id, round(u, 6) AS u, round((u - n1 * n0 / 2) / sd, 6) AS z, round(" + two_sided_sql("greatest(abs(u - n1 * n0 / 2) - 0.5, 0) / sd") + ", 5) AS p FROM (SELECT *, sqrt(n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1)))) AS sd FROM u)")
 def k5_mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.mann_whitney(scored(spark, sf_dir), BY).select(*BY, r6(F.col("u")).alias("u"), r6(F.col("z")).alias("z"))
+    return st.mann_whitney(scored(spark, sf_dir), BY).select(*BY, r6(F.col("u")).alias("u"), r6(F.col("z")).alias("z"), F.round("p", 5).alias("p"))
 
 
 @query(f"WITH {SCORED}, at2 AS (SELECT model, subject_id, prob, sum(label) AS p, sum(1 - label) AS n FROM scored GROUP BY ALL), cd AS (SELECT *, sum(p) OVER w / (sum(p) OVER g)::DOUBLE AS f1, sum(n) OVER w / (sum(n) OVER g)::DOUBLE AS f0, lead(prob) OVER w - prob AS dx FROM at2 WINDOW g AS (PARTITION BY model, subject_id), w AS (PARTITION BY model, subject_id ORDER BY prob)) SELECT model, subject_id, round(coalesce(sum(abs(f1 - f0) * dx), 0), 6) AS distance FROM cd GROUP BY ALL")
@@ -256,13 +255,6 @@ def k6_wasserstein(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.wasserstein(scored(spark, sf_dir), BY).select(*BY, r6(F.col("distance")).alias("distance"))
 
 
-@query(f"WITH {EVALUATE}, p AS (SELECT a.subject_id, a.ap - b.ap AS d FROM evald a JOIN evald b ON a.subject_id = b.subject_id AND a.model = 'mixed' AND b.model = 'level' WHERE round(a.ap - b.ap, 12) <> 0), r AS (SELECT d, rank() OVER (ORDER BY round(abs(d), 12)) + (count(*) OVER (PARTITION BY round(abs(d), 12)) - 1) / 2.0::DOUBLE AS r FROM p) SELECT count(*) AS n, round(coalesce(sum(r) FILTER (d > 0), 0), 6) AS w_plus, round(coalesce(sum(r) FILTER (d < 0), 0), 6) AS w_minus FROM r")
-def k4_wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = evaluated(spark, sf_dir)
-    pairs = e.where("model = 'mixed'").select("subject_id", F.col("ap").alias("x")).join(e.where("model = 'level'").select("subject_id", F.col("ap").alias("y")), "subject_id")
-    return st.wilcoxon(pairs, "x", "y").select("n", r6(F.col("w_plus")).alias("w_plus"), r6(F.col("w_minus")).alias("w_minus"))
-
-
 BOOT_N = 200
 
 
@@ -281,27 +273,17 @@ def k1_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(*[r6(F.col(c)).alias(c) for c in ("observed", "null_mean", "p")])
 
 
-K3_GRID = [round(0.05 + 0.1 * k, 2) for k in range(10)]
+K3_GRID = even_grid()
 
 
 @query(f"WITH {SCORED}, g AS (SELECT unnest({K3_GRID})::DOUBLE AS threshold), r AS (SELECT threshold, count(*) FILTER (label = 1 AND prob >= threshold)::DOUBLE / count(*) FILTER (label = 1) AS sens, count(*) FILTER (label = 0 AND prob >= threshold)::DOUBLE / (count(*) FILTER (label = 0) * {STEP} / 3600.0::DOUBLE) AS fpr_h FROM scored, g WHERE model = 'level' GROUP BY ALL) SELECT round(threshold, 6) AS threshold, round(sens, 6) AS sens, round(fpr_h, 6) AS fpr_h, round(1 - exp(-fpr_h * 0.5), 6) AS random_sens FROM r")
 def h5_random_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigwarn.functions import random_predictor
 
-    g = m.grid_rates(scored(spark, sf_dir).where("model = 'level'").withColumn("one", F.lit(1)), ["one"], STEP, 0.05, 0.95, 10)
+    g = m.grid_rates(scored(spark, sf_dir).where("model = 'level'").withColumn("one", F.lit(1)), ["one"], STEP)
     return g.select(r6(F.col("threshold")).alias("threshold"), r6(F.col("sens")).alias("sens"), r6(F.col("fpr_h")).alias("fpr_h"), r6(random_predictor(F.col("fpr_h"), F.lit(0.5))).alias("random_sens"))
 
 
-@query("WITH RECURSIVE " + SCORED + ", lv AS (SELECT t.threshold, s.* FROM scored s, (VALUES (0.3), (0.5), (0.7)) AS t(threshold) WHERE s.model = 'level'), " + alarm_sql("lv", "threshold, subject_id", "threshold") + ", " + block_sql("alarmed", "ab", "threshold, subject_id") + f", pb AS (SELECT threshold, subject_id, block, max(alarm) AS hit, sum(CASE WHEN label = 0 THEN alarm ELSE 0 END) AS fa, sum(1 - label) AS r0 FROM ab GROUP BY ALL) SELECT threshold::DOUBLE AS threshold, round(sum(hit) FILTER (block IS NOT NULL)::DOUBLE / count(block), 6) AS event_sensitivity, round(sum(fa)::DOUBLE / (sum(r0) * {STEP} / 3600.0::DOUBLE), 6) AS fpr_h FROM pb GROUP BY threshold")
-def k3_operating_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(spark, sf_dir).where("model = 'level'").withColumn("threshold", F.explode(F.array(F.lit(0.3), F.lit(0.5), F.lit(0.7))))
-    by = ["threshold", "subject_id"]
-    e = m.event_level(o.blocks(o.alarms(s, by, F.col("threshold"), K, M, REFRACTORY), by), by, STEP)
-    negatives = s.where("label = 0").groupBy("threshold").agg(F.count(F.lit(1)).alias("rows0"))
-    pooled = e.groupBy("threshold").agg(F.sum("events_hit").alias("hit"), F.sum("n_events").alias("n"), F.sum("n_false_alarms").alias("fa")).join(negatives, "threshold")
-    return pooled.select("threshold", r6(ratio(F.col("hit"), F.col("n"))).alias("event_sensitivity"), r6(ratio(F.col("fa"), F.col("rows0") * STEP / 3600)).alias("fpr_h"))
-
-
 @query(f"WITH {SCORED}, h AS (SELECT subject_id, label, ('0x' || substr(md5('uniform|' || event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM scored WHERE model = 'level'), pv AS (SELECT subject_id, avg(label) AS pr FROM h GROUP BY 1), s AS (SELECT 'uniform' AS baseline, subject_id, label, u >= 0.5 AS hit FROM h UNION ALL SELECT 'majority', h.subject_id, label, pr > 0.5 FROM h JOIN pv USING (subject_id) UNION ALL SELECT 'stratified', h.subject_id, label, u < pr FROM h JOIN pv USING (subject_id)) SELECT baseline, subject_id, count(*) FILTER (label = 1 AND hit) AS tp, count(*) FILTER (label = 0 AND hit) AS fp, count(*) FILTER (label = 1 AND NOT hit) AS fn, count(*) FILTER (label = 0 AND NOT hit) AS tn FROM s GROUP BY ALL")
 def k7_chance_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = st.chance_scores(scored(spark, sf_dir).where("model = 'level'"), ["subject_id"], "event_id")
