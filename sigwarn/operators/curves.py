@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigwarn.functions import ratio
-from sigwarn.operators.ordered import CHUNK_ROWS, fire, handed_over
+from sigwarn.operators.ordered import CHUNK_ROWS, fire, handed_over, join_null_safe
 
 
 def even_grid(first: float = 0.05, last: float = 0.95, points: int = 91) -> list[float]:
@@ -41,7 +41,7 @@ def alarm_counts(blocked: DataFrame, by: list[str], grid: list[float], k: int =
         c, frame = int(frame["_chunk"].iloc[0]), frame.sort_values("_n")
         at, q = frame["_n"].to_numpy(), frame["_q"].to_numpy()
         over = np.concatenate([handed_over(at[q >= t], c * chunk, (c + 1) * chunk, refractory) for t in levels])
-        return frame.iloc[:1][by].assign(_chunk=c, _over=[over.tolist()])
+        return frame.iloc[:1][by].astype(object).assign(_chunk=c, _over=[over.tolist()])
 
     def compose(frame: pd.DataFrame) -> pd.DataFrame:
         frame, state, last, entry = frame.sort_values("_chunk"), np.zeros(len(levels), dtype=np.int64), None, []
@@ -50,7 +50,7 @@ def alarm_counts(blocked: DataFrame, by: list[str], grid: list[float], k: int =
                 state = np.maximum(0, state - (c - last - 1) * chunk)
             entry.append(state.tolist())
             state, last = np.asarray(over).reshape(len(levels), refractory + 1)[np.arange(len(levels)), state], c
-        return frame[[*by, "_chunk"]].assign(_blocked=entry)
+        return frame[by].astype(object).assign(_chunk=frame["_chunk"], _blocked=entry)
 
     def follow(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_n")
@@ -63,22 +63,17 @@ def alarm_counts(blocked: DataFrame, by: list[str], grid: list[float], k: int =
                 hit, count = np.unique(block[own][y[own]], return_counts=True)
                 out += [(t, int(b), int(c), 0) for b, c in zip(hit, count, strict=True)] + [(t, None, 0, int((~y[own]).sum()))]
         found = pd.DataFrame(out, columns=["threshold", "block", "tp", "fp"]).astype({"threshold": float, "block": "Int64", "tp": "int64", "fp": "int64"})
-        return pd.DataFrame({b: [frame[b].iloc[0]] * len(found) for b in by} | {c: found[c] for c in found})
+        return pd.DataFrame({b: pd.Series([frame[b].iloc[0]] * len(found), dtype=object) for b in by} | {c: found[c] for c in found})
 
     over = candidates.groupBy(*by, "_chunk").applyInPandas(tables, f"{keys}, _chunk long, _over array<long>")
     entry = over.groupBy(*by).applyInPandas(compose, f"{keys}, _chunk long, _blocked array<long>")
-    right = [F.col(c).alias(f"_r{c}") for c in (*by, "_chunk")]
-    same = [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in (*by, "_chunk")]
-    entered = candidates.join(entry.select(*right, "_blocked"), same).drop(*[f"_r{c}" for c in (*by, "_chunk")])
-    fired = entered.groupBy(*by, "_chunk").applyInPandas(follow, f"{keys}, threshold double, block long, tp long, fp long")
+    fired = join_null_safe(candidates, entry, [*by, "_chunk"]).groupBy(*by, "_chunk").applyInPandas(follow, f"{keys}, threshold double, block long, tp long, fp long")
     counts = fired.groupBy(*by, "threshold", "block").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
     counts = counts.groupBy(*by, "threshold").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.count("block").alias("events_hit"))
     whole = blocked.groupBy(*by).agg(F.sum((F.col(label) == 1).cast("long")).alias("_p"), F.sum((F.col(label) == 0).cast("long")).alias("_m"), F.coalesce(F.max("block"), F.lit(0)).alias("n_events"))
     every = whole.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in levels])))
-    right = [F.col(c).alias(f"_r{c}") for c in (*by, "threshold")]
-    same = [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in (*by, "threshold")]
     zero = F.lit(0).cast("long")
-    out = every.join(counts.select(*right, "tp", "fp", "events_hit"), same, "left").withColumns({c: F.coalesce(c, zero) for c in ("tp", "fp", "events_hit")})
+    out = join_null_safe(every, counts, [*by, "threshold"], "left").withColumns({c: F.coalesce(c, zero) for c in ("tp", "fp", "events_hit")})
     return out.select(*by, "threshold", "tp", "fp", (F.col("_p") - F.col("tp")).alias("fn"), (F.col("_m") - F.col("fp")).alias("tn"), "n_events", "events_hit")
 
 

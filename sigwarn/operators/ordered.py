@@ -60,6 +60,13 @@ def handed_over(at: np.ndarray, start: int, end: int, span: int) -> np.ndarray:
     return np.where(i < len(at), left[i], np.maximum(0, start + blocked - end))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left with the other columns of right, where the columns `on` are equal or both null."""
+    other = right.select(*[F.col(c).alias(f"_right_{c}") for c in on], *[c for c in right.columns if c not in on])
+    same = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on]
+    return left.join(other, same, how).drop(*[f"_right_{c}" for c in on])
+
+
 def alarms(df: DataFrame, by: list[str], threshold: Column | float = 0.5, k: int = 5, m: int = 12, refractory: int = 180, order: str = "seq", value: str = "prob", chunk: int = CHUNK_ROWS) -> DataFrame:
     """df with `alarm` (0 or 1): k of the last m rows reach the threshold and no alarm fired in the last `refractory` rows.
 
@@ -76,7 +83,7 @@ def alarms(df: DataFrame, by: list[str], threshold: Column | float = 0.5, k: int
     def tables(frame: pd.DataFrame) -> pd.DataFrame:
         c = int(frame["_chunk"].iloc[0])
         over = handed_over(np.sort(frame["_n"].to_numpy()), c * chunk, (c + 1) * chunk, refractory)
-        return frame.iloc[:1][by].assign(_chunk=c, _over=[over.tolist()])
+        return frame.iloc[:1][by].astype(object).assign(_chunk=c, _over=[over.tolist()])
 
     def compose(frame: pd.DataFrame) -> pd.DataFrame:
         frame, state, last, entry = frame.sort_values("_chunk"), 0, None, []
@@ -85,17 +92,18 @@ def alarms(df: DataFrame, by: list[str], threshold: Column | float = 0.5, k: int
                 state = max(0, state - (c - last - 1) * chunk)
             entry.append(state)
             state, last = int(over[state]), c
-        return frame[[*by, "_chunk"]].assign(_blocked=entry)
+        return frame[by].astype(object).assign(_chunk=frame["_chunk"], _blocked=entry)
 
     def follow(frame: pd.DataFrame) -> pd.DataFrame:
         at = np.sort(frame["_n"].to_numpy())
         fires = fire(at, int(frame["_chunk"].iloc[0]) * chunk, int(frame["_blocked"].iloc[0]), refractory)
-        return pd.DataFrame({b: [frame[b].iloc[0]] * int(fires.sum()) for b in by} | {"_n": at[fires]})
+        return pd.DataFrame({b: pd.Series([frame[b].iloc[0]] * int(fires.sum()), dtype=object) for b in by} | {"_n": at[fires]})
 
     over = candidates.groupBy(*by, "_chunk").applyInPandas(tables, f"{keys}, _chunk long, _over array<long>")
     entry = over.groupBy(*by).applyInPandas(compose, f"{keys}, _chunk long, _blocked long")
-    fired = candidates.join(entry, [*by, "_chunk"]).groupBy(*by, "_chunk").applyInPandas(follow, f"{keys}, _n long")
-    return voted.join(fired.withColumn("_fired", F.lit(1)), [*by, "_n"], "left").withColumn("alarm", F.coalesce("_fired", F.lit(0))).drop("_n", "_fired", "vote")
+    entered = join_null_safe(candidates, entry, [*by, "_chunk"])
+    fired = entered.groupBy(*by, "_chunk").applyInPandas(follow, f"{keys}, _n long")
+    return join_null_safe(voted, fired.withColumn("_fired", F.lit(1)), [*by, "_n"], "left").withColumn("alarm", F.coalesce("_fired", F.lit(0))).drop("_n", "_fired", "vote")
 
 
 def blocks(df: DataFrame, by: list[str], order: str = "seq", label: str = "label") -> DataFrame:
@@ -169,9 +177,9 @@ def leave_one_event_out(blocked: DataFrame, by: list[str], order: str = "seq", l
     ends = blocked.where("block is not null").groupBy(*by, "block").agg(F.max(order).alias("last"))
     w = Window.partitionBy(*by).orderBy("block")
     ends = ends.withColumn("after", F.lag("last").over(w)).withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    counts = blocked.join(ends.select(*by, F.col("block").alias("_b"), "last", "after"), by).where(F.col(order) <= F.col("last")).where(F.coalesce(F.col(order) > F.col("after"), F.lit(True)))
+    counts = join_null_safe(blocked, ends.select(*by, F.col("block").alias("_b"), "last", "after"), by).where(F.col(order) <= F.col("last")).where(F.coalesce(F.col(order) > F.col("after"), F.lit(True)))
     tests = counts.groupBy(*by, F.col("_b").alias("fold")).agg(F.count(F.lit(1)).alias("test_rows"), F.sum(label).alias("test_positives"))
-    out = tests.join(series, by).join(ends.groupBy(*by).agg(F.max("blocks").alias("blocks")), by).where("blocks >= 2")
+    out = join_null_safe(join_null_safe(tests, series, by), ends.groupBy(*by).agg(F.max("blocks").alias("blocks")), by).where("blocks >= 2")
     out = out.withColumn("train_rows", F.col("rows") - F.col("test_rows")).withColumn("train_positives", F.col("positives") - F.col("test_positives"))
     fits = f"train_rows >= {least_train} and test_rows >= {least_test} and train_positives between 1 and train_rows - 1 and test_positives between 1 and test_rows - 1"
     return out.where(fits).select(*by, "fold", "train_rows", "train_positives", "test_rows", "test_positives")

@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from sigwarn.plans import comparison, curves, evaluation, labelling, models, recordings, series, signals, streams  # noqa: E402, F401
+from sigwarn.plans import comparison, curves, evaluation, graphs, labelling, models, recordings, series, signals, streams  # noqa: E402, F401
