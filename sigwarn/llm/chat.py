@@ -103,6 +103,19 @@ def read_back(chats: DataFrame) -> DataFrame:
     return chats.withColumn("turns", F.transform(pieces, turn))
 
 
+def read_parts(raw: Column) -> Column:
+    """The typed parts of the escaped text of a turn, in order: (type, text, k), k numbering an attachment in its conversation.
+
+    A placeholder is a part; text that only looks like one is escaped and stays text. Neighbouring text parts come
+    back as one, empty ones don't come back, and parts of unknown types come back as text.
+    """
+    pieces = F.regexp_extract_all(raw, F.lit(rf"(?s)<(?:{'|'.join(ATTACHMENTS)}) [0-9]+>|(?:[^<\\]|\\.)+"), F.lit(0))
+    of = lambda p, g: F.regexp_extract(p, "^<([a-z]+) ([0-9]+)>$", g)
+    attachment = lambda p: F.struct(of(p, 1).alias("type"), F.lit(None).cast("string").alias("text"), F.try_to_number(of(p, 2), F.lit("9999999999")).cast("int").alias("k"))
+    text = lambda p: F.struct(F.lit("text").alias("type"), unescape(p).alias("text"), F.lit(None).cast("int").alias("k"))
+    return F.transform(pieces, lambda p: F.when(p.startswith("<"), attachment(p)).otherwise(text(p)))
+
+
 def digests(chats: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the formatted string."""
     chats = read_back(chats)

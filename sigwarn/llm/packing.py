@@ -70,10 +70,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     A batch holds max(1, budget // bound) documents, each padded to the bucket's bound; a document longer than the
     budget is a batch by itself. Buckets are cut into shards by the hash of the id, and rows are numbered by length
     and id inside them, so that only the last batch of a shard can be short. Null texts count as empty: length 0,
-    with a bucket of bound 0 or the smallest. Repeated rows are packed each. An empty table gives an empty result;
-    other columns are not looked at.
+    with a bucket of bound 0 or the smallest. Repeated rows are packed each, rows with a null id too. An empty table
+    gives an empty result; other columns are not looked at. Where the id is named like one of the other results, that
+    one gets a trailing underscore.
     """
-    sized = docs.select(F.col(id_col), length_of(F.col(text_col)).alias("n_tokens")).withColumn("_class", length_class(F.col("n_tokens")))
+    sized = docs.select(F.col(id_col).alias("_id"), length_of(F.col(text_col)).alias("n_tokens")).withColumn("_class", length_class(F.col("n_tokens")))
     sized = materialize(sized.withColumn("_row", F.monotonically_increasing_id()))
     found = sized.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).toArrow()
     lengths, counts = np.asarray(found["_class"]), np.asarray(found["n"])
@@ -84,9 +85,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     pick = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("bucket") + 1)
     bucket = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds[:-1]]).cast("array<long>"), lambda b: b < F.col("_class")))
     out = sized.withColumn("bucket", bucket).withColumn("bound", pick(bounds).cast("long"))
-    out = out.withColumn("shard", F.pmod(F.xxhash64(id_col, "_row"), pick(shards)).cast("int"))
-    order = Window.partitionBy("bucket", "shard").orderBy("n_tokens", id_col, "_row")
+    out = out.withColumn("shard", F.pmod(F.xxhash64("_id", "_row"), pick(shards)).cast("int"))
+    order = Window.partitionBy("bucket", "shard").orderBy("n_tokens", "_id", "_row")
     per = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bound"), F.lit(1))))
     out = out.withColumn("_n", F.row_number().over(order) - 1)
     out = out.withColumn("batch", F.floor(F.col("_n") / per).cast("long")).withColumn("position", (F.col("_n") % per).cast("int"))
-    return out.select(id_col, "n_tokens", "bucket", "bound", "shard", "batch", "position", (F.col("bound") - F.col("n_tokens")).alias("padding"))
+    out = out.withColumn("padding", F.col("bound") - F.col("n_tokens"))
+    return out.select(F.col("_id").alias(id_col), *[F.col(c).alias(c + "_" * (c == id_col.lower())) for c in ("n_tokens", "bucket", "bound", "shard", "batch", "position", "padding")])

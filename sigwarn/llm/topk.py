@@ -28,6 +28,15 @@ def statistics(v: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([np.stack([p.mean(1) if p.shape[1] else np.zeros(len(p)) for p in parts], 1) * length, np.stack([p.std(1) if p.shape[1] else np.zeros(len(p)) for p in parts], 1) * length], axis=1)
 
 
+def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers as 64-bit integers: exact, at the ends of their range where they go beyond it."""
+    most = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, len(q))
+    if most < 2**53:
+        return (x @ q).astype(np.int64)
+    whole = [int(v) for v in q]
+    return np.array([min(max(sum(int(a) * b for a, b in zip(row, whole, strict=True)), -(2**63)), 2**63 - 1) for row in x], dtype=np.int64)
+
+
 def block_top_k(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of the k best rows of a block for each query of a block; ties to the smaller row id."""
     width = max(q.shape[1], x.shape[1])
@@ -44,13 +53,13 @@ def block_top_k(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarr
         first = firsts[i][bound[i, firsts[i]] > -np.inf]
         if not len(first):
             continue
-        scores = x[first] @ q[i]
+        scores = inner(x[first], q[i])
         floor = np.partition(scores, -k)[-k] if len(first) >= k else -np.inf
         survivors = np.flatnonzero((bound[i] >= floor) & (bound[i] > -np.inf))
         finer = fine_x[survivors] @ fine_q[i]
         survivors = survivors[finer + 1e-6 * np.abs(finer) + slack[i, survivors] >= floor]
-        exact = x[survivors] @ q[i]
-        best = np.lexsort((x_ids[survivors], -exact))[:k]
+        exact = inner(x[survivors], q[i])
+        best = np.lexsort((x_ids[survivors], ~exact))[:k]
         out[0].append(np.full(len(best), q_ids[i]))
         out[1].append(x_ids[survivors[best]])
         out[2].append(exact[best])
@@ -63,10 +72,10 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     Components become floor(scale * x); scores are integer inner products, ties go to the smaller id, and a query with
     fewer than k others gets all. Vectors that are null or hold null or non-finite components and rows with a null id
     take no part. Rows that repeat an id count once, with the smallest of their vectors. A vector that is shorter than
-    another counts as continued by zeros. Components times scale are taken to stay below 2**20 in size. An empty table
-    gives an empty result; other columns are not looked at.
+    another counts as continued by zeros. Components become 64-bit integers, and scores are exact; a component or a score
+    beyond that range is at its end. An empty table gives an empty result; other columns are not looked at.
     """
-    whole = F.transform(F.col(vector_col), lambda v: F.floor(v.cast("double") * scale).cast("int"))
+    whole = F.transform(F.col(vector_col), lambda v: F.floor(v.cast("double") * scale))
     fine = F.forall(F.col(vector_col), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(fine)
     rows = rows.select(F.col(id_col).cast("long").alias("id"), whole.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
@@ -82,7 +91,7 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
         if not len(q) or not len(x):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         a, b, s = block_top_k(q["id"].to_numpy(np.int64), _matrix(q["v"]), x["id"].to_numpy(np.int64), _matrix(x["v"]), k)
-        return pd.DataFrame({"query_id": a.astype(np.int64), "vec_id": b.astype(np.int64), "score": np.rint(s).astype(np.int64)})
+        return pd.DataFrame({"query_id": a.astype(np.int64), "vec_id": b.astype(np.int64), "score": s.astype(np.int64)})
 
     found = queries.groupBy("qb", "rb").cogroup(dealt.groupBy("qb", "rb")).applyInPandas(pair, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
