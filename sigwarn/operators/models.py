@@ -7,10 +7,13 @@ with the rows; every fit and every scoring is a distributed job.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
@@ -23,7 +26,10 @@ from pyspark.sql.types import IntegerType
 
 from sigwarn.functions import hash_order, sigmoid
 from sigwarn.operators.metrics import auc_ap
+from sigwarn.sources.results import fresh_path
 
+#: Folds whose models are trained at the same time.
+FOLDS_AT_ONCE = 4
 #: The columns that the estimators read and write.
 COLUMNS = dict(featuresCol="scaled", labelCol="label")
 
@@ -87,13 +93,36 @@ def subjects_of(df: DataFrame) -> list:
     return sorted(r["subject_id"] for r in sizes if p > r["p"] and n > r["n"])
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that folds read it instead of working it out again."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _gathered(df: DataFrame, parts: list[Callable[[], DataFrame]]) -> DataFrame:
+    """(subject_id, seq, label, prob) of all parts, some of them worked out at the same time.
+
+    Each is written as soon as its model is there, so that plans stay short whatever the number of folds.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, "scores")
+    schema = f"subject_id {df.schema['subject_id'].dataType.simpleString()}, seq long, label int, prob double"
+
+    def write(k: int) -> None:
+        parts[k]().withColumn("seq", F.col("seq").cast("long")).write.parquet(f"{path}/{k}")
+
+    if not parts:
+        return spark.createDataFrame([], schema)
+    with ThreadPool(min(FOLDS_AT_ONCE, len(parts))) as pool:
+        pool.map(inheritable_thread_target(spark)(write), range(len(parts)), chunksize=1)
+    return spark.read.schema(schema).parquet(*[f"{path}/{k}" for k in range(len(parts))])
+
+
 def leave_one_out(df: DataFrame, estimator: Estimator) -> DataFrame:
-    """(subject_id, seq, label, prob): each subject scored by a model of all the others; null if there is no fold."""
-    rows, out = vectors(df), None
-    for subject in subjects_of(df):
-        one = fit_and_score(rows.where(F.col("subject_id") != subject), rows.where(F.col("subject_id") == subject), estimator)
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else df.select("subject_id", "seq", "label", F.lit(None).cast("double").alias("prob"))
+    """(subject_id, seq, label, prob): each subject scored by a model of all the others; empty if there is no fold."""
+    rows = stored(vectors(df), "features")
+    other, own = (lambda s: rows.where(F.col("subject_id") != s)), (lambda s: rows.where(F.col("subject_id") == s))
+    return _gathered(df, [partial(lambda s: fit_and_score(other(s), own(s), estimator), s) for s in subjects_of(rows)])
 
 
 def by_part(df: DataFrame, estimator: Estimator) -> DataFrame:
@@ -104,12 +133,9 @@ def by_part(df: DataFrame, estimator: Estimator) -> DataFrame:
 
 def within_subjects(df: DataFrame, estimator: Estimator) -> DataFrame:
     """As by_part(), with a model for each subject; subjects whose training rows have one class are left out."""
-    both = df.where("part = 'train'").groupBy("subject_id").agg(F.countDistinct("label").alias("c")).where("c = 2").select("subject_id")
-    out = None
-    for subject in sorted(r[0] for r in both.collect()):
-        one = by_part(df.where(F.col("subject_id") == subject), estimator)
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else df.where("false").select("subject_id", "seq", "label", F.lit(None).cast("double").alias("prob"))
+    rows = stored(df, "features")
+    both = rows.where("part = 'train'").groupBy("subject_id").agg(F.countDistinct("label").alias("c")).where("c = 2").select("subject_id")
+    return _gathered(df, [partial(lambda s: by_part(rows.where(F.col("subject_id") == s), estimator), s) for s in sorted(r[0] for r in both.collect())])
 
 
 def random_features(df: DataFrame, size: int, width: int, gamma: float, seed: int = 7) -> DataFrame:

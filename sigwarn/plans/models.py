@@ -1,4 +1,4 @@
-"""Queries that train models: embeddings are the features of windows, dealt to three subjects."""
+"""Queries that train models: embeddings are the features of windows, their labels the subjects."""
 
 from __future__ import annotations
 
@@ -17,12 +17,12 @@ from sigwarn.plans.series import block_events, blocked, level
 from sigwarn.registry import query
 from sigwarn.sources.tables import matrices
 
-WIDTH, FOLDS = 64, 3
+WIDTH = 64
 
 
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = matrices(spark, sf_dir).where(F.size("a") == WIDTH).where(~F.exists("a", lambda x: x.isNull() | F.isnan(x)))
-    return whole.select((F.col("subject_id") % FOLDS).alias("subject_id"), "seq", "label", F.col("a").alias("features"))
+    return whole.select("subject_id", "seq", "label", F.col("a").alias("features"))
 
 
 def _left_out(name: str, doc: str, estimator: Callable[[], Estimator], view: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
@@ -89,7 +89,7 @@ def j14_leads_against_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     leads = w.lead_only(whole, o.classify_leads(block_events(whole), ["subject_id"], GAP, 0), ["subject_id"])
     out = None
     for name, rows in (("all", whole), ("lead", leads)):
-        kept = rows.select("subject_id", "seq", "label").join(values, ["subject_id", "seq"]).withColumn("subject_id", F.col("subject_id") % FOLDS)
+        kept = rows.select("subject_id", "seq", "label").join(values, ["subject_id", "seq"])
         scored = d.leave_one_out(kept, d.logistic())
         share = scored.groupBy("subject_id").agg(F.avg("label").alias("prevalence"))
         each = auc_ap(scored, ["subject_id"]).join(share, "subject_id").withColumn("skill", skill(F.col("ap"), F.col("prevalence")))
