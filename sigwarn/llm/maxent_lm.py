@@ -1,10 +1,12 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
 Tokens are lower-cased words and an end. The most frequent tokens (the head) are dealt by rank to classes of WIDTH;
-all others to eight tail classes by their shape (length, last character, bytes beyond ASCII). A token's probability
-is that of its class given the context, times that of the token in its class: for the head given the context too, in
-the tail its smoothed share of the class. Both softmaxes sum hashed weights of n-gram features (previous token,
-previous two) and skip features (second and third last token), and start from the corpus's log shares.
+all others to eight tail classes by their shape (length, last character, bytes beyond ASCII), and in each to WIDTH
+cells by their hash. A token's probability is that of its class given the context, times that of its place in the class
+given the context: in the head the token itself, in the tail its cell, of which it has its smoothed share. Both
+softmaxes sum hashed weights of n-gram features (previous token, previous two) and skip features (second and third last
+token), and start from the corpus's log shares. Features are hashed from the words themselves, whatever their rank; the
+nearest and the third last word count by shape too where they are in the tail.
 
 Training goes over all training documents in ROUNDS parts. In each, every partition follows the gradient on its own
 documents from the common weights; the changes are averaged, each weighted by how often its row was touched.
@@ -28,13 +30,18 @@ from sigwarn.llm.words import Words, byte_blocks, mix
 HEAD, WIDTH, SHAPES = 512, 24, 8
 GROUPS = -(-HEAD // WIDTH)
 CLASSES = GROUPS + SHAPES
-#: Symbols of the context: head tokens, the shapes of others, the start.
-SYMBOLS, START = HEAD + SHAPES + 1, HEAD + SHAPES
-CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
+#: Rows of weights that features are hashed to; not above 2 ** 16.
+CLASS_ROWS, WORD_ROWS = 1 << 15, 1 << 16
+#: What stands before a text in the context.
+START = np.uint64(0x73746172742D6F66)
+#: Partial sums that are added up in one group.
+FAN_IN = 64
 ROUNDS, STEP_TOKENS, RATE, SHRINK = 2, 1 << 14, 0.25, 20
 #: Counts of so many frequent tokens go to all executors; all others are joined.
 CACHED = 1 << 16
 END = np.uint64(0x656E642D6F662D74)
+ODD = np.uint64(0xD6E8FEB86659FD93)
+CELL_SHIFT = 40
 ADD = 0.1
 
 
@@ -48,6 +55,11 @@ def tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return h, shape, doc, words.bounds[:-1] + np.arange(words.n_docs)
 
 
+def cell(h: np.ndarray) -> np.ndarray:
+    """The cell of each hash in its tail class."""
+    return ((h >> np.uint64(CELL_SHIFT)) % np.uint64(WIDTH)).astype(np.int64)
+
+
 class Lookup:
     """Index of a hash among given ones by two direct tables; given ones that fit in neither are left out."""
 
@@ -85,10 +97,11 @@ class Model:
         n = min(HEAD, len(counts))
         head[:n] = counts[:n] + ADD
         head = head.reshape(GROUPS, WIDTH)
-        share = np.concatenate([head.sum(1), tail + ADD * (types + 1)])
+        places = np.concatenate([head, tail + ADD * (types + 1)])
+        share = places.sum(1)
         with np.errstate(divide="ignore"):
             self.class_b = np.log(share / share.sum()).astype(np.float32)
-            self.word_b = np.log(head / np.maximum(head.sum(1, keepdims=True), 1e-300)).astype(np.float32)
+            self.word_b = np.log(places / np.maximum(share[:, None], 1e-300)).astype(np.float32)
         self.lookup = None
 
     def __getstate__(self) -> dict:
@@ -99,22 +112,26 @@ class Model:
             self.lookup = Lookup(self.cached)
         return self.lookup(h)
 
-    def context(self, index: np.ndarray, shape: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def context(self, h: np.ndarray, shape: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Class, place in the class, and the class and word rows of each token's features."""
+        index = self.index(h)
         is_head = (index >= 0) & (index < HEAD)
-        symbol = np.where(is_head, index, HEAD + shape)
         group = np.where(is_head, index // WIDTH, GROUPS + shape)
-        last = []
-        for k in (1, 2, 3):
-            s = np.full(len(symbol), START, dtype=np.int64)
-            s[k:] = np.where(doc[k:] == doc[:-k], symbol[:-k], START)
-            last.append(s)
-        a, b, c = last
-        row = lambda kind, x, rows: (mix((x * 8 + kind).astype(np.uint64)) % np.uint64(rows)).astype(np.int32)
-        in_class = np.stack([row(0, a, CLASS_ROWS), row(1, b, CLASS_ROWS), row(2, c, CLASS_ROWS), row(3, a * SYMBOLS + b, CLASS_ROWS)])
-        g = np.minimum(group, GROUPS)
-        in_word = np.stack([row(4, a * CLASSES + g, WORD_ROWS), row(5, b * CLASSES + g, WORD_ROWS), row(6, c * CLASSES + g, WORD_ROWS)])
-        return group, np.where(is_head, index % WIDTH, -1), in_class, in_word
+        coarse = np.where(is_head, h, shape.astype(np.uint64))
+
+        def back(x: np.ndarray, k: int) -> np.ndarray:
+            out = np.full(len(x), START)
+            out[k:] = np.where(doc[k:] == doc[:-k], x[:-k], START)
+            return out
+
+        def row(kind: int, x: np.ndarray, rows: int) -> np.ndarray:
+            return (mix(x ^ mix(np.full(1, kind, np.uint64))) % np.uint64(rows)).astype(np.int32)
+
+        a, b, near, far = back(h, 1), back(h, 2), back(coarse, 1), back(coarse, 3)
+        in_class = np.stack([row(k, x, CLASS_ROWS) for k, x in enumerate((near, a, b, far, a * ODD + b))])
+        g = mix(group.astype(np.uint64) + np.uint64(1))
+        in_word = np.stack([row(8 + k, x + g, WORD_ROWS) for k, x in enumerate((near, a, b, far))])
+        return group, np.where(is_head, index % WIDTH, cell(h)), in_class, in_word
 
     def _soft(self, z: np.ndarray) -> np.ndarray:
         z -= z.max(1, keepdims=True)
@@ -122,16 +139,16 @@ class Model:
         z /= z.sum(1, keepdims=True)
         return z
 
-    def outputs(self, group: np.ndarray, in_class: np.ndarray, in_word: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of all classes, and of all places in the true class of the head tokens."""
+    def outputs(self, group: np.ndarray, in_class: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of all classes, and of all places in the true class."""
         z = self.class_w[in_class[0]]
         for r in in_class[1:]:
             z += self.class_w[r]
         z += self.class_b
-        y = self.word_w[in_word[0][heads]]
+        y = self.word_w[in_word[0]]
         for r in in_word[1:]:
-            y += self.word_w[r[heads]]
-        y += self.word_b[group[heads]]
+            y += self.word_w[r]
+        y += self.word_b[group]
         return self._soft(z), self._soft(y)
 
     def log10(self, group: np.ndarray, place: np.ndarray, in_class: np.ndarray, in_word: np.ndarray) -> np.ndarray:
@@ -139,26 +156,25 @@ class Model:
         out = np.empty(len(group))
         for at in range(0, len(group), STEP_TOKENS):
             cut = slice(at, at + STEP_TOKENS)
-            g, heads = group[cut], np.flatnonzero(place[cut] >= 0)
-            p, q = self.outputs(g, in_class[:, cut], in_word[:, cut], heads)
-            part = np.log10(np.maximum(p[np.arange(len(g)), g], 1e-30), dtype=np.float64)
-            part[heads] += np.log10(np.maximum(q[np.arange(len(heads)), place[cut][heads]], 1e-30), dtype=np.float64)
-            out[cut] = part
+            p, q = self.outputs(group[cut], in_class[:, cut], in_word[:, cut])
+            all_of = np.arange(len(p))
+            both = np.maximum(p[all_of, group[cut]], 1e-30), np.maximum(q[all_of, place[cut]], 1e-30)
+            out[cut] = np.log10(both[0], dtype=np.float64) + np.log10(both[1], dtype=np.float64)
         norm = np.log10(self.tail + ADD * (self.types + 1))
-        return out - np.where(place < 0, norm[np.maximum(group - GROUPS, 0)], 0.0)
+        return out - np.where(group >= GROUPS, norm[np.maximum(group - GROUPS, 0), place], 0.0)
 
     def follow(self, group: np.ndarray, place: np.ndarray, in_class: np.ndarray, in_word: np.ndarray, state: dict) -> None:
         """Gradient steps over the tokens; state holds squared gradients and touches of each row."""
         for at in range(0, len(group), STEP_TOKENS):
             cut = slice(at, at + STEP_TOKENS)
-            g, heads = group[cut], np.flatnonzero(place[cut] >= 0)
-            p, q = self.outputs(g, in_class[:, cut], in_word[:, cut], heads)
-            p[np.arange(len(g)), g] -= 1
-            q[np.arange(len(heads)), place[cut][heads]] -= 1
+            p, q = self.outputs(group[cut], in_class[:, cut], in_word[:, cut])
+            all_of = np.arange(len(p))
+            p[all_of, group[cut]] -= 1
+            q[all_of, place[cut]] -= 1
             for r in in_class[:, cut]:
                 self._step(self.class_w, state["class"], r, p)
             for r in in_word[:, cut]:
-                self._step(self.word_w, state["word"], r[heads], q)
+                self._step(self.word_w, state["word"], r, q)
 
     def _step(self, weights: np.ndarray, state: tuple[np.ndarray, np.ndarray], rows: np.ndarray, error: np.ndarray) -> None:
         if not len(rows):
@@ -206,7 +222,7 @@ def _round(texts: DataFrame, model: Model) -> None:
         for batch in batches:
             for _, _, data, offsets in byte_blocks(batch.column("text")):
                 h, shape, doc, _ = tokens(Words(data, offsets))
-                own.follow(*own.context(own.index(h), shape, doc), state)
+                own.follow(*own.context(h, shape, doc), state)
                 any_rows = True
         common.lookup = own.lookup
         if not any_rows:
@@ -222,8 +238,9 @@ def _round(texts: DataFrame, model: Model) -> None:
         total = np.sum([np.frombuffer(x, np.float32).astype(np.float64) for x in sorted(frame["sums"])], axis=0).astype(np.float32)
         return pd.DataFrame({"block": [frame["block"].iloc[0]], "sums": [total.tobytes()]})
 
-    parts = texts.mapInArrow(run, "block int, sums binary").withColumn("part", F.spark_partition_id() % 64)
-    some = parts.groupBy("block", "part").applyInPandas(lambda f: add(f[["block", "sums"]]), "block int, sums binary")
+    some = texts.mapInArrow(run, "block int, sums binary").withColumn("part", F.floor(F.spark_partition_id() / FAN_IN).cast("int"))
+    some = some.groupBy("block", "part").applyInPandas(lambda f: add(f).assign(part=f["part"].iloc[0] // FAN_IN), "block int, sums binary, part int")
+    some = some.groupBy("block", "part").applyInPandas(add, "block int, sums binary")
     for row in some.groupBy("block").applyInPandas(add, "block int, sums binary").collect():  # the size of the weights
         kind, block = divmod(row["block"], 1000)
         weights = (model.class_w, model.word_w)[kind]
@@ -244,10 +261,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     out = Lookup(cached).left_out
     cached, cached_counts = np.delete(cached, out), np.delete(cached_counts, out)
     heads = [int(x) for x in cached[:HEAD].view(np.int64)]
-    tail, types = np.zeros(SHAPES), np.zeros(SHAPES)
+    tail, types = np.zeros((SHAPES, WIDTH)), np.zeros((SHAPES, WIDTH))
     rest = counts.where(~F.col("h").isin(heads)) if heads else counts
-    for row in rest.groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
-        tail[row["shape"]], types[row["shape"]] = row["c"], row["v"]
+    at = F.shiftrightunsigned("h", CELL_SHIFT) % WIDTH
+    for row in rest.groupBy("shape", at.alias("cell")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # a row per cell
+        tail[row["shape"], row["cell"]], types[row["shape"], row["cell"]] = row["c"], row["v"]
     model = Model(cached, cached_counts, tail, types)
     for k in range(ROUNDS):
         _round(texts.where(F.col("part") == k).select("text"), model)
@@ -273,8 +291,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 h, shape, doc, starts = tokens(Words(data, offsets))
                 index = m.index(h)
                 own = np.where(index >= 0, log_count[np.maximum(index, 0)] if len(log_count) else 0.0, 0.0)
-                group, place, in_class, in_word = m.context(index, shape, doc)
-                token_score = m.log10(group, place, in_class, in_word) + np.where(place < 0, own, 0.0)
+                group, place, in_class, in_word = m.context(h, shape, doc)
+                token_score = m.log10(group, place, in_class, in_word) + np.where(group >= GROUPS, own, 0.0)
                 n = end - at
                 sums = [np.bincount(doc, weights=x, minlength=n) for x in (own, token_score)]
                 unknown = index < 0

@@ -1,7 +1,9 @@
 import base64
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers as P
@@ -133,10 +135,49 @@ def test_language_model_is_a_distribution_and_beats_counts(spark):
     empty = next(r for r in got if r["doc_id"] == 120)
     assert empty["n_tokens"] == 1
     model = maxent_lm.fit(documents(spark, texts))[0]
-    p, q = model.outputs(np.array([0]), np.zeros((4, 1), int), np.zeros((3, 1), int), np.array([0]))
+    p, q = model.outputs(np.array([0]), np.zeros((5, 1), int), np.zeros((4, 1), int))
     assert abs(p.sum() - 1) < 1e-5 and abs(q.sum() - 1) < 1e-5
 
 
+def test_probabilities_of_all_tokens_sum_to_one(spark):
+    from sigwarn.llm.words import Words
+
+    rng = random.Random(9)
+    texts = [" ".join(f"{rng.choice(WORDS)}{rng.randint(0, 60)}{rng.choice(['', '!'])}" for _ in range(60)) for _ in range(100)]
+    model, _, _, distinct = maxent_lm.fit(documents(spark, texts))
+    assert distinct > 2 * maxent_lm.HEAD
+    words = sorted({w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10 for w in t.split()})
+    data = np.frombuffer(" ".join(["alpha0 beta1 gamma2", *words]).encode(), np.uint8)
+    h, shape, _, _ = maxent_lm.tokens(Words(data, np.array([0, len(data)])))
+    one_text = np.zeros(4, np.int64)
+    known = unseen = 0.0
+    for x, s in zip(h[3:], shape[3:], strict=True):  # all known words and the end after the same three words
+        group, place, in_class, in_word = model.context(np.array([*h[:3], x]), np.array([*shape[:3], s]), one_text)
+        count = model.counts[model.index(np.array([x]))[0]] + maxent_lm.ADD if group[3] >= maxent_lm.GROUPS else 1.0
+        known += 10 ** model.log10(group, place, in_class, in_word)[3] * count
+    for g in range(maxent_lm.SHAPES):  # what each cell keeps for words never seen
+        group, _, in_class, in_word = model.context(np.array([*h[:3], 12345], np.uint64), np.array([*shape[:3], g]), one_text)
+        p, q = model.outputs(group[3:], in_class[:, 3:], in_word[:, 3:])
+        unseen += p[0, maxent_lm.GROUPS + g] * (q[0] * maxent_lm.ADD / (model.tail[g] + maxent_lm.ADD * (model.types[g] + 1))).sum()
+    assert abs(known + unseen - 1) < 1e-4
+
+
+def test_base_columns_equal_brute_force(spark, texts):
+    got = {r["doc_id"]: r for r in maxent_lm.score(documents(spark, texts)).collect()}
+    cut = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda x: x[0].lower(), t or "")), None]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    seen = {}
+    for i, t in enumerate(texts):
+        for w in () if held(i) else cut(t):
+            seen[w] = seen.get(w, 0) + 1
+    n, v = sum(seen.values()), len(seen)
+    for i, t in enumerate(texts):
+        w, r = cut(t), got[i]
+        base = sum(math.log10((seen.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))) for x in w)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(w), sum(x in seen for x in w), n)
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9)
+
+
 def test_byte_bpe_equals_tiktoken(spark):
     path = P.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
