@@ -30,13 +30,15 @@ from sigwarn.llm.words import Words, byte_blocks, mix
 HEAD, WIDTH, SHAPES = 512, 24, 8
 GROUPS = -(-HEAD // WIDTH)
 CLASSES = GROUPS + SHAPES
-#: Rows of weights that features are hashed to; not above 2 ** 16.
+#: Rows of weights that features are hashed to; powers of 2, not above 2 ** 16.
 CLASS_ROWS, WORD_ROWS = 1 << 15, 1 << 16
 #: What stands before a text in the context.
 START = np.uint64(0x73746172742D6F66)
 #: Partial sums that are added up in one group.
 FAN_IN = 64
 ROUNDS, STEP_TOKENS, RATE, SHRINK = 2, 1 << 14, 0.25, 20
+#: Weights of a row that take a step of the same size share so much of its squared gradient.
+SPREAD = 4
 #: Counts of so many frequent tokens go to all executors; all others are joined.
 CACHED = 1 << 16
 END = np.uint64(0x656E642D6F662D74)
@@ -125,7 +127,7 @@ class Model:
             return out
 
         def row(kind: int, x: np.ndarray, rows: int) -> np.ndarray:
-            return (mix(x ^ mix(np.full(1, kind, np.uint64))) % np.uint64(rows)).astype(np.int32)
+            return (mix(x ^ mix(np.full(1, kind, np.uint64))) & np.uint64(rows - 1)).astype(np.intp)
 
         a, b, near, far = back(h, 1), back(h, 2), back(coarse, 1), back(coarse, 3)
         in_class = np.stack([row(k, x, CLASS_ROWS) for k, x in enumerate((near, a, b, far, a * ODD + b))])
@@ -141,14 +143,14 @@ class Model:
 
     def outputs(self, group: np.ndarray, in_class: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of all classes, and of all places in the true class."""
-        z = self.class_w[in_class[0]]
+        z = self.class_w.take(in_class[0], axis=0)
         for r in in_class[1:]:
-            z += self.class_w[r]
+            z += self.class_w.take(r, axis=0)
         z += self.class_b
-        y = self.word_w[in_word[0]]
+        y = self.word_w.take(in_word[0], axis=0)
         for r in in_word[1:]:
-            y += self.word_w[r]
-        y += self.word_b[group]
+            y += self.word_w.take(r, axis=0)
+        y += self.word_b.take(group, axis=0)
         return self._soft(z), self._soft(y)
 
     def log10(self, group: np.ndarray, place: np.ndarray, in_class: np.ndarray, in_word: np.ndarray) -> np.ndarray:
@@ -164,13 +166,14 @@ class Model:
         return out - np.where(group >= GROUPS, norm[np.maximum(group - GROUPS, 0), place], 0.0)
 
     def follow(self, group: np.ndarray, place: np.ndarray, in_class: np.ndarray, in_word: np.ndarray, state: dict) -> None:
-        """Gradient steps over the tokens; state holds squared gradients and touches of each row."""
+        """Gradient steps over the tokens; state holds the sum of squared gradients and the touches of each row."""
         for at in range(0, len(group), STEP_TOKENS):
             cut = slice(at, at + STEP_TOKENS)
             p, q = self.outputs(group[cut], in_class[:, cut], in_word[:, cut])
             all_of = np.arange(len(p))
             p[all_of, group[cut]] -= 1
             q[all_of, place[cut]] -= 1
+            p, q = (np.ascontiguousarray(x.T, dtype=np.float64) for x in (p, q))
             for r in in_class[:, cut]:
                 self._step(self.class_w, state["class"], r, p)
             for r in in_word[:, cut]:
@@ -181,15 +184,22 @@ class Model:
             return
         order = np.argsort(rows.astype(np.uint16), kind="stable")
         ordered = rows[order]
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        touched, count = ordered[first], np.diff(np.concatenate([first, [len(rows)]]))
-        gradient = np.add.reduceat(error[order], first, axis=0) / (count[:, None] + SHRINK).astype(np.float32)
-        state[0][touched] += gradient**2
+        first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        touched, place = ordered[first], np.empty(len(rows), np.intp)
+        place[order] = np.cumsum(first) - 1
+        count = np.bincount(place)
+        gradient = np.empty((len(touched), len(error)), np.float32)
+        for k, column in enumerate(error):
+            gradient[:, k] = np.bincount(place, weights=column)
+        gradient /= (count[:, None] + SHRINK).astype(np.float32)
+        squares = state[0][touched] + np.einsum("ij,ij->i", gradient, gradient) / np.float32(SPREAD)
+        state[0][touched] = squares
         state[1][touched] += count
-        weights[touched] -= RATE * gradient / np.sqrt(state[0][touched] + 1e-3)
+        gradient *= (RATE / np.sqrt(squares + 1e-3))[:, None]
+        weights[touched] = weights.take(touched, axis=0) - gradient
 
     def state(self) -> dict:
-        return {"class": (np.zeros_like(self.class_w), np.zeros(CLASS_ROWS, np.float32)), "word": (np.zeros_like(self.word_w), np.zeros(WORD_ROWS, np.float32))}
+        return {"class": (np.zeros(CLASS_ROWS, np.float32), np.zeros(CLASS_ROWS, np.float32)), "word": (np.zeros(WORD_ROWS, np.float32), np.zeros(WORD_ROWS, np.float32))}
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
