@@ -125,11 +125,11 @@ def transfer_magnitude(coef: np.ndarray, fs: float, bands: dict = BANDS, per_hz:
     return _per_band(coef, fs, bands, per_hz, lambda h: np.abs(np.linalg.inv(h)))
 
 
-def spectra(x: np.ndarray, segment: int, level: bool = True) -> np.ndarray:
-    """Hann-weighted spectra of half-overlapping segments, each without its mean; axes window, channel, segment, frequency."""
+def spectra(x: np.ndarray, segment: int, level: bool = True, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weighted (by default Hann) spectra of half-overlapping segments, each without its mean; axes window, channel, segment, frequency."""
     cut = np.lib.stride_tricks.sliding_window_view(x, segment, axis=2)[:, :, :: segment // 2]
     cut = cut - cut.mean(axis=-1, keepdims=True) if level else cut
-    return np.fft.rfft(cut * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(segment) / segment)), axis=-1)
+    return np.fft.rfft(cut * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(segment) / segment) if weight is None else weight), axis=-1)
 
 
 def power_density(x: np.ndarray, fs: float, segment: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,11 +156,13 @@ def coherence(x: np.ndarray, segment: int = 256) -> np.ndarray:
     return (np.abs(cross) ** 2 / np.maximum(own[:, :, None] * own[:, None], 1e-30)).mean(axis=-1)
 
 
-def log_spectrogram(x: np.ndarray, fs: int, low: float = 0.5, high: float = 30) -> np.ndarray:
-    """Log power of one-second segments in a band; axes window, channel, frequency, segment."""
-    at = np.fft.rfftfreq(fs, 1 / fs)
-    p = np.abs(spectra(x, fs)[..., (at >= low) & (at <= high)]) ** 2
-    return np.log(p + 1e-10).transpose(0, 1, 3, 2)
+def log_spectrogram(x: np.ndarray, fs: int, low: float = 0.5, high: float = 30, tapered: float = 0.25) -> np.ndarray:
+    """log(1 + power density) of half-overlapping one-second segments in a band, a share of each tapered by cosines; axes window, channel, frequency, segment."""
+    at, place = np.fft.rfftfreq(fs, 1 / fs), np.arange(fs)
+    weight = 0.5 - 0.5 * np.cos(np.pi * np.minimum(1, np.minimum(place, fs - place) / (tapered * fs / 2)))
+    p = np.abs(spectra(x, fs, weight=weight)) ** 2 / (fs * (weight**2).sum())
+    p[..., 1 : (fs + 1) // 2] *= 2
+    return np.log1p(p[..., (at >= low) & (at <= high)]).transpose(0, 1, 3, 2)
 
 
 def band_pass(x: np.ndarray, fs: float, low: float = 0.5, high: float = 30, order: int = 4, periods: float = 3) -> np.ndarray:

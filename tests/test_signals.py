@@ -70,7 +70,19 @@ def test_power_and_coherence():
     c = s.coherence(X, 64)
     assert np.allclose(np.einsum("wii->wi", c), 1) and (c <= 1 + 1e-9).all()
     assert np.allclose(s.band_power(X, 64).mean(axis=1), 0, atol=1e-9)
-    assert s.log_spectrogram(X, 64).shape == (4, 3, 30, 7)
+
+
+def test_log_spectrogram_by_plain_loops():
+    got = s.log_spectrogram(X, 64)
+    assert got.shape == (4, 3, 30, 7)
+    ramp = [0.5 * (1 - np.cos(np.pi * n / 8)) for n in range(8)]
+    taper = np.array([*ramp, *[1.0] * 49, *ramp[:0:-1]])
+    for segment in (0, 3, 6):
+        part = X[1, 2, 32 * segment : 32 * segment + 64]
+        part = (part - part.mean()) * taper
+        for f in (1, 7, 30):
+            wave = sum(part[n] * np.exp(-2j * np.pi * f * n / 64) for n in range(64))
+            assert np.isclose(got[1, 2, f - 1, segment], np.log1p(2 * abs(wave) ** 2 / (64 * (taper**2).sum())))
 
 
 def test_signal_queries_run(spark):
