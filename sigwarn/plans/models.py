@@ -65,7 +65,7 @@ def j9_identifiability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def j11_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.principal_components(featured(spark, sf_dir), 10)[1]
+    return d.principal_components(featured(spark, sf_dir), 50)[1]
 
 
 @query()
