@@ -93,13 +93,20 @@ def f2_rank_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LEVEL}, s AS (SELECT *, row_number() OVER (PARTITION BY subject_id, label ORDER BY md5('tier|' || subject_id || '|' || seq), seq) AS h, count(*) OVER (PARTITION BY subject_id, label) AS nl, count(*) OVER (PARTITION BY subject_id) AS n FROM lv),
-t AS (SELECT 'leaky' AS tier, avg(prob) FILTER (label = 1) AS p1, avg(prob) FILTER (label = 0) AS p0, count(*) AS rows FROM s WHERE h > floor(round(nl * 0.8::DOUBLE, 9)) UNION ALL SELECT 'rigorous', avg(prob) FILTER (label = 1), avg(prob) FILTER (label = 0), count(*) FROM s WHERE seq + 1 > floor(round(n * 0.8::DOUBLE, 9))) SELECT tier, rows, round(p1 - p0, 6) AS separation FROM t""")
+t AS (SELECT 'leaky' AS tier, prob, label FROM s WHERE h > floor(round(nl * 0.8::DOUBLE, 9)) UNION ALL SELECT 'rigorous', prob, label FROM s WHERE seq + 1 > floor(round(n * 0.8::DOUBLE, 9))),
+    rk AS (SELECT *, rank() OVER (PARTITION BY tier ORDER BY prob) + (count(*) OVER (PARTITION BY tier, prob) - 1) / 2.0::DOUBLE AS r FROM t),
+    a AS (SELECT tier, count(*) AS rows, (sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / (sum(label) * sum(1 - label)) AS auc FROM rk GROUP BY tier)
+    SELECT row_number() OVER (ORDER BY tier, auc DESC)::INTEGER AS place, tier, rows, round(auc, 6) AS auc, round(max(auc) FILTER (tier = 'leaky') OVER () - max(auc) FILTER (tier = 'rigorous') OVER (), 6) AS gap FROM a""")
 def f7_protocol_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, by = level(spark, sf_dir), ["subject_id"]
     leaky = o.stratified_split(rows, by, {"train": 0.8, "test": 0.2}, seed="tier").where("part = 'test'").select(F.lit("leaky").alias("tier"), "label", "prob")
     rigorous = o.position_split(rows, by).where("part = 'test'").select(F.lit("rigorous").alias("tier"), "label", "prob")
-    apart = F.avg(F.when(F.col("label") == 1, F.col("prob"))) - F.avg(F.when(F.col("label") == 0, F.col("prob")))
-    return leaky.unionByName(rigorous).groupBy("tier").agg(F.count(F.lit(1)).alias("rows"), r6(apart).alias("separation"))
+    both = leaky.unionByName(rigorous)
+    areas = both.groupBy("tier").agg(F.count(F.lit(1)).alias("rows")).join(m.auc_ap(both, ["tier"]), "tier")
+    whole = Window.partitionBy(F.lit(1))  # a row per tier
+    best = lambda tier: F.max(F.when(F.col("tier") == tier, F.col("auc"))).over(whole)
+    place = F.row_number().over(whole.orderBy("tier", F.desc("auc")))
+    return areas.select(place.alias("place"), "tier", "rows", r6(F.col("auc")).alias("auc"), r6(best("leaky") - best("rigorous")).alias("gap"))
 
 
 @query(f"WITH {LEVEL}, t AS (SELECT subject_id AS fold, count(*) AS test_rows, sum(label)::BIGINT AS test_positives FROM lv GROUP BY 1) SELECT fold, test_rows, test_positives, ((SELECT count(*) FROM lv) - test_rows)::BIGINT AS train_rows, ((SELECT sum(label) FROM lv) - test_positives)::BIGINT AS train_positives FROM t")
