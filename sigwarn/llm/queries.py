@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigwarn.llm import bpe, chat, exact_dedup, jaccard, licenses, maxent_lm, packing, pii, quality, topk
+from sigwarn.llm import bpe, chat, exact_dedup, filter_audit, jaccard, licenses, maxent_lm, packing, pii, quality, topk
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,8 +62,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact_dedup, op2_quality, op3_maxent_lm, op4_byte_bpe, op5_length_buckets, op6_exact_top_k, op7_chat_format, op8_license_scan, op9_jaccard_join, op10_pii)
+    found = (op1_exact_dedup, op2_quality, op3_maxent_lm, op4_byte_bpe, op5_length_buckets, op6_exact_top_k, op7_chat_format, op8_license_scan, op9_jaccard_join, op10_pii, op11_filter_audit)
     return {f.__name__: f for f in found}
 
 
@@ -72,6 +76,7 @@ def oracle_sql() -> dict[str, str]:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = "MAP {" + ", ".join(f"{quote(s)}: {quote(name)}" for name, s in licenses.SENTENCES.items()) + "}"
     rules = ", ".join(f"CASE WHEN {' OR '.join('contains(line, ' + quote(',' + ','.join(v) + ',') + ')' for v in variants)} THEN {quote(name)} END" for name, variants in licenses.RULES.items())
+    fails = ", ".join(filter_audit.LETTERS.lower())
     escaped = r"replace(replace({}, '\', '\\'), '<', '\<')"
     return {
         "op1_exact_dedup": """
@@ -112,4 +117,20 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT doc_id AS id, doc_id AS c FROM d UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a),
             m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
             SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.id = d.doc_id""",
+        "op11_filter_audit": rf"""
+            WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+            k AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+            f AS (SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) AS c,
+                regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+                FROM t LEFT JOIN k USING (doc_id)),
+            x AS (SELECT part, [{fails}] AS fails, good, toxic FROM f),
+            l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+            o AS (SELECT l1.x || l2.x || l3.x || l4.x || l5.x AS filter_order FROM l l1, l l2, l l3, l l4, l l5 WHERE len(list_distinct([l1.x, l2.x, l3.x, l4.x, l5.x])) = 5),
+            p AS (SELECT *, coalesce(list_position(list_transform(generate_series(1, 5), lambda i: fails[ascii(filter_order[i]) - 64]), true), 6) AS first FROM x, o),
+            s AS (SELECT part, filter_order, step::INTEGER AS step, filter_order[step] AS letter, first, fails[ascii(filter_order[step]) - 64] AS hit,
+                list_sum(list_transform(fails, lambda y: y::INTEGER)) AS n_fails, good, toxic FROM p, generate_series(1, 5) AS g(step)),
+            n AS (SELECT part, filter_order, step, letter, count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed,
+                count(*) FILTER (hit AND first < step) AS redundant, count(*) FILTER (hit AND n_fails = 1) AS unique_fails,
+                count(*) FILTER (first = step AND good = 1) AS good_lost, count(*) FILTER (first = step AND toxic = 1) AS toxic_lost FROM s GROUP BY ALL)
+            SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM n""",
     }

@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 def test_corpus_query_equals_sql(spark, name, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     duck = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "labels"):
         duck.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = entry.queries()[name](spark, DATA)
     cur = duck.execute(entry.oracle_sql()[name])
