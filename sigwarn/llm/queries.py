@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigwarn.llm import bpe, chat, exact_dedup, filter_audit, jaccard, licenses, maxent_lm, packing, pii, quality, topk
+from sigwarn.llm import bpe, chat, exact_dedup, filter_audit, jaccard, licenses, line_dedup, maxent_lm, packing, pii, quality, topk
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,8 +66,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.digests(docs, line_dedup.line_bitmaps(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact_dedup, op2_quality, op3_maxent_lm, op4_byte_bpe, op5_length_buckets, op6_exact_top_k, op7_chat_format, op8_license_scan, op9_jaccard_join, op10_pii, op11_filter_audit)
+    found = (op1_exact_dedup, op2_quality, op3_maxent_lm, op4_byte_bpe, op5_length_buckets, op6_exact_top_k, op7_chat_format, op8_license_scan, op9_jaccard_join, op10_pii, op11_filter_audit, op13_line_dedup)
     return {f.__name__: f for f in found}
 
 
@@ -133,4 +138,12 @@ def oracle_sql() -> dict[str, str]:
                 count(*) FILTER (hit AND first < step) AS redundant, count(*) FILTER (hit AND n_fails = 1) AS unique_fails,
                 count(*) FILTER (first = step AND good = 1) AS good_lost, count(*) FILTER (first = step AND toxic = 1) AS toxic_lost FROM s GROUP BY ALL)
             SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM n""",
+        "op13_line_dedup": rf"""
+            WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+            l AS (SELECT r, doc_id, i, lines[i] AS line, translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key
+                FROM (SELECT *, unnest(generate_series(1, len(lines))) AS i FROM (SELECT r, doc_id, string_split(text, chr(10)) AS lines FROM t))),
+            k AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+            m AS (SELECT l.*, k.key IS NOT NULL AND l.doc_id <> k.last AS gone FROM l LEFT JOIN k ON l.key = k.key)
+            SELECT min(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r""",
     }
