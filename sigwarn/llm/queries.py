@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigwarn.llm import bpe, chat, exact_dedup, filter_audit, jaccard, licenses, line_dedup, maxent_lm, packing, pii, quality, topk
+from sigwarn.llm import bpe, chat, exact_dedup, filter_audit, jaccard, licenses, line_dedup, maxent_lm, packing, pii, prefix_trie, quality, topk
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,13 +66,18 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prefix_trie.elements(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie_of(prefix_trie.with_borrowed_heads(own))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_dedup.digests(docs, line_dedup.line_bitmaps(docs))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact_dedup, op2_quality, op3_maxent_lm, op4_byte_bpe, op5_length_buckets, op6_exact_top_k, op7_chat_format, op8_license_scan, op9_jaccard_join, op10_pii, op11_filter_audit, op13_line_dedup)
+    found = (op1_exact_dedup, op2_quality, op3_maxent_lm, op4_byte_bpe, op5_length_buckets, op6_exact_top_k, op7_chat_format, op8_license_scan, op9_jaccard_join, op10_pii, op11_filter_audit, op12_prefix_trie, op13_line_dedup)
     return {f.__name__: f for f in found}
 
 
@@ -138,6 +143,27 @@ def oracle_sql() -> dict[str, str]:
                 count(*) FILTER (hit AND first < step) AS redundant, count(*) FILTER (hit AND n_fails = 1) AS unique_fails,
                 count(*) FILTER (first = step AND good = 1) AS good_lost, count(*) FILTER (first = step AND toxic = 1) AS toxic_lost FROM s GROUP BY ALL)
             SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM n""",
+        "op12_prefix_trie": r"""
+            WITH RECURSIVE t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+                FROM conversations WHERE conv_id IS NOT NULL),
+            c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                lambda crc, x: list_reduce([xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 9 AS h
+                FROM (SELECT DISTINCT conv_id FROM t)),
+            r AS (SELECT c.conv_id, 0 AS part, k, role, text FROM c JOIN t ON t.conv_id = c.base AND t.k <= c.h UNION ALL
+                SELECT c.conv_id, 1, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.k > c.h),
+            o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, k) AS d FROM r),
+            g AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY d) AS s FROM o GROUP BY conv_id),
+            s AS (SELECT conv_id, coalesce(s, []) AS s FROM c LEFT JOIN g USING (conv_id)),
+            p AS (SELECT conv_id, d AS depth, s[1:d] AS path, len(s) = d AS ends, CASE WHEN d > 0 THEN strlen(s[d].t) ELSE 0 END AS size FROM s, LATERAL (SELECT unnest(generate_series(0, len(s))) AS d)),
+            n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY path, depth),
+            u AS (SELECT depth, conv_id, path, size, n_convs, ends_sha256, path[1:depth - 1] AS up FROM n),
+            k AS (SELECT up, count(*) AS n_children FROM u WHERE depth > 0 GROUP BY up),
+            w AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN k ON k.up = u.path),
+            a AS (SELECT path[1:j] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved_tokens
+                FROM w, LATERAL (SELECT unnest(generate_series(0, depth)) AS j) GROUP BY ALL)
+            SELECT w.conv_id, w.depth, v.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+            FROM w JOIN a ON a.path = w.path LEFT JOIN n v ON v.path = w.up AND w.depth > 0""",
         "op13_line_dedup": rf"""
             WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
             l AS (SELECT r, doc_id, i, lines[i] AS line, translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key
