@@ -10,85 +10,73 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigwarn.operators.autoregression import lags
+
 #: The bands of the spectral features, in Hz.
 BANDS = {"delta": (0.5, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30), "broadband": (0.5, 30)}
 
 
-def windows(df: DataFrame, by: list[str], order: str, value: str, channels: int, length: int) -> DataFrame:
-    """(by, win, x): consecutive windows of interleaved samples; sample `order` belongs to channel order % channels. Incomplete windows are left out."""
+#: Samples of windows that a helper gets at once, so that its temporary arrays stay small.
+BLOCK_SAMPLES = 1 << 22
+
+
+def windows(df: DataFrame, by: list[str], order: str, value: str, channels: int, length: int, *more: Column) -> DataFrame:
+    """(by, win, x, more): consecutive windows of interleaved samples; sample `order` belongs to channel order % channels.
+
+    x is null where a window lacks a sample, has a null one or has one twice. `more` are aggregates of its rows.
+    """
     size = channels * length
-    cut = df.where(F.col(value).isNotNull()).groupBy(*by, F.floor(F.col(order) / size).alias("win"))
-    grouped = cut.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("s"))
-    return grouped.where(F.size("s") == size).select(*by, "win", F.col("s.v").alias("x"))
+    grouped = df.where(F.col(order).isNotNull()).groupBy(*by, F.floor(F.col(order) / size).alias("win"))
+    cut = grouped.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("s"), *more)
+    full = (F.size("s") == size) & (F.size(F.array_distinct("s.o")) == size) & ~F.exists("s", lambda e: e["v"].isNull())
+    return cut.withColumn("x", F.when(full, F.col("s.v"))).drop("s")
+
 
+def apply(df: DataFrame, helper: Callable[[np.ndarray], np.ndarray], channels: int, length: int, out: str = "features", whole: bool = True) -> DataFrame:
+    """The rows of windows() with helper's numbers instead of x, and `valid`.
 
-def apply(df: DataFrame, helper: Callable[[np.ndarray], np.ndarray], channels: int, length: int, out: str = "features") -> DataFrame:
-    """The rows of windows() with helper's numbers instead of x; null where one of them isn't finite."""
+    A window without x, or of whose numbers one isn't finite, isn't valid and has null for them. With whole=False a number
+    that isn't finite is null by itself, and a window with any number is valid.
+    """
     keys = [c for c in df.columns if c != "x"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields) + f", `{out}` array<double>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields) + f", `{out}` array<double>, valid boolean"
+    block = max(1, BLOCK_SAMPLES // (channels * length))
+
+    def numbers(column: list) -> list:
+        got = [None] * len(column)
+        some = [k for k, x in enumerate(column) if x is not None]
+        for start in range(0, len(some), block):
+            at = some[start : start + block]
+            x = np.stack([column[k] for k in at]).reshape(-1, length, channels).transpose(0, 2, 1)
+            y = np.asarray(helper(x), dtype=float).reshape(len(at), -1)
+            finite = np.isfinite(y)
+            for k, row, ok in zip(at, y, finite, strict=True):
+                if ok.all():
+                    got[k] = row
+                elif not whole and ok.any():
+                    got[k] = [v if f else None for v, f in zip(row.tolist(), ok, strict=True)]
+        return got
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            got = part[keys].copy()
-            if len(part):
-                x = np.stack(part["x"].to_list()).reshape(-1, length, channels).transpose(0, 2, 1)
-                y = np.asarray(helper(x), dtype=float).reshape(len(part), -1)
-                got[out] = [row if np.isfinite(row).all() else None for row in y]
-            else:
-                got[out] = pd.Series(dtype=object)
-            yield got
+            got = numbers(part["x"].to_list())
+            yield part[keys].assign(**{out: pd.Series(got, index=part.index, dtype=object), "valid": pd.Series([g is not None for g in got], index=part.index, dtype=bool)})
 
     return df.mapInPandas(run, schema)
 
 
-def autoregression(x: np.ndarray, order: int, ridge: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients (window, channel, lag * channel) and residual covariance of least-squares models; NaN where there are too few samples."""
-    w, n, length = x.shape
-    rows = length - order
-    if rows < n * order + 1:
-        return np.full((w, n, n * order), np.nan), np.full((w, n, n), np.nan)
-    x = x - x.mean(axis=2, keepdims=True)
-    now = x[:, :, order:]
-    past = np.concatenate([x[:, :, order - k : length - k] for k in range(1, order + 1)], axis=1)
-    gram = past @ past.transpose(0, 2, 1) / rows + ridge * np.eye(n * order)
-    coef = np.linalg.solve(gram, past @ now.transpose(0, 2, 1) / rows).transpose(0, 2, 1)
-    rest = now - coef @ past
-    return coef, rest @ rest.transpose(0, 2, 1) / rows
-
-
-def lags(coef: np.ndarray) -> np.ndarray:
-    """Coefficients with the axes window, lag, to, from."""
-    w, n, m = coef.shape
-    return coef.reshape(w, n, m // n, n).transpose(0, 2, 1, 3)
-
-
-def granger(x: np.ndarray, order: int) -> np.ndarray:
-    """Sum of absolute coefficients over lags."""
-    return np.abs(lags(autoregression(x, order)[0])).sum(axis=1)
-
-
-def signed_views(x: np.ndarray, order: int) -> np.ndarray:
-    """Signed sum, absolute sum and first lag of the coefficients, and the mean absolute asymmetry of the absolute sum."""
-    a = lags(autoregression(x, order)[0])
-    views = np.stack([a.sum(axis=1), np.abs(a).sum(axis=1), a[:, 0]], axis=1)
-    n = a.shape[-1]
-    i, j = np.triu_indices(n, 1)
-    uneven = np.abs(views[:, 1, i, j] - views[:, 1, j, i]).mean(axis=1)
-    return np.concatenate([views.reshape(len(x), -1), uneven[:, None]], axis=1)
-
-
-def order_criteria(x: np.ndarray, order: int) -> np.ndarray:
-    """(log determinant, Akaike, Bayes, mean variance) of the residuals of each window."""
-    n, rows = x.shape[1], x.shape[2] - order
-    cov = autoregression(x, order)[1]
-    ok = np.isfinite(cov).all(axis=(1, 2))
-    sign, log = np.linalg.slogdet(np.where(ok[:, None, None], cov, np.eye(n)) + 1e-12 * np.eye(n))
-    log = np.where(ok & (sign > 0), log, np.nan)
-    free = order * n * n
-    return np.stack([log, rows * log + 2 * free, rows * log + free * np.log(rows), np.trace(cov, axis1=1, axis2=2) / n], axis=1)
+def _inverse(h: np.ndarray) -> np.ndarray:
+    """Inverses of a batch of matrices; NaN where there is none."""
+    try:
+        return np.linalg.inv(h)
+    except np.linalg.LinAlgError:
+        flat, out = h.reshape(-1, *h.shape[-2:]), np.full((h[..., 0, 0].size, *h.shape[-2:]), np.nan + 0j)
+        regular = np.abs(np.linalg.det(flat)) > 0
+        out[regular] = np.linalg.inv(flat[regular])
+        return out.reshape(h.shape)
 
 
 def _per_band(coef: np.ndarray, fs: float, bands: dict, per_hz: float, view: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -115,14 +103,14 @@ def directed_transfer(coef: np.ndarray, fs: float, bands: dict = BANDS, per_hz:
     """Directed transfer function, squared; its rows sum to 1."""
 
     def view(h: np.ndarray) -> np.ndarray:
-        power = np.abs(np.linalg.inv(h)) ** 2
+        power = np.abs(_inverse(h)) ** 2
         return power / np.maximum(power.sum(axis=-1, keepdims=True), 1e-30)
 
     return _per_band(coef, fs, bands, per_hz, view)
 
 
 def transfer_magnitude(coef: np.ndarray, fs: float, bands: dict = BANDS, per_hz: float = 4.0) -> np.ndarray:
-    return _per_band(coef, fs, bands, per_hz, lambda h: np.abs(np.linalg.inv(h)))
+    return _per_band(coef, fs, bands, per_hz, lambda h: np.abs(_inverse(h)))
 
 
 def spectra(x: np.ndarray, segment: int, level: bool = True, weight: np.ndarray | None = None) -> np.ndarray:

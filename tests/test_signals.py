@@ -1,7 +1,11 @@
 import numpy as np
 
+import pytest
+
 from sigwarn import registry
+from sigwarn.operators import autoregression as v
 from sigwarn.operators import signals as s
+from sigwarn.plans import signals as plans
 
 RNG = np.random.default_rng(5)
 X = RNG.normal(size=(4, 3, 256)).cumsum(axis=2) * 0.1 + RNG.normal(size=(4, 3, 256))
@@ -12,13 +16,13 @@ def test_autoregression_finds_its_coefficients():
     x = np.zeros((1, 2, 20000))
     for t in range(1, 20000):
         x[0, :, t] = a @ x[0, :, t - 1] + RNG.normal(size=2)
-    coef, cov = s.autoregression(x, 1)
+    coef, cov = v.autoregression(x, 1)
     assert np.abs(coef[0] - a).max() < 0.03 and np.abs(cov[0] - np.eye(2)).max() < 0.05
-    assert np.isnan(s.autoregression(X[:, :, :8], 3)[0]).all()
+    assert np.isnan(v.autoregression(X[:, :, :8], 3)[0]).all()
 
 
 def test_spectral_views_by_plain_loops():
-    coef = s.autoregression(X, 2)[0]
+    coef = v.autoregression(X, 2)[0]
     pdc, dtf = s.directed_coherence(coef, 64, {"b": (4, 8)}), s.directed_transfer(coef, 64, {"b": (4, 8)})
     want_p, want_d = np.zeros((3, 3)), np.zeros((3, 3))
     at = np.linspace(4, 8, 16, endpoint=False)
@@ -90,3 +94,79 @@ def test_signal_queries_run(spark):
     for name in names:
         rows = registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
         assert rows and all(r[-1] is not None for r in rows), name
+
+
+def plain_model(x, p, ridge=1e-10):
+    """One window by least squares on stacked lags."""
+    x = x - x.mean(axis=1, keepdims=True)
+    n, length = x.shape
+    now, past = x[:, p:], np.concatenate([x[:, p - k : length - k] for k in range(1, p + 1)])
+    coef = now @ past.T @ np.linalg.inv(past @ past.T + ridge * (length - p) * np.eye(n * p))
+    rest = now - coef @ past
+    return coef, rest @ rest.T / (length - p)
+
+
+@pytest.mark.parametrize("scale", [1e-5, 1.0, 1e6])
+def test_all_orders_from_one_pass(scale):
+    for fit in v.fits(X * scale, [1, 2, 3, 5, 7, 10]):
+        assert fit.valid.all()
+        for k in range(len(X)):
+            coef, cov = plain_model(X[k] * scale, fit.order)
+            assert np.allclose(fit.coef[k], coef, atol=1e-7) and np.allclose(fit.cov[k], cov, rtol=1e-7, atol=1e-9 * scale**2)
+
+
+@pytest.mark.parametrize("scale", [1e-5, 1.0, 1e6, 1e12])
+def test_dependent_windows_have_no_model_and_harm_no_other(scale):
+    doubled, flat, tripled, holes, lagged = (X[0].copy() * scale for _ in range(5))
+    doubled[2], flat[1], tripled[2] = doubled[0], 7.5 * scale, -3 * tripled[1] + 4 * scale
+    holes[0, 9], lagged[1, 1:] = np.nan, lagged[0, :-1]
+    lagged[1, 0] = 0
+    batch = np.stack([doubled, X[1] * scale, flat, tripled, holes, X[2] * scale, np.zeros_like(flat), np.full_like(flat, 3 * scale), lagged])
+    for fit in v.fits(batch, [1, 2, 4]):
+        assert fit.valid.tolist()[:8] == [False, True, False, False, False, True, False, False]
+        assert np.allclose(fit.coef[1], plain_model(X[1] * scale, fit.order)[0], atol=1e-7)
+        assert np.isnan(fit.coef[~fit.valid]).all() and np.isnan(fit.cov[~fit.valid]).all()
+    for helper in (v.granger, v.signed_views, v.autoregression):
+        out = helper(batch, 2)
+        assert np.isfinite(out[0][1] if isinstance(out, tuple) else out[1]).all()
+    sweep = v.order_criteria(batch, [1, 2, 90])
+    assert np.isfinite(sweep[1, :2]).all() and np.isnan(sweep[0]).all() and np.isnan(sweep[:, 2]).all()
+    for view in (s.directed_coherence, s.directed_transfer, s.transfer_magnitude):
+        got = view(v.autoregression(batch, 2)[0], 64)
+        assert np.isfinite(got[1]).all() and np.isnan(got[0]).all()
+
+
+def test_test_of_products_as_they_are():
+    """Without scaling, what is small beside the ridge passes and what is large doesn't."""
+    doubled = np.stack([X[0], X[0]])
+    doubled[:, 2] = doubled[:, 0]
+    doubled[1] *= 1e6
+    assert next(v.fits(doubled, [2], scaled_test=False)).valid.tolist() == [True, False]
+    assert not next(v.fits(doubled, [2])).valid.any()
+
+
+def test_a_transfer_without_inverse_is_marked():
+    coef = np.zeros((2, 2, 2))
+    coef[0] = np.eye(2)
+    got = s.transfer_magnitude(coef, 64, {"b": (0, 4)})
+    assert np.isnan(got[0]).any() and np.isfinite(got[1]).all()
+
+
+def test_a_bad_window_is_a_row_without_numbers(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(5, 64, 3)) * 1e6
+    x[1, :, 2] = x[1, :, 0]
+    rows = [(k, float(value)) for k, value in enumerate(x.ravel())]
+    rows[3 * 64 * 2 + 5] = (3 * 64 * 2 + 5, None)
+    rows.append((3 * 64 * 3 + 1, 0.5))
+    df = spark.createDataFrame(rows[: 3 * 64 * 5 - 7] + rows[-1:], "o long, v double").repartition(3)
+    got = {r["win"]: r for r in s.apply(s.windows(df, [], "o", "v", 3, 64), lambda b: v.autoregression(b, 2)[0], 3, 64).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4] and [got[k]["valid"] for k in range(5)] == [True, False, False, False, False]
+    assert np.allclose(got[0]["features"], plain_model(x[0].T, 2)[0].ravel(), atol=1e-7) and got[1]["features"] is None
+
+
+def test_best_and_modal_orders(spark):
+    rows = [(1, 0, 1, 5.0, 1.0), (1, 0, 2, 4.0, 2.0), (1, 1, 1, 3.0, 3.0), (1, 1, 2, 3.0, 2.0), (2, 0, 2, 1.0, 1.0), (3, 0, 3, 1.0, 1.0)]
+    best = plans.best_orders(spark.createDataFrame(rows, "subject_id int, label int, p int, aic double, bic double"))
+    assert sorted(map(tuple, best.collect())) == [(1, 0, 2, 1), (1, 1, 1, 2), (2, 0, 2, 2), (3, 0, 3, 3)]
+    assert sorted(map(tuple, plans.modal_orders(best).collect())) == [(0, 3, 2, 1), (1, 1, 1, 2)]
