@@ -26,7 +26,7 @@ from pyspark.sql.types import IntegerType
 
 from sigwarn.functions import hash_order, sigmoid
 from sigwarn.operators.metrics import auc_ap
-from sigwarn.sources.results import fresh_path
+from sigwarn.sources.results import fresh_path, stored
 
 #: Folds whose models are trained at the same time.
 FOLDS_AT_ONCE = 4
@@ -93,13 +93,6 @@ def subjects_of(df: DataFrame) -> list:
     return sorted(r["subject_id"] for r in sizes if p > r["p"] and n > r["n"])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, so that folds read it instead of working it out again."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _gathered(df: DataFrame, parts: list[Callable[[], DataFrame]]) -> DataFrame:
     """(subject_id, seq, label, prob) of all parts, some of them worked out at the same time.
 
@@ -125,19 +118,6 @@ def leave_one_out(df: DataFrame, estimator: Estimator) -> DataFrame:
     return _gathered(df, [partial(lambda s: fit_and_score(other(s), own(s), estimator), s) for s in subjects_of(rows)])
 
 
-def by_part(df: DataFrame, estimator: Estimator) -> DataFrame:
-    """Scores of the rows whose `part` is test, by a model of those whose `part` is train."""
-    rows = vectors(df)
-    return fit_and_score(rows.where("part = 'train'"), rows.where("part = 'test'"), estimator)
-
-
-def within_subjects(df: DataFrame, estimator: Estimator) -> DataFrame:
-    """As by_part(), with a model for each subject; subjects whose training rows have one class are left out."""
-    rows = stored(df, "features")
-    both = rows.where("part = 'train'").groupBy("subject_id").agg(F.countDistinct("label").alias("c")).where("c = 2").select("subject_id")
-    return _gathered(df, [partial(lambda s: by_part(rows.where(F.col("subject_id") == s), estimator), s) for s in sorted(r[0] for r in both.collect())])
-
-
 def random_features(df: DataFrame, size: int, width: int, gamma: float, seed: int = 7) -> DataFrame:
     """df with `features` replaced by `size` random cosines whose inner products approach exp(-gamma * distance ** 2)."""
     rng = np.random.default_rng(seed)

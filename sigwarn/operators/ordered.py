@@ -185,6 +185,14 @@ def leave_one_event_out(blocked: DataFrame, by: list[str], order: str = "seq", l
     return out.where(fits).select(*by, "fold", "train_rows", "train_positives", "test_rows", "test_positives")
 
 
+def event_parts(blocked: DataFrame, by: list[str], order: str = "seq") -> DataFrame:
+    """blocked with `part`: k for the rows after block k-1's end up to block k's end, null after the last block."""
+    w = Window.partitionBy(*by).orderBy(order)
+    ends = F.sum((F.col("block").isNotNull() & (F.col("pos") == F.col("block_len"))).cast("long"))
+    ended = F.coalesce(ends.over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return blocked.withColumn("part", F.when(ended < ends.over(Window.partitionBy(*by)), ended + 1))
+
+
 def stratified_split(df: DataFrame, by: list[str], shares: dict[str, float], key: str = "seq", label: str = "label", seed: str = "split") -> DataFrame:
     """df with `part`: each class of a series is dealt by hash order to the parts in the given shares."""
     from sigwarn.functions import hash_order

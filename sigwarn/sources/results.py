@@ -19,6 +19,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{(found or 'file://' + tempfile.mkdtemp(prefix='sigwarn-')).rstrip('/')}/sigwarn/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that what follows reads it instead of working it out again."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_summary(table: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     """The metrics of each key, and rows MEAN and STD (sample deviation) rounded to four places."""
     rows = table.select(F.col(key).cast("string").alias(key), *metrics)
