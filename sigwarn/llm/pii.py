@@ -2,7 +2,8 @@
 
 Base kinds (email, ip, card, phone) come from fixed rules and always stay. Further spans come from candidates
 outside base spans: longer tokens with a digit, the value after a gazetteer word or an assignment (of any length, with
-or without digits), and numbers whose groups blanks, dots, dashes or brackets part. Labelers vote on each (its form by regular expressions, words of a
+or without digits), numbers whose groups blanks, dots, dashes or brackets part, hardware and version 6 addresses, and
+dates of birth. Names of persons and postal addresses are not proposed. Labelers vote on each (its form by regular expressions, words of a
 gazetteer before it, the characters around it, its mix of characters); they may abstain. Expectation-maximisation over
 the counts of all vote patterns of the corpus estimates how reliable each labeler is, and a logistic span classifier is
 trained on the resulting probabilities with the votes and the form of the candidate as features. Candidates that it
@@ -16,6 +17,7 @@ import re
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,8 @@ THRESHOLD = 0.5
 RIGHT, SHARE = (0.6, 0.95), (0.2, 0.5)
 #: Characters before and after a candidate that the context labelers see.
 CONTEXT = 24
+#: Newton's steps that train the classifier.
+STEPS = 25
 
 _HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -49,8 +53,10 @@ _NUMBER_WORD = re.compile(r"\b(?:" + "|".join(map(re.escape, NUMBER_WORDS)) + r"
 _KEY_FORM = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,}\Z|[0-9a-f]{16,}\Z")
 _NUMBER_FORM = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}\Z|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\Z")
 _ASSIGN = re.compile(r"[=:]\s*[\"']?\Z")
-# A value: in quotes up to the closing one, else up to a blank; after a word and a verb, an assignment or a blank, or after any assignment.
-_QUOTED = r"\"(?P<q>[^\"\n]{1,200})\"|'(?P<s>[^'\n]{1,200})'|(?P<v>[^\s\"'`<>]{1,200})"
+# A value: in quotes up to the closing one, else up to a blank (the pattern takes its first character, _VALUE_END finds
+# its end); after a word and a verb, an assignment or a blank, or after any assignment. Values have any length.
+_QUOTED = r"\"(?P<q>[^\"\n]+)\"|'(?P<s>[^'\n]+)'|(?P<v>[^\s\"'`<>])"
+_VALUE_END = re.compile(r"[\s\"'`<>]")
 _GIVEN = r"[\"']?(?:[ \t]*(?P<sign>[:=]+>?)[ \t]*\n?[ \t]*|[ \t]+(?:is|ist|lautet|es|est|no\.?|nr\.?|number)\b[ \t]*(?P<verb>:?)[ \t]*|\.?[ \t]+)"
 _WORDS = "|".join(re.escape(w) for w in sorted(SECRET_WORDS + NUMBER_WORDS, key=len, reverse=True))
 _AFTER_WORD = re.compile(rf"(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z])(?=[A-Z])))(?P<word>{_WORDS})(?![^\W_]){_GIVEN}(?:{_QUOTED})", re.I)
@@ -58,6 +64,12 @@ _AFTER_SIGN = re.compile(rf"(?:=|:(?=[ \t\"']))[ \t]*(?:{_QUOTED})")
 _GROUPS = re.compile(r"(?<![\w.+-])[(\[]?[0-9](?:[ ().\[\]/-]{0,2}[0-9])+(?![\w-])")
 _GROUP_FORM = re.compile(r"[(\[]?[0-9]{3}[)\]][ .-]?[0-9]{3}[ .-][0-9]{4}\Z|[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}\Z|[(\[]?0[0-9]{1,4}[)\]]?[ /-][0-9]{3,}(?:[ -][0-9]{2,})*\Z|[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}\Z")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# Forms that nothing else has, hardware and version 6 addresses, and dates after a word for birth.
+_HARDWARE = r"(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}|(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2}"
+_ADDRESS = r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}"
+_OWN_FORM = re.compile(rf"(?<![0-9A-Za-z:.-])(?:{_HARDWARE}|{_ADDRESS})(?![0-9A-Za-z:-])")
+BIRTH_WORDS = ("date of birth", "born on", "born", "dob", "geburtsdatum", "geboren am", "geb.", "date de naissance", "né le", "née le", "fecha de nacimiento", "nacido el", "nacida el")
+_BORN = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, BIRTH_WORDS))})[ \t]*:?[ \t]*([0-9]{{1,2}}([./-])[0-9]{{1,2}}\2[0-9]{{4}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}\.? \w{{3,10}},? [0-9]{{4}}|\w{{3,10}} [0-9]{{1,2}}, [0-9]{{4}})(?![0-9])", re.I)
 #: What stands where a value would, but is none: calls, placeholders, masks and words of programs.
 _NO_VALUE = re.compile(r"[\w.]+\(|\$[({]|%\(|\{\{|//|(?:none|null|nil|true|false|required|optional|string|str)\Z|[*x.…_-]+\Z", re.I)
 LABELERS = ("form", "gazetteer", "assignment", "mixture", "digits")
@@ -117,7 +129,7 @@ def _values(text: str) -> Iterator[tuple[int, int, str, bool]]:
                 continue
         elif "=" not in text and ":" not in text:
             continue
-        at = 0
+        at, run_end = 0, -1
         while m := pattern.search(text, at):
             if pattern is _AFTER_SIGN and not text[max(0, m.start() - 4) : m.start()].rstrip(" \t\"'")[-1:].isalnum():
                 at = m.start() + 1
@@ -126,8 +138,15 @@ def _values(text: str) -> Iterator[tuple[int, int, str, bool]]:
             # the value may itself be a word before another value
             at = max(a, m.start() + 1)
             if m.group("v"):
-                b = a + len(m.group("v").rstrip(".,;:!?)]}"))
+                if a >= run_end:
+                    end = _VALUE_END.search(text, a)
+                    run_end = end.start() if end else len(text)
+                b = run_end
+                while b > a and text[b - 1] in ".,;:!?)]}":
+                    b -= 1
             if a < b and not _NO_VALUE.match(text, a, b):
+                if pattern is _AFTER_SIGN:
+                    at = b
                 word = m.groupdict().get("word")
                 kind = "number" if word and not _SECRET_WORD.fullmatch(word) else "secret"
                 if kind == "secret" or _DIGIT.search(text, a, b):
@@ -186,6 +205,11 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         insort(held, (a, b))
 
     if _DIGIT.search(text):
+        if ":" in text or "-" in text:
+            for m in _OWN_FORM.finditer(text):
+                add(*m.span(), "form", "number")
+        for m in _BORN.finditer(text):
+            add(*m.span(1), "form", "number", True)
         for s in _groups(text):
             add(*s, "group", "number")
         for m in _CANDIDATE.finditer(text):
@@ -202,56 +226,92 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         word = word or (_SECRET_WORD if kind == "secret" else _NUMBER_WORD).search(before)
         upper, lower = any("A" <= c <= "Z" for c in s), any("a" <= c <= "z" for c in s)
         mixed = (upper or lower) and 0.1 <= digits / len(s) <= 0.9
-        form, mixture, alone = "+" if known else "-", "+" if mixed and len(s) >= 16 else "-", "-" if only or len(s) > 128 else "0"
+        form, mixture, alone = "+" if known else "-", "+" if mixed and len(s) >= 16 else "0" if known else "-", "-" if only or len(s) > 128 else "0"
         # a value without a word or a sign before it is likely none; tokens and grouped numbers stand alone as well
         none = "-" if origin == "value" else "0"
+        if origin == "token" and word and _ASSIGN.search(before):
+            # an announced value needs no form of its own
+            form, mixture = form.replace("-", "0"), mixture.replace("-", "0")
         if origin == "group":
             # the mix of characters says nothing here; check digits and brackets tell more than the form does
             sure = s[0].isalpha() or _GROUP_FORM.match(s) and s[0] in "(["
             form = "+" if s[0].isalpha() or _GROUP_FORM.match(s) else "0" if digits == 7 and word else "-"
             mixture, alone = "0", "+" if sure else "0"
+        elif origin == "form":
+            form, mixture, alone = "+", "0", "+"
         elif origin == "value":
             # a plain word may be a password, where a word and a sign announce one
             form, mixture = "+" if known else "0", "+" if mixed and len(s) >= 16 else "-" if s.isalpha() and not (word and _ASSIGN.search(before)) else "0"
-            alone = "-" if len(s) > 128 or only and not word else "0"
+            alone = "-" if not word and (only or len(s) > 128) else "0"
         votes = "".join((form, "+" if word else none, "+" if _ASSIGN.search(before) else none, mixture, alone))
         out.append((kind, a, b, f"{votes}{min(3, len(s) // 12)}{int(4 * digits / len(s))}"))
     return out
 
 
-def estimate(patterns: dict[str, float], rounds: int = 50) -> dict[str, float]:
-    """The classifier's probability of each vote pattern.
+#: Votes that labelers may cast, and the features of a candidate's form at the end of a pattern: its length and its share of digits.
+VOTES, LENGTHS, DIGITS = "+-0", 4, 5
+
+
+class Model:
+    """The trained span classifier: a weight for each vote of each labeler and for the form; scores any pattern."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        self.weights, self._seen = weights, {}
+
+    def __call__(self, pattern: str) -> float:
+        if pattern not in self._seen:
+            self._seen[pattern] = float(1 / (1 + np.exp(-_inputs([pattern])[0] @ self.weights)))
+        return self._seen[pattern]
+
+
+def _inputs(patterns: list[str]) -> np.ndarray:
+    votes = np.array([[VOTES.index(c) for c in p[: len(LABELERS)]] for p in patterns]).reshape(len(patterns), len(LABELERS))
+    form = np.array([[int(p[-2]) / (LENGTHS - 1), int(p[-1]) / (DIGITS - 1)] for p in patterns]).reshape(len(patterns), 2)
+    return np.concatenate([np.ones((len(patterns), 1)), votes == 0, votes == 1, form], axis=1).astype(np.float64)
+
+
+def estimate(patterns: dict[str, float], rounds: int = 50) -> Model:
+    """The classifier trained on the counts of vote patterns.
 
     Two latent classes, labelers independent in each; expectation-maximisation on the counts of the patterns, from a
     start in which labelers are right four times in five. An abstention tells nothing, and every labeler is right more
     often than not but never sure (RIGHT), in both classes: so neither the classes nor one labeler's say depend on
-    which kinds of candidates are many. Then logistic regression on the class probabilities.
+    which kinds of candidates are many. The reliabilities give every possible pattern, seen or not, a class
+    probability; logistic regression is trained on these, half of its rows' weight on the patterns as they are frequent, half on
+    all that can be. Without any counts the start is what it learns from.
     """
     names = sorted(patterns)
-    if not names:
-        return {}
+    votes = _inputs(names)[:, 1 : 1 + 2 * len(LABELERS)].reshape(len(names), 2, len(LABELERS))
     count = np.array([patterns[n] for n in names], dtype=np.float64)
-    votes = np.array([["+-0".index(c) for c in n[: len(LABELERS)]] for n in names])
-    right, prior, held = np.full((2, len(LABELERS)), 0.8), 0.4, 0.0
-    agrees = np.stack([votes == 1, votes == 0])
-    against = np.stack([votes == 0, votes == 1])
-    for _ in range(rounds):
+    right, prior = np.full((2, len(LABELERS)), 0.8), 0.4
+
+    def posterior(votes: np.ndarray) -> np.ndarray:
+        agrees, against = votes[:, ::-1].transpose(1, 0, 2), votes.transpose(1, 0, 2)
         log = (agrees * np.log(right)[:, None] + against * np.log(1 - right)[:, None]).sum(2) + np.log([1 - prior, prior])[:, None]
-        held = 1 / (1 + np.exp(log[0] - log[1]))
-        weight = np.stack([1 - held, held]) * count
+        return 1 / (1 + np.exp(log[0] - log[1]))
+
+    for _ in range(rounds if names else 0):
+        weight = np.stack([1 - posterior(votes), posterior(votes)]) * count
         prior = float(np.clip((weight[1].sum() + 0.8) / (count.sum() + 2), *SHARE))
-        good, bad = (weight[:, :, None] * agrees).sum(1), (weight[:, :, None] * against).sum(1)
+        good = (weight[:, :, None] * votes[:, ::-1].transpose(1, 0, 2)).sum(1)
+        bad = (weight[:, :, None] * votes.transpose(1, 0, 2)).sum(1)
         right = np.clip((good + 4) / (good + bad + 5), *RIGHT)
-    x = np.concatenate([np.ones((len(names), 1)), votes == 0, votes == 1, [[int(n[-2]) / 3, int(n[-1]) / 4] for n in names]], axis=1).astype(np.float64)
-    share, w = count / count.sum(), np.zeros(x.shape[1])
-    share = 0.5 * share + 0.5 / len(names)
-    for _ in range(2000):
-        w -= 2.0 * (x.T @ (share * (1 / (1 + np.exp(-x @ w)) - held)) + 1e-4 * w)
-    return dict(zip(names, (1 / (1 + np.exp(-x @ w))).tolist(), strict=True))
-
-
-def fit(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """The probability of each vote pattern, from the patterns of all candidates of all documents."""
+    every = ["".join(v) + f"{n}{d}" for v in product(VOTES, repeat=len(LABELERS)) for n in range(LENGTHS) for d in range(DIGITS)]
+    x, share = _inputs(every), np.full(len(every), 0.5 / len(every))
+    held = posterior(x[:, 1 : 1 + 2 * len(LABELERS)].reshape(len(every), 2, -1))
+    if names:
+        place = {p: k for k, p in enumerate(every)}
+        np.add.at(share, [place[n] for n in names], 0.5 * count / count.sum())
+    w = np.zeros(x.shape[1])
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(-x @ w))
+        h = (x.T * (share * p * (1 - p))) @ x + 1e-4 * np.eye(len(w))
+        w -= np.linalg.solve(h, x.T @ (share * (p - held)) + 1e-4 * w)
+    return Model(w)
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Model:
+    """The classifier learnt from the vote patterns of all candidates of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -266,14 +326,14 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     return estimate({r["pattern"]: r["n"] for r in found.collect()})
 
 
-def all_spans(text: str, model: dict[str, float]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """The base spans, and with them the accepted candidates, by kind and start. Patterns that the model lacks are not accepted."""
+def all_spans(text: str, model: Model) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """The base spans, and with them the accepted candidates, by kind and start."""
     base = base_spans(text)
-    more = [(k, a, b) for k, a, b, p in candidates(text, base) if model.get(p, 0.0) >= THRESHOLD]
+    more = [(k, a, b) for k, a, b, p in candidates(text, base) if model(p) >= THRESHOLD]
     return base, base + sorted(more, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: dict[str, float] | None = None) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every row.
 
     spans is kind:start:end by kind (KINDS) and start, comma-joined; base_sha256 is the digest of the same of the base
@@ -299,7 +359,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
-def redacted(text: str, model: dict[str, float]) -> str:
+def redacted(text: str, model: Model) -> str:
     """The text with every span replaced by its kind in brackets; of overlapping spans the first, then the longest, counts."""
     out, at = [], 0
     for k, a, b in sorted(all_spans(text, model)[1], key=lambda s: (s[1], -s[2])):
@@ -309,7 +369,7 @@ def redacted(text: str, model: dict[str, float]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = None, model: dict[str, float] | None = None) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = None, model: Model | None = None) -> DataFrame:
     """docs with the personal data in text_col replaced by its kind, and chars_col, if named, set to the new length.
 
     Null texts stay null and keep their chars_col.
