@@ -12,15 +12,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigwarn.llm.store import discard, materialize
 from sigwarn.llm.words import Words, byte_blocks, mix
 
 BUCKETS = 1 << 16
 DIMENSION = 12
 #: At most so many labelled rows are learned from: those with the smallest hash of their id.
 SAMPLE_ROWS = 6000
+#: And of these as many as have so many numbers of features together, 6 bytes each.
+SAMPLE_NUMBERS = 24_000_000
 EPOCHS, RATE = 6, 0.5
 #: A document is accepted from this probability on.
 THRESHOLD = 0.3
@@ -86,22 +89,29 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.searchsorted(pairs, np.arange(1, end - at) * BUCKETS)
             rows = [((b % BUCKETS).astype(np.uint16).view(np.int16), (c / max(1, c.sum())).astype(np.float32)) for b, c in zip(np.split(pairs, cuts), np.split(counts, cuts), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.list_(pa.int16())), pa.array([r[1] for r in rows], pa.list_(pa.float32())), batch.column("label").slice(at, end - at)],
-                names=["buckets", "share", "label"],
+                [batch.column("_id").slice(at, end - at), pa.array([r[0] for r in rows], pa.list_(pa.int16())), pa.array([r[1] for r in rows], pa.list_(pa.float32())), batch.column("label").slice(at, end - at)],
+                names=["_id", "buckets", "share", "label"],
             )
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, sample: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
-    """Learn from at most `sample` labelled rows outside the held-out fold; whole texts, nothing but texts.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, sample: int = SAMPLE_ROWS, numbers: int = SAMPLE_NUMBERS) -> tuple[np.ndarray, float]:
+    """Learn from at most `sample` labelled ids outside the held-out fold; whole texts, nothing but texts.
 
-    Rows of labels with a null id or label take no part; of an id with several labels the largest counts.
+    What comes to the driver is bounded by rows and by size: ids are taken in the order of their hashes as long as their
+    features are no more than `numbers`. Rows of labels with a null id or label take no part; of an id with several
+    labels the largest counts, of one with several texts the text with the smallest hash.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, folds))
     chosen = chosen.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(chosen), "_id").select("_id", "text", "label")
-    found = found.mapInArrow(_sparse, "buckets array<short>, share array<float>, label int").toArrow().combine_chunks()
+    found = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    sparse = materialize(found.select("_id", "text", "label").mapInArrow(_sparse, f"_id {kind}, buckets array<short>, share array<float>, label int"))
+    order = Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0)  # over at most `sample` ids
+    within = sparse.select("_id", F.size("buckets").alias("_n")).withColumn("_n", F.sum("_n").over(order)).where(F.col("_n") <= numbers)
+    found = sparse.join(F.broadcast(within.select("_id")), "_id", "left_semi").drop("_id").toArrow().combine_chunks()
+    discard(sparse)
     if not len(found):
         return train(np.zeros(0, np.uint16), np.zeros(0, np.float32), np.zeros(1, np.int64), np.zeros(0, np.int64))
     lists = found["buckets"].chunk(0)

@@ -142,3 +142,101 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert {k: r["n_tokens"] for k, r in packed.items()} == {k: len((r["text"] or "").split()) for k, r in clean.items()}
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, packed.values()))
+
+
+def planted(seed, n):
+    """(text, start, end or None): personal data of many forms in sentences, and look-alikes that are none."""
+    import random
+
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    token = lambda k, of="ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz0123456789": "".join(rng.choice(of) for _ in range(k))
+
+    def iban():
+        bank = digits(18)
+        check = 98 - int(bank + "131400") % 97
+        whole = f"DE{check:02d}{bank}"
+        return " ".join(whole[k : k + 4] for k in range(0, 22, 4))
+
+    private = [
+        ("password: ", lambda: token(7, "abcdefgh") + digits(2)), ("my passwort = ", lambda: token(11)), ("SSN ", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"),
+        ("please call ", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"), ("the account is ", iban), ("use ", lambda: "AKIA" + token(16, "ABCDEFGHJKLMNPQRSTUVWXYZ234567")),
+        ("api_key='", lambda: token(24)), ("secret: ", lambda: token(400)), ("iban ", lambda: iban().replace(" ", "")), ("device ", lambda: ":".join(token(2, "0123456789abcdef") for _ in range(6))),
+        ("host ", lambda: ":".join(token(4, "0123456789abcdef") for _ in range(8))), ("date of birth: ", lambda: f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1940, 2005)}"),
+        ("née le ", lambda: f"{rng.randint(1, 28)} mars {rng.randint(1940, 2005)}"), ("phone: ", lambda: f"{digits(3)} {digits(3)} {digits(4)}"),
+    ]
+    public = [
+        ("the order ", lambda: digits(8)), ("on ", lambda: f"2024-{rng.randint(10, 12)}-{rng.randint(10, 28)} at 12:{digits(2)}"), ("version ", lambda: f"{digits(1)}.{digits(2)}.{digits(1)}-rc{digits(1)}"),
+        ("chapter ", lambda: f"{digits(2)} and section {digits(2)}"), ("the password ", lambda: "policy was changed"), ("total = ", lambda: digits(5)), ("the token ", lambda: "economy grew"),
+        ("room ", lambda: f"B{digits(3)}"), ("it took ", lambda: f"{digits(1)}h {digits(2)}min"), ("password: ", lambda: "required"), ("the std::vector of ", lambda: f"{digits(4)} items"),
+    ]
+    out = []
+    for _ in range(n):
+        (before, make), is_private = rng.choice(private), rng.random() < 0.5
+        if not is_private:
+            before, make = rng.choice(public)
+        value = make()
+        lead = f"{rng.choice(['Then', 'We said', 'Hier'])} and so {before}"
+        after = "' was set" if before.endswith("'") else " was said."
+        out.append((lead + value + after, len(lead), len(lead) + len(value) if is_private else None))
+    return out
+
+
+@pytest.mark.parametrize("learnt", ["other texts", "nothing"])
+def test_spans_of_texts_outside_the_fit(spark, learnt):
+    """Patterns that the fitted texts never had are scored by the classifier's weights."""
+    texts = [f"token = \"{hashlib.sha1(str(k).encode()).hexdigest()}\" and number {k * 10**9 + 7}" for k in range(40)] if learnt != "nothing" else []
+    model = pii.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    hit = found = wanted = 0
+    for text, a, b in planted(3, 1500):
+        spans = {(x, y) for _, x, y in pii.all_spans(text, model)[1]}
+        wanted += b is not None
+        hit += b is not None and (a, b) in spans
+        found += len(spans)
+    assert hit >= 0.9 * wanted and hit >= 0.9 * found, (hit, wanted, found)
+
+
+def test_no_part_of_a_long_value_stays(spark):
+    model = pii.estimate({})
+    long, quoted = "k3Y" * 2000, "four words of one " * 50
+    assert pii.redacted(f"password: {long} end", model) == "password: <SECRET> end"
+    assert pii.redacted(f'password = "{quoted}9z" end', model) == 'password = "<SECRET>" end'
+    chained = "a=b&" * 30_000
+    assert len(list(pii._values(chained))) == 1
+
+
+def plain_personal_data(text, model):
+    base = pii.base_spans(text)
+    spans = base + sorted([c[:3] for c in pii.candidates(text, base) if model(c[3]) >= pii.THRESHOLD], key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+    line = lambda x: ",".join(f"{k}:{a}:{b}" for k, a, b in x)
+    return (*[sum(s[0] == k for s in base) for k in pii.BASE], hashlib.sha256(line(base).encode()).hexdigest(), line(spans), len(spans) - len(base))
+
+
+def test_personal_data_of_the_query_row_by_row(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = pii.fit(docs)
+    got = {r["doc_id"]: tuple(r)[1:] for r in pii.find_personal_data(docs).collect()}
+    assert got == {r["doc_id"]: plain_personal_data(r["text"] or "", model) for r in docs.collect()}
+
+
+def test_one_id_many_times_stays_within_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"good text number {k}") for k in range(200)] + [(k, f"words of {k} and more") for k in range(2, 30)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1)] * 200 + [(k, k % 2) for k in range(2, 30)], "doc_id long, quality int")
+    seen, plain = [], quality.train
+    try:
+        quality.train = lambda b, s, cuts, y: seen.append((len(y), len(b))) or plain(b, s, cuts, y)
+        for sample, numbers in ((1, 10**6), (500, 10**6), (500, 300)):
+            quality.fit(docs, marks, sample=sample, numbers=numbers)
+    finally:
+        quality.train = plain
+    assert seen[0][0] <= 1 and 20 <= seen[1][0] <= 29 and 0 < seen[2][0] < seen[1][0] and seen[2][1] <= 300
+
+
+def test_scores_by_a_plain_sum(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["some words here", "zz !! 00", "", None, "é words"])], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id long, quality int"))
+    for r in quality.score(docs, model).join(docs, "doc_id").collect():
+        raw = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        buckets, _ = quality.features(raw, np.array([0, len(raw)]))
+        mean = sum(float(model[0][b]) for b in buckets) / max(1, len(buckets))
+        assert abs(r["score"] - 1 / (1 + np.exp(-mean - model[1]))) < 1e-6 and r["predicted"] == int(r["score"] >= 0.3)
