@@ -85,7 +85,9 @@ def oracle_sql() -> dict[str, str]:
     word = r"[^\x20\x09-\x0D]+"
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = "MAP {" + ", ".join(f"{quote(s)}: {quote(name)}" for name, s in licenses.SENTENCES.items()) + "}"
-    rules = ", ".join(f"CASE WHEN {' OR '.join('contains(line, ' + quote(',' + ','.join(v) + ',') + ')' for v in variants)} THEN {quote(name)} END" for name, variants in licenses.RULES.items())
+    all_rules = {name: licenses.RULES.get(name, []) + ([[f"name:{name}"], [f"tag:{name}"]] if name in licenses.NAMES else []) for name in dict.fromkeys([*licenses.RULES, *licenses.TEXT_RULES, *licenses.NAMES])}
+    rules = ", ".join(f"CASE WHEN {' OR '.join('contains(line, ' + quote(',' + ','.join(v) + ',') + ')' for v in variants)} THEN {quote(name)} END" for name, variants in all_rules.items() if variants)
+    named = ", ".join(f"CASE WHEN regexp_matches(x, {quote(pattern)}) THEN {quote(name)} END" for name, pattern in licenses.named_patterns().items())
     fails = ", ".join(filter_audit.LETTERS.lower())
     escaped = r"replace(replace({}, '\', '\\'), '<', '\<')"
     return {
@@ -111,11 +113,15 @@ def oracle_sql() -> dict[str, str]:
             FROM e GROUP BY conv_id""",
         "op8_license_scan": rf"""
             WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '{licenses.STOP}', '\1' || chr(10) || '\2', 'g'), '{licenses.LINES}'), lambda x: x <> '') AS s FROM documents),
-            i AS (SELECT doc_id, list_transform(s, lambda x: CASE WHEN regexp_matches(x, '{licenses.MARKS}')
-                THEN coalesce(({known})[trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))], '') ELSE '' END) AS ids FROM s),
-            k AS (SELECT doc_id, ids, list_filter(ids, lambda x: x <> '') AS known, ',' || array_to_string(ids, ',') || ',' AS line FROM i),
-            f AS (SELECT *, list_filter([{rules}], lambda x: x IS NOT NULL) AS found FROM k)
-            SELECT doc_id, len(ids)::BIGINT AS n_sentences, len(known)::BIGINT AS n_known, coalesce(array_to_string(known, ','), '') AS sentence_ids,
+            m AS (SELECT doc_id, list_transform(s, lambda x: CASE WHEN regexp_matches(x, '{licenses.MARKS}')
+                THEN trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) ELSE '' END) AS s FROM s),
+            i AS (SELECT doc_id, list_transform(s, lambda x: CASE WHEN ({known})[x] IS NOT NULL THEN [({known})[x]]
+                WHEN regexp_matches(x, '{licenses.GRANTED}|{licenses.TAGGED}') THEN list_filter([{named}], lambda y: y IS NOT NULL) ELSE [] END) AS ids FROM m),
+            j AS (SELECT doc_id, len(ids) AS n, flatten(list_transform(ids, lambda x: CASE WHEN len(x) = 0 THEN [''] ELSE x END)) AS ids FROM i),
+            k AS (SELECT doc_id, n, list_filter(ids, lambda x: x <> '') AS known, ',' || array_to_string(ids, ',') || ',' AS line FROM j),
+            g AS (SELECT *, list_filter([{rules}], lambda x: x IS NOT NULL) AS hits FROM k),
+            f AS (SELECT *, CASE WHEN len(hits) > 1 THEN list_filter(hits, lambda x: x <> '{licenses.ALONE}') ELSE hits END AS found FROM g)
+            SELECT doc_id, n::BIGINT AS n_sentences, len(known)::BIGINT AS n_known, coalesce(array_to_string(known, ','), '') AS sentence_ids,
                 coalesce(array_to_string(found, ','), '') AS licenses, len(found)::BIGINT AS n_licenses FROM f""",
         "op9_jaccard_join": rf"""
             WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{word}') AS w FROM documents),
