@@ -21,6 +21,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigwarn.llm.store import id_of_any_name
+
 #: Distinct pre-tokens whose ids a task keeps; when full it starts anew.
 CACHED = 200_000
 
@@ -112,6 +114,7 @@ def shared_codec(name: str, pattern: str) -> Codec:
     return Codec(read_ranks(SparkFiles.get(name)), pattern)
 
 
+@id_of_any_name("n_tokens", "ids", "ids_sha256", "decoded_sha256")
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = True) -> DataFrame:
     """The id of every row with its text's ids; with digests: n_tokens, ids_sha256, decoded_sha256 instead of ids.
 

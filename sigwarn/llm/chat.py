@@ -11,6 +11,8 @@ Content is a list of typed parts. Text goes in escaped; an image, audio clip or
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
+
+from sigwarn.llm.store import id_of_any_name
 from pyspark.sql import functions as F
 
 PART_SCHEMA = "array<struct<type:string,text:string,ref:string,tokens:bigint>>"
@@ -49,6 +51,7 @@ def _visit(parts: Column, before: Column) -> Column:
     return F.aggregate(kept, start, step)["s"]
 
 
+@id_of_any_name("n_turns", "formatted", "loss_spans", "attachments", param="conv_col")
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts", learn_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, n_turns, formatted, loss_spans, attachments.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigwarn.llm.store import discard, kept_rows, materialize
+from sigwarn.llm.store import discard, id_of_any_name, kept_rows, materialize
 
 #: A chunk has at least this many characters (but for the last) and ends at the next white space after a vowel or a
 #: full stop, or at the largest size. Where it ends depends on the text near the end alone.
@@ -18,6 +18,7 @@ def chunks(text: Column, least: int = LEAST, most: int = MOST) -> Column:
     return F.regexp_extract_all(text, F.lit(rule), F.lit(0))
 
 
+@id_of_any_name("keep_id", "group_size", "kept", "text_sha256", "n_chunks")
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, most: int = MOST) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256, n_chunks.
 

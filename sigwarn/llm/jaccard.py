@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigwarn.llm.components import components
-from sigwarn.llm.store import discard, kept_rows, materialize
+from sigwarn.llm.store import discard, id_of_any_name, kept_rows, materialize
 from sigwarn.llm.words import Words, byte_blocks, mix, shingle_sets
 
 #: Fragments in which overlaps are counted.
@@ -123,6 +123,7 @@ def _numbered(texts: DataFrame, n: int) -> tuple[DataFrame, int, int]:
         seed += 1
 
 
+@id_of_any_name("n_shingles", "component_id", "n_links")
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, set_id, n_links of every row of docs, where similarity >= percent/100 links.
 

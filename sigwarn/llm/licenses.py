@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+
+from sigwarn.llm.store import id_of_any_name
 from pyspark.sql import functions as F
 
 # Normalised licence sentences (lower case, words and digits joined by single spaces) by identifier.
@@ -189,6 +191,7 @@ def text_sentence_ids(text: Column) -> Column:
     return F.when(text.rlike(TEXT_MARKS), F.transform(cut, lambda s: _ids(look(s), _named(s)))).otherwise(F.array().cast("array<array<string>>"))
 
 
+@id_of_any_name("n_sentences", "n_known", "sentence_ids", "licenses", "n_licenses")
 def scan_licenses(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict[str, list[list[str]]] | None = None, text_rules: dict[str, list[list[str]]] | None = None
 ) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigwarn.llm.quality import held_out
-from sigwarn.llm.store import discard, materialize
+from sigwarn.llm.store import discard, id_of_any_name, materialize
 from sigwarn.llm.words import Words, byte_blocks, mix
 
 HEAD, WIDTH, SHAPES = 512, 24, 8
@@ -282,6 +282,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     return model, counts.select("h", "c"), int(total), int(distinct)
 
 
+@id_of_any_name("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from rows whose crc32 of the id leaves a remainder.
 

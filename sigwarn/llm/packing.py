@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigwarn.llm.store import materialize
+from sigwarn.llm.store import id_of_any_name, materialize
 
 BUCKETS, BUDGET = 8, 65_536
 #: Lengths up to EXACT are told apart; longer ones are rounded up to a multiple of 1/EXACT of their power of two, so
@@ -64,6 +64,7 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     return sorted(set(out))
 
 
+@id_of_any_name("n_tokens", "bucket", "bound", "shard", "batch", "position", "padding")
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, n_tokens, bucket, bound, shard, batch, position, padding of every row of docs.
 
@@ -91,4 +92,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     out = out.withColumn("_n", F.row_number().over(order) - 1)
     out = out.withColumn("batch", F.floor(F.col("_n") / per).cast("long")).withColumn("position", (F.col("_n") % per).cast("int"))
     out = out.withColumn("padding", F.col("bound") - F.col("n_tokens"))
-    return out.select(F.col("_id").alias(id_col), *[F.col(c).alias(c + "_" * (c == id_col.lower())) for c in ("n_tokens", "bucket", "bound", "shard", "batch", "position", "padding")])
+    return out.select(F.col("_id").alias(id_col), "n_tokens", "bucket", "bound", "shard", "batch", "position", "padding")

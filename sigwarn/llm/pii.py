@@ -24,6 +24,8 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+
+from sigwarn.llm.store import id_of_any_name
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "secret", "number")
@@ -333,6 +335,7 @@ def all_spans(text: str, model: Model) -> tuple[list[tuple[str, int, int]], list
     return base, base + sorted(more, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
+@id_of_any_name("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every row.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigwarn.llm.store import discard, materialize
+from sigwarn.llm.store import discard, id_of_any_name, materialize
 from sigwarn.llm.words import Words, byte_blocks, mix
 
 BUCKETS = 1 << 16
@@ -119,6 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(np.asarray(lists.flatten()).view(np.uint16), np.asarray(found["share"].chunk(0).flatten()), cuts - cuts[0], np.asarray(found["label"]))
 
 
+@id_of_any_name("held_out", "score", "predicted")
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted of every row. A text without features gets the score of the bias alone."""
     value, bias = docs.sparkSession.sparkContext.broadcast(model[0]), model[1]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +56,30 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def id_of_any_name(*results: str, param: str = "id_col") -> Callable:
+    """For operators that return an id column beside `results`: where the id is named like one, that one gets a trailing underscore."""
+
+    def around(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        signature = inspect.signature(operator)
+
+        @wraps(operator)
+        def run(*args, **named) -> DataFrame:
+            given = signature.bind(*args, **named)
+            given.apply_defaults()
+            name, table = given.arguments[param], next(iter(given.arguments))
+            if name.lower() in results:
+                df = given.arguments[table]
+                (inner,) = fresh(df, "_row_id")
+                given.arguments[table], given.arguments[param] = df.withColumnRenamed(name, inner), inner
+                out = operator(*given.args, **given.kwargs)
+                return out.toDF(*[name if c == inner else c + "_" * (c.lower() == name.lower()) for c in out.columns])
+            return operator(*given.args, **given.kwargs)
+
+        return run
+
+    return around
+
+
 def kept_rows(docs: DataFrame, verdict: DataFrame, id_col: str, same: Column) -> DataFrame:
     """The rows of docs without those that verdict(_id, _kept) names as going; of rows it names as kept, one for each `same`.
 

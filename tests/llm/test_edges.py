@@ -75,10 +75,31 @@ def test_ids_may_be_texts(spark):
     assert packing.pack(df).count() == 14
 
 
-def test_an_id_named_like_a_result(spark):
-    df = spark.createDataFrame([(3, "a b"), (4, None)], "n_tokens long, text string")
-    got = {r["n_tokens"]: r["n_tokens_"] for r in packing.pack(df, id_col="n_tokens").collect()}
-    assert got == {3: 2, 4: 0}
+def encoded(d, id_col):
+    import public_tokenizers
+
+    return bpe.encode(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, id_col=id_col)
+
+
+NAMED = {
+    "kept": lambda s, d: exact_dedup.exact_duplicates(d, id_col="kept"),
+    "Score": lambda s, d: quality.score(d, quality.fit(d.withColumnRenamed("Score", "doc_id"), labels(s)), id_col="Score"),
+    "n_known": lambda s, d: maxent_lm.score(d, id_col="n_known"),
+    "n_tokens": lambda s, d: encoded(d, "n_tokens"),
+    "bucket": lambda s, d: packing.pack(d, id_col="bucket"),
+    "n_sentences": lambda s, d: licenses.scan_licenses(d, id_col="n_sentences"),
+    "n_links": lambda s, d: jaccard.near_duplicates(d, id_col="n_links"),
+    "spans": lambda s, d: pii.find_personal_data(d, id_col="spans"),
+    "n_turns": lambda s, d: chat.format_chats(d.withColumns({"turn": F.lit(0), "role": F.lit("user"), "parts": chat.text_part(F.col("text"))}), conv_col="n_turns"),
+}
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_an_id_named_like_a_result(spark, name):
+    df = spark.createDataFrame([(3, "a b"), (4, None), (5, "a b")], f"{name} long, text string")
+    out = NAMED[name](spark, df)
+    assert {c.lower() for c in out.columns} >= {name.lower(), name.lower() + "_"} and len({c.lower() for c in out.columns}) == len(out.columns)
+    assert sorted(r[name] for r in out.collect()) == [3, 4, 5]
 
 
 def test_vectors_of_any_size(spark):
