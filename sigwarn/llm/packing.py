@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from sigwarn.llm.store import id_of_any_name, materialize
 
 BUCKETS, BUDGET = 8, 65_536
-#: Lengths up to EXACT are told apart; longer ones are rounded up to a multiple of 1/EXACT of their power of two, so
-#: that the histogram has a bounded number of rows for texts of any length.
-EXACT = 4096
 #: Batches form in shards of about so many documents, so that no task holds a whole bucket.
 SHARD_ROWS = 20_000
 
@@ -21,11 +18,6 @@ def length_of(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).cast("long")
 
 
-def length_class(length: Column) -> Column:
-    unit = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - int(np.log2(EXACT))))
-    return (F.ceil(length / unit) * unit).cast("long")
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     """At most `buckets` upper bounds, among the lengths, with the least total padding up to the bound.
 
@@ -70,21 +62,23 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
 
     A batch holds max(1, budget // bound) documents, each padded to the bucket's bound; a document longer than the
     budget is a batch by itself. Buckets are cut into shards by the hash of the id, and rows are numbered by length
-    and id inside them, so that only the last batch of a shard can be short. Null texts count as empty: length 0,
+    and id inside them, so that only the last batch of a shard can be short. Bounds are lengths of documents, told apart at
+    any length, so the padding is the least that so many buckets can have. Null texts count as empty: length 0,
     with a bucket of bound 0 or the smallest. Repeated rows are packed each, rows with a null id too. An empty table
     gives an empty result; other columns are not looked at. Where the id is named like one of the other results, that
     one gets a trailing underscore.
     """
-    sized = docs.select(F.col(id_col).alias("_id"), length_of(F.col(text_col)).alias("n_tokens")).withColumn("_class", length_class(F.col("n_tokens")))
+    sized = docs.select(F.col(id_col).alias("_id"), length_of(F.col(text_col)).alias("n_tokens"))
     sized = materialize(sized.withColumn("_row", F.monotonically_increasing_id()))
-    found = sized.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).toArrow()
-    lengths, counts = np.asarray(found["_class"]), np.asarray(found["n"])
+    # distinct lengths add up to no more than all words: of a table of w words the histogram has at most sqrt(2 * w) rows
+    found = sized.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    lengths, counts = np.asarray(found["n_tokens"]), np.asarray(found["n"])
     bounds = boundaries(lengths, counts, buckets) or [0]
     held = np.bincount(np.searchsorted(bounds, lengths), weights=counts, minlength=len(bounds))
     # as many whole batches as come to about shard_rows documents
     shards = [max(1, int(-(-h // shard_rows))) for h in held]
     pick = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("bucket") + 1)
-    bucket = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds[:-1]]).cast("array<long>"), lambda b: b < F.col("_class")))
+    bucket = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds[:-1]]).cast("array<long>"), lambda b: b < F.col("n_tokens")))
     out = sized.withColumn("bucket", bucket).withColumn("bound", pick(bounds).cast("long"))
     out = out.withColumn("shard", F.pmod(F.xxhash64("_id", "_row"), pick(shards)).cast("int"))
     order = Window.partitionBy("bucket", "shard").orderBy("n_tokens", "_id", "_row")

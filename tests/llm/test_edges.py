@@ -261,3 +261,12 @@ def test_scores_by_a_plain_sum(spark):
         buckets, _ = quality.features(raw, np.array([0, len(raw)]))
         mean = sum(float(model[0][b]) for b in buckets) / max(1, len(buckets))
         assert abs(r["score"] - 1 / (1 + np.exp(-mean - model[1]))) < 1e-6 and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_bounds_are_lengths_of_documents_at_any_length(spark):
+    sizes = [1, 2, 2, 5000, 5001, 9000, 9001, 20_011, 20_012, 40_003, 3, 0]
+    got = packing.pack(spark.createDataFrame([(k, "w " * n) for k, n in enumerate(sizes)], "doc_id long, text string"), buckets=4).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == dict(enumerate(sizes)) and {r["bound"] for r in got} <= set(sizes)
+    cost = lambda cut: sum(min(b for b in cut if b >= n) - n for n in sizes)
+    best = min(cost((a, b, c, 40_003)) for a in sizes for b in sizes for c in sizes)
+    assert sum(r["padding"] for r in got) == best and all(r["padding"] == r["bound"] - r["n_tokens"] for r in got)
