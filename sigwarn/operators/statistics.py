@@ -99,24 +99,6 @@ def bootstrap(table: DataFrame, by: str, unit: str, value: str, n_boot: int, see
     return means.groupBy(by).agg(F.avg("v").alias("boot_mean"), F.percentile("v", F.lit(low)).alias("ci_low"), F.percentile("v", F.lit(high)).alias("ci_high"))
 
 
-def permutation_test(df: DataFrame, by: list[str], n_perm: int, key: str = "event_id", order: str = "seq", label: str = "label", value: str = "prob", seed: str = "perm") -> DataFrame:
-    """observed mean AUC over groups, null_mean over label permutations inside groups, and p = (1 + reps at or above) / (1 + reps)."""
-    base = df.select(*by, key, value, label, F.row_number().over(Window.partitionBy(*by).orderBy(order)).alias("_k"))
-    reps = base.select(*by, key, label, F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("rep"))
-    shuffled = hash_order_by_rep(seed, key)
-    moved = reps.withColumn("_k", F.row_number().over(Window.partitionBy("rep", *by).orderBy(shuffled, key))).drop(key)
-    drawn = moved.join(base.select(*by, "_k", value), [*by, "_k"]).select("rep", *by, label, value)
-    every = drawn.unionByName(base.select(F.lit(0).alias("rep"), *by, label, value))
-    mean = auc_ap(every, ["rep", *by], label, value).groupBy("rep").agg(F.round(F.avg("auc"), 9).alias("v"))
-    seen = mean.where("rep = 0").select(F.col("v").alias("observed"))
-    null = mean.where("rep > 0").join(F.broadcast(seen), F.lit(True))  # one row
-    return null.groupBy("observed").agg(F.avg("v").alias("null_mean"), ((F.sum((F.col("v") >= F.col("observed")).cast("int")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
-
-
-def hash_order_by_rep(seed: str, key: str):
-    return F.md5(F.concat(F.lit(seed), F.col("rep").cast("string"), F.lit("|"), F.col(key).cast("string")).cast("binary"))
-
-
 def chance_scores(df: DataFrame, by: list[str], key: str, label: str = "label") -> DataFrame:
     """Every row once per baseline with `hit`: uniform (u >= 0.5), majority (share of positives above 0.5), stratified (u below the share)."""
     share = F.avg(label).over(Window.partitionBy(*by))

@@ -10,6 +10,7 @@ from sigwarn.operators import metrics as m
 from sigwarn.operators import ordered as o
 from sigwarn.operators import statistics as st
 from sigwarn.operators.curves import even_grid
+from sigwarn.operators.permutation import permutation_test, shuffled_sql
 from sigwarn.registry import query
 from sigwarn.sources.tables import SCORED, scored
 
@@ -264,13 +265,24 @@ def k2_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("model", *[r6(F.col(c)).alias(c) for c in ("boot_mean", "ci_low", "ci_high")])
 
 
-PERM_N = 20
+PERM_N = 1000
 
 
-@query(f"WITH {SCORED}, a AS (SELECT subject_id, event_id, prob, label, row_number() OVER (PARTITION BY subject_id ORDER BY seq) AS k FROM scored WHERE model = 'level'), pm AS (SELECT b.i AS rep, a.subject_id, a.label, row_number() OVER (PARTITION BY b.i, a.subject_id ORDER BY md5('perm' || b.i || '|' || a.event_id), a.event_id) AS k FROM a, generate_series(1, {PERM_N}) AS b(i)), al AS (SELECT 0 AS rep, subject_id, prob, label FROM a UNION ALL SELECT pm.rep, a.subject_id, a.prob, pm.label FROM pm JOIN a USING (subject_id, k)), t AS (SELECT rep, subject_id, prob, sum(label) AS p, sum(1 - label) AS n FROM al GROUP BY ALL), c AS (SELECT *, sum(p) OVER (PARTITION BY rep, subject_id ORDER BY prob DESC) AS tp, sum(p) OVER (PARTITION BY rep, subject_id) AS tot_p, sum(n) OVER (PARTITION BY rep, subject_id) AS tot_n FROM t), u AS (SELECT rep, subject_id, sum(n * (tp - p) + p * n / 2.0)::DOUBLE / (max(tot_p) * max(tot_n)) AS auc FROM c WHERE tot_p > 0 AND tot_n > 0 GROUP BY ALL), v AS (SELECT rep, round(avg(auc), 9) AS auc FROM u GROUP BY rep) SELECT round(max(auc) FILTER (rep = 0), 6) AS observed, round(avg(auc) FILTER (rep > 0), 6) AS null_mean, round((count(*) FILTER (rep > 0 AND auc >= (SELECT auc FROM v WHERE rep = 0)) + 1)::DOUBLE / (count(*) FILTER (rep > 0) + 1), 6) AS p FROM v")
+@query(f"""WITH {SCORED}, a AS (SELECT subject_id, seq, label, row_number() OVER (PARTITION BY subject_id ORDER BY seq) AS k FROM scored WHERE model = 'level'),
+b AS (SELECT model, subject_id, row_number() OVER w AS k, rank() OVER (PARTITION BY model, subject_id ORDER BY prob) + (count(*) OVER (PARTITION BY model, subject_id, prob) - 1) / 2.0::DOUBLE AS mid,
+rank() OVER (PARTITION BY model, subject_id ORDER BY prob DESC) + count(*) OVER (PARTITION BY model, subject_id, prob) - 1 AS reached FROM scored WINDOW w AS (PARTITION BY model, subject_id ORDER BY seq)),
+z AS (SELECT subject_id, count(*) AS n, sum(label) AS p FROM a GROUP BY 1),
+pm AS (SELECT g.i AS rep, a.subject_id, a.label, row_number() OVER (PARTITION BY g.i, a.subject_id ORDER BY {shuffled_sql('a.k', 'g.i', 'perm')}, a.k) AS k FROM a, generate_series(1, {PERM_N}) AS g(i)),
+ps AS (SELECT rep, subject_id, k FROM pm WHERE label = 1 UNION ALL SELECT 0, subject_id, k FROM a WHERE label = 1),
+rk AS (SELECT b.model, ps.rep, ps.subject_id, b.mid, b.reached, count(*) OVER (PARTITION BY b.model, ps.rep, ps.subject_id ORDER BY b.reached RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp FROM ps JOIN b USING (subject_id, k)),
+ar AS (SELECT model, rep, subject_id, (sum(mid) - max(p) * (max(p) + 1) / 2.0::DOUBLE) / (max(p) * (max(n) - max(p))) AS auc, sum(tp::DOUBLE / reached) / max(p) AS ap FROM rk JOIN z USING (subject_id) WHERE p < n GROUP BY ALL),
+mn AS (SELECT model, rep, metric, round(avg(v), 9) AS v FROM (SELECT model, rep, 'auc' AS metric, auc AS v FROM ar UNION ALL SELECT model, rep, 'ap', ap FROM ar) GROUP BY ALL),
+ob AS (SELECT model, metric, v AS observed FROM mn WHERE rep = 0)
+SELECT model, metric, round(max(observed), 6) AS observed, round(avg(v), 6) AS null_mean, round(stddev_samp(v), 6) AS null_sd, round((count(*) FILTER (v >= observed) + 1)::DOUBLE / (count(*) + 1), 6) AS p FROM mn JOIN ob USING (model, metric) WHERE rep > 0 GROUP BY model, metric""")
 def k1_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = st.permutation_test(scored(spark, sf_dir).where("model = 'level'"), ["subject_id"], PERM_N)
-    return t.select(*[r6(F.col(c)).alias(c) for c in ("observed", "null_mean", "p")])
+    """Mean areas of subjects beside those of 1000 permutations of labels inside subjects."""
+    t = permutation_test(scored(spark, sf_dir), ["model"], "subject_id", PERM_N)
+    return t.select("model", "metric", *[r6(F.col(c)).alias(c) for c in ("observed", "null_mean", "null_sd", "p")])
 
 
 K3_GRID = even_grid()
