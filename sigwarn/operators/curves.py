@@ -9,30 +9,32 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigwarn.functions import ratio
-from sigwarn.operators.ordered import CHUNK_ROWS, fire, handed_over, join_null_safe
+from sigwarn.operators.ordered import fire, handed_over, placed
+from sigwarn.operators.prefix import CHUNK_ROWS, framed, join_null_safe
 
 
 def even_grid(first: float = 0.05, last: float = 0.95, points: int = 91) -> list[float]:
     return [round(first + k * (last - first) / (points - 1), 9) for k in range(points)]
 
 
-def vote_level(k: int, m: int, by: list[str], order: str, value: str) -> Column:
-    """The largest threshold that k of the last m rows reach; null where there are fewer than k."""
-    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(-(m - 1), 0)
-    return F.get(F.sort_array(F.collect_list(value).over(frame), asc=False), F.lit(k - 1))
+def vote_level(df: DataFrame, k: int, m: int, by: list[str], place: str, value: str) -> DataFrame:
+    """df with `_q`, the largest threshold that k of the last m rows reach; null where there are fewer than k."""
+    near = framed(df, by, place, m - 1, 0, {"_q": F.collect_list(value)})
+    return near.withColumn("_q", F.get(F.sort_array("_q", asc=False), F.lit(k - 1)))
 
 
-def alarm_counts(blocked: DataFrame, by: list[str], grid: list[float], k: int = 5, m: int = 12, refractory: int = 180, order: str = "seq", value: str = "prob", label: str = "label", chunk: int = CHUNK_ROWS) -> DataFrame:
+def alarm_counts(blocked: DataFrame, by: list[str], grid: list[float], k: int = 5, m: int = 12, refractory: int = 180, order: str = "seq", value: str = "prob", label: str = "label", chunk: int = CHUNK_ROWS, place: str | None = None) -> DataFrame:
     """(by, threshold, tp, fp, fn, tn, n_events, events_hit) for each threshold of the grid; blocked has `block`.
 
     tp and fp are alarms on positive and on other rows. Nulls in `by` form their own series.
     """
-    levels, places = np.array(sorted(grid)), F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    rows = blocked.select(*by, order, value, label, "block").withColumns({"_q": vote_level(k, m, by, order, value), "_n": places.cast("long") - 1})
+    levels = np.array(sorted(grid))
+    rows, n, _ = placed(blocked.select(*dict.fromkeys([*by, order, value, label, "block", *([place] if place else [])])), by, order, place)
+    rows = vote_level(rows, k, m, by, n, value).withColumn("_n", F.col(n).cast("long"))
     candidates = rows.where(F.col("_q") >= float(levels[0])).select(*by, "_n", "_q", F.coalesce(F.col(label) == 1, F.lit(False)).alias("_y"), "block", F.floor(F.col("_n") / chunk).cast("long").alias("_chunk"))
     types = {f.name: f.dataType.simpleString() for f in blocked.schema.fields}
     keys = ", ".join(f"`{b}` {types[b]}" for b in by)

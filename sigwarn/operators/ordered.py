@@ -11,29 +11,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a series that one task follows; longer series are cut, and what a cut hands over is worked out first.
-CHUNK_ROWS = 65_536
+from sigwarn.operators.prefix import CHUNK_ROWS, framed, join_null_safe, numbered, scanned
 
 
-def smooth(df: DataFrame, by: list[str], order: str = "seq", value: str = "prob", width: int = 10, out: str = "smoothed") -> DataFrame:
+def placed(df: DataFrame, by: list[str], order: str, place: str | None) -> tuple[DataFrame, str, list[str]]:
+    """df with a column of places from 0, its name, and the columns to drop in the end. `place` names one that df has."""
+    return (df, place, []) if place else (numbered(df, by, order), "_n", ["_n", "_rows"])
+
+
+def smooth(df: DataFrame, by: list[str], order: str = "seq", value: str = "prob", width: int = 10, out: str = "smoothed", place: str | None = None) -> DataFrame:
     """Centred moving sum over rows -width//2 .. width - width//2 - 1, divided by width; series shorter than width stay as they are."""
-    w = Window.partitionBy(*by)
-    frame = w.orderBy(order).rowsBetween(-(width // 2), width - width // 2 - 1)
-    return df.withColumn(out, F.when(F.count(F.lit(1)).over(w) < width, F.col(value)).otherwise(F.sum(value).over(frame) / width))
+    df, n, extra = placed(df, by, order, place)
+    near = (F.sum(value), width // 2, width - width // 2 - 1)
+    seen = framed(df, by, n, width - 1, width - 1, {"_some": F.count(F.lit(1)), "_near": near})  # a short series has fewer rows in reach of each row
+    return seen.withColumn(out, F.when(F.col("_some") < width, F.col(value)).otherwise(F.col("_near") / width)).drop("_some", "_near", *extra)
 
 
-def smooth_causal(df: DataFrame, by: list[str], order: str = "seq", value: str = "prob", width: int = 10, out: str = "smoothed") -> DataFrame:
+def smooth_causal(df: DataFrame, by: list[str], order: str = "seq", value: str = "prob", width: int = 10, out: str = "smoothed", place: str | None = None) -> DataFrame:
     """Mean of the last width rows; only rows that have so many."""
-    w = Window.partitionBy(*by).orderBy(order)
-    found = df.withColumn(out, F.sum(value).over(w.rowsBetween(-(width - 1), 0)) / width).withColumn("_n", F.row_number().over(w))
-    return found.where(F.col("_n") >= width).drop("_n")
+    df, n, extra = placed(df, by, order, place)
+    found = framed(df, by, n, width - 1, 0, {out: F.sum(value)}).withColumn(out, F.col(out) / width)
+    return found.where(F.col(n) >= width - 1).drop(*extra)
 
 
-def votes(df: DataFrame, by: list[str], threshold: Column | float, k: int, m: int, order: str = "seq", value: str = "prob") -> DataFrame:
+def votes(df: DataFrame, by: list[str], threshold: Column | float, k: int, m: int, order: str = "seq", value: str = "prob", place: str | None = None) -> DataFrame:
     """df with `vote`: whether at least k of the last m rows reach the threshold."""
+    df, n, extra = placed(df, by, order, place)
     threshold = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(-(m - 1), 0)
-    return df.withColumn("vote", F.sum((F.col(value) >= threshold).cast("int")).over(frame) >= k)
+    found = framed(df, by, n, m - 1, 0, {"vote": F.sum((F.col(value) >= threshold).cast("int"))})
+    return found.withColumn("vote", F.col("vote") >= k).drop(*extra)
 
 
 def _first_free(at: np.ndarray, span: int) -> np.ndarray:
@@ -60,22 +66,17 @@ def handed_over(at: np.ndarray, start: int, end: int, span: int) -> np.ndarray:
     return np.where(i < len(at), left[i], np.maximum(0, start + blocked - end))
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """left with the other columns of right, where the columns `on` are equal or both null."""
-    other = right.select(*[F.col(c).alias(f"_right_{c}") for c in on], *[c for c in right.columns if c not in on])
-    same = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on]
-    return left.join(other, same, how).drop(*[f"_right_{c}" for c in on])
-
-
-def alarms(df: DataFrame, by: list[str], threshold: Column | float = 0.5, k: int = 5, m: int = 12, refractory: int = 180, order: str = "seq", value: str = "prob", chunk: int = CHUNK_ROWS) -> DataFrame:
+def alarms(df: DataFrame, by: list[str], threshold: Column | float = 0.5, k: int = 5, m: int = 12, refractory: int = 180, order: str = "seq", value: str = "prob", chunk: int = CHUNK_ROWS, place: str | None = None) -> DataFrame:
     """df with `alarm` (0 or 1): k of the last m rows reach the threshold and no alarm fired in the last `refractory` rows.
 
-    Votes are a window aggregate. The refractory rule is sequential, so only candidate rows go to helpers, in chunks
+    `place` names a column of df that counts a series' rows in order from 0; without it they are numbered here. Votes are
+    aggregates over frames of rows. The refractory rule is sequential, so only candidate rows go to helpers, in chunks
     of the series' row numbers: each chunk first tells what it hands over for any number of rows suppressed at its
     start; these short tables are composed per series; then every chunk fires on its own.
     """
-    w = Window.partitionBy(*by).orderBy(order)
-    voted = votes(df, by, threshold, k, m, order, value).withColumn("_n", F.row_number().over(w).cast("long") - 1)
+    df, n, extra = placed(df, by, order, place)
+    voted = votes(df, by, threshold, k, m, order, value, n)
+    voted = voted if n == "_n" else voted.withColumn("_n", F.col(n).cast("long"))
     candidates = voted.where("vote").select(*by, "_n", F.floor(F.col("_n") / chunk).cast("long").alias("_chunk"))
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     keys = ", ".join(f"`{b}` {types[b]}" for b in by)
@@ -103,17 +104,20 @@ def alarms(df: DataFrame, by: list[str], threshold: Column | float = 0.5, k: int
     entry = over.groupBy(*by).applyInPandas(compose, f"{keys}, _chunk long, _blocked long")
     entered = join_null_safe(candidates, entry, [*by, "_chunk"])
     fired = entered.groupBy(*by, "_chunk").applyInPandas(follow, f"{keys}, _n long")
-    return join_null_safe(voted, fired.withColumn("_fired", F.lit(1)), [*by, "_n"], "left").withColumn("alarm", F.coalesce("_fired", F.lit(0))).drop("_n", "_fired", "vote")
+    return join_null_safe(voted, fired.withColumn("_fired", F.lit(1)), [*by, "_n"], "left").withColumn("alarm", F.coalesce("_fired", F.lit(0))).drop("_n", "_fired", "vote", *extra)
 
 
-def blocks(df: DataFrame, by: list[str], order: str = "seq", label: str = "label") -> DataFrame:
+def blocks(df: DataFrame, by: list[str], order: str = "seq", label: str = "label", place: str | None = None) -> DataFrame:
     """df with `block`: 1, 2, ... for maximal runs of label 1, null elsewhere; and `pos`, `block_len`: place in it from 1, its rows."""
-    w = Window.partitionBy(*by).orderBy(order)
+    df, n, extra = placed(df, by, order, place)
     positive = F.coalesce(F.col(label) == 1, F.lit(False))
-    begins = positive & ~F.coalesce(F.lag(positive).over(w), F.lit(False))
-    out = df.withColumn("block", F.when(positive, F.sum(begins.cast("long")).over(w)))
-    own = Window.partitionBy(*by, "block")
-    return out.withColumn("pos", F.when(positive, F.row_number().over(own.orderBy(order))).cast("long")).withColumn("block_len", F.when(positive, F.count(F.lit(1)).over(own)))
+    df = df.withColumn("_at", F.when(positive, F.col(n)))
+    edges = framed(df, by, n, 1, 1, {"_first": F.min("_at"), "_last": F.max("_at")})
+    begin, end = F.col("_at") == F.col("_first"), F.col("_at") == F.col("_last")
+    found = scanned(edges, by, n, {"block": F.coalesce(begin, F.lit(False)).cast("long")}, {"_start": F.when(begin, F.col(n))}, {"_stop": F.when(end, F.col(n))})
+    held = lambda c: F.when(F.col("_at").isNotNull(), c)
+    out = found.withColumns({"block": held(F.col("block")), "pos": held((F.col(n) - F.col("_start") + 1).cast("long")), "block_len": held((F.col("_stop") - F.col("_start") + 1).cast("long"))})
+    return out.drop("_at", "_first", "_last", "_start", "_stop", *extra)
 
 
 def relabel_last(blocked: DataFrame, keep: int, label: str = "label") -> DataFrame:
@@ -134,16 +138,14 @@ def thirds(blocked: DataFrame) -> DataFrame:
 
 def chronological_split(df: DataFrame, by: list[str], validation: float = 0.2, order: str = "seq", label: str = "label") -> DataFrame:
     """df with `part`: the first ceil(n * (1 - validation)) rows of each class of a series train, the others validate."""
-    w = Window.partitionBy(*by, label)
-    n, rows = F.row_number().over(w.orderBy(order)), F.count(F.lit(1)).over(w)
-    return df.withColumn("part", F.when(n <= F.ceil(F.round(rows * (1 - validation), 9)), "train").otherwise("val"))
+    train = F.col("_n") < F.ceil(F.round(F.col("_rows") * (1 - validation), 9))
+    return numbered(df, [*by, label], order).withColumn("part", F.when(train, "train").otherwise("val")).drop("_n", "_rows")
 
 
 def position_split(df: DataFrame, by: list[str], share: float = 0.8, order: str = "seq", names: tuple[str, str] = ("train", "test")) -> DataFrame:
     """df with `part`: the first floor(n * share) rows of a series, and the others."""
-    w = Window.partitionBy(*by)
-    n, rows = F.row_number().over(w.orderBy(order)), F.count(F.lit(1)).over(w)
-    return df.withColumn("part", F.when(n <= F.floor(F.round(rows * share, 9)), names[0]).otherwise(names[1]))
+    early = F.col("_n") < F.floor(F.round(F.col("_rows") * share, 9))
+    return numbered(df, by, order).withColumn("part", F.when(early, names[0]).otherwise(names[1])).drop("_n", "_rows")
 
 
 def split_at_late_positive(df: DataFrame, by: list[str], share: float = 0.3, least: int = 2, order: str = "seq", label: str = "label") -> DataFrame:
@@ -158,12 +160,11 @@ def split_at_late_positive(df: DataFrame, by: list[str], share: float = 0.3, lea
 
 def expanding_folds(df: DataFrame, by: list[str], shares: tuple[float, ...] = (0.4, 0.6, 0.8), test: float = 0.2, order: str = "seq") -> DataFrame:
     """Rows of each fold with `fold` and `part`: train on the first share of a series, test on the next."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("_n", F.row_number().over(w.orderBy(order))).withColumn("_rows", F.count(F.lit(1)).over(w))
+    rows = numbered(df, by, order)
     folds = F.explode(F.array(*[F.struct(F.lit(k).alias("fold"), F.lit(s).alias("share")) for k, s in enumerate(shares)]))
     rows = rows.withColumn("_f", folds)
     cut, end = F.floor(F.round(F.col("_rows") * F.col("_f.share"), 9)), F.floor(F.round(F.col("_rows") * (F.col("_f.share") + test), 9))
-    part = F.when(F.col("_n") <= cut, "train").when(F.col("_n") <= end, "test")
+    part = F.when(F.col("_n") < cut, "train").when(F.col("_n") < end, "test")
     return rows.withColumn("fold", F.col("_f.fold")).withColumn("part", part).where("part is not null").drop("_n", "_rows", "_f")
 
 
@@ -187,10 +188,10 @@ def leave_one_event_out(blocked: DataFrame, by: list[str], order: str = "seq", l
 
 def event_parts(blocked: DataFrame, by: list[str], order: str = "seq") -> DataFrame:
     """blocked with `part`: k for the rows after block k-1's end up to block k's end, null after the last block."""
-    w = Window.partitionBy(*by).orderBy(order)
-    ends = F.sum((F.col("block").isNotNull() & (F.col("pos") == F.col("block_len"))).cast("long"))
-    ended = F.coalesce(ends.over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return blocked.withColumn("part", F.when(ended < ends.over(Window.partitionBy(*by)), ended + 1))
+    ends = (F.col("block").isNotNull() & (F.col("pos") == F.col("block_len"))).cast("long")
+    found = scanned(numbered(blocked, by, order), by, "_n", {"_ended": ends}, following={"_more": F.when(ends == 1, F.col("_n"))})
+    part = F.when(F.col("_more").isNotNull(), F.col("_ended") - ends + 1)
+    return found.withColumn("part", part).drop("_n", "_rows", "_ended", "_more")
 
 
 def stratified_split(df: DataFrame, by: list[str], shares: dict[str, float], key: str = "seq", label: str = "label", seed: str = "split") -> DataFrame:

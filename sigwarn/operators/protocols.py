@@ -9,6 +9,7 @@ from sigwarn.functions import ratio
 from sigwarn.operators import curves as cv
 from sigwarn.operators import metrics as m
 from sigwarn.operators import ordered as o
+from sigwarn.operators.prefix import numbered
 from sigwarn.sources.results import stored
 
 PROTOCOLS = ("left_out", "within_temporal", "within_random", "pooled_random", "event_left_out")
@@ -44,14 +45,15 @@ def calibrated(scored: DataFrame, by: list[str], step: float, target: float, k:
     Scores are smoothed; the threshold is that of the grid with the largest sensitivity of alarms among those with at most
     target false alarms an hour, or Youden's, clipped to [0.05, 0.95]; sensitivity and specificity are those of alarm rows.
     """
-    smooth = o.smooth(scored.select(*by, "seq", "label", "prob"), by, width=width)
-    smooth = stored(o.blocks(smooth.drop("prob").withColumnRenamed("smoothed", "prob"), by), "smoothed")
-    counts = cv.alarm_counts(smooth, by, grid or cv.even_grid(), k, m_rows, refractory)
+    rows = numbered(scored.select(*by, "seq", "label", "prob"), by, out="_place").drop("_rows")
+    smooth = o.smooth(rows, by, width=width, place="_place")
+    smooth = stored(o.blocks(smooth.drop("prob").withColumnRenamed("smoothed", "prob"), by, place="_place"), "smoothed")
+    counts = cv.alarm_counts(smooth, by, grid or cv.even_grid(), k, m_rows, refractory, place="_place")
     fits = m.operating_threshold(cv.alarm_rates(counts, by, step), by, target)
     fallback = m.youden(m.roc_points(smooth, by), by).select(*by, F.col("threshold").alias("_y"))
     clipped = F.least(F.greatest(F.coalesce("_y", F.lit(0.95)), F.lit(0.05)), F.lit(0.95))
     chosen = stored(fits.join(fallback, by, "left").select(*by, F.coalesce("threshold", clipped).alias("threshold")), "thresholds")
-    alarmed = o.alarms(smooth.join(chosen, by), by, F.col("threshold"), k, m_rows, refractory)
+    alarmed = o.alarms(smooth.join(chosen, by), by, F.col("threshold"), k, m_rows, refractory, place="_place")
     level = m.confusion(alarmed, by, F.col("alarm") == 1)
     level = level.select(*by, F.col("sensitivity").alias("sens_alarm"), F.col("specificity").alias("spec_alarm"), ratio(F.col("fp"), (F.col("fp") + F.col("tn")) * step / 3600).alias("fpr_per_hour"), (F.col("tp") + F.col("fn")).alias("n_pos"), (F.col("fp") + F.col("tn")).alias("n_neg"))
     return m.auc_ap(smooth, by).join(chosen, by).join(level, by)

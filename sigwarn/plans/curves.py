@@ -14,6 +14,7 @@ from sigwarn.plans.evaluation import (
     AREAS, ALARM_LEVEL, BY, CONFUSION, EVALUATE, EVENT_COLUMNS, EVENTS, GRID, K, M, POINTS, RATIOS, REFRACTORY, STEP, TARGET, YOUDEN, alarm_sql, block_sql, evaluated, flag, thresholds,
 )
 from sigwarn.registry import query
+from sigwarn.sources.results import stored
 from sigwarn.sources.tables import SCORED, scored
 
 LEAD_HOURS = 25 / 60
@@ -28,7 +29,7 @@ cn AS (SELECT model, subject_id, threshold, sum(tp)::BIGINT AS tp, sum(fp)::BIGI
 
 
 def counted(spark: SparkSession, sf_dir: str, points: int = 91) -> DataFrame:
-    return cv.alarm_counts(o.blocks(scored(spark, sf_dir), BY), BY, cv.even_grid(points=points), K, M, REFRACTORY)
+    return cv.alarm_counts(stored(o.blocks(scored(spark, sf_dir), BY, place="seq"), "blocks"), BY, cv.even_grid(points=points), K, M, REFRACTORY, place="seq")
 
 
 @query(f"""WITH RECURSIVE {SCORED}, {grid_sql(cv.even_grid())}, f AS (SELECT *, row_number() OVER (PARTITION BY model, subject_id ORDER BY tp::DOUBLE / greatest(n1, 1) DESC, threshold) AS k FROM cn WHERE n0 > 0 AND fp / (n0 * {STEP} / 3600.0::DOUBLE) <= {TARGET}),
@@ -72,8 +73,9 @@ sx AS (SELECT sm.*, th.threshold FROM sm JOIN th USING (model, subject_id)), {al
 def f8_calibrated_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothing, the operating threshold of the smoothed scores and its alarms, beside raw scores at Youden's threshold."""
     raw = scored(spark, sf_dir)
-    smooth = o.smooth(raw, BY).drop("prob").withColumnRenamed("smoothed", "prob")
-    flagged = o.blocks(o.alarms(smooth.join(thresholds(smooth), BY), BY, F.col("threshold"), K, M, REFRACTORY), BY)
+    smooth = stored(o.smooth(raw, BY, place="seq").drop("prob").withColumnRenamed("smoothed", "prob"), "smoothed")
+    alarmed = stored(o.alarms(smooth.join(thresholds(smooth), BY), BY, F.col("threshold"), K, M, REFRACTORY, place="seq"), "alarms")
+    flagged = stored(o.blocks(alarmed, BY, place="seq"), "flagged")
     level, events = m.confusion(flagged, BY, F.col("alarm") == 1), m.event_level(flagged, BY, STEP)
     chosen = flagged.groupBy(*BY).agg(F.first("threshold").alias("threshold"))
     y = m.youden(m.roc_points(raw, BY), BY).select(*BY, F.col("threshold").alias("_y"))

@@ -12,6 +12,7 @@ from sigwarn.operators import statistics as st
 from sigwarn.operators.curves import even_grid
 from sigwarn.operators.permutation import permutation_test, shuffled_sql
 from sigwarn.registry import query
+from sigwarn.sources.results import stored
 from sigwarn.sources.tables import SCORED, scored
 
 BY = ["model", "subject_id"]
@@ -57,7 +58,7 @@ ALARMED = f"{SCORED}, {alarm_sql()}, {block_sql('alarmed', 'ab')}"
 
 
 def alarmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.blocks(o.alarms(scored(spark, sf_dir), BY, THRESHOLD, K, M, REFRACTORY), BY)
+    return o.blocks(stored(o.alarms(scored(spark, sf_dir), BY, THRESHOLD, K, M, REFRACTORY, place="seq"), "alarms"), BY, place="seq")
 
 
 def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +222,7 @@ def d21_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {ALARMED} SELECT model, subject_id, seq, alarm FROM ab")
 def e4_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.alarms(scored(spark, sf_dir), BY, THRESHOLD, K, M, REFRACTORY).select(*BY, "seq", "alarm")
+    return o.alarms(scored(spark, sf_dir), BY, THRESHOLD, K, M, REFRACTORY, place="seq").select(*BY, "seq", "alarm")
 
 
 GRID = f"g AS (SELECT round(0.05 + k * ((0.95 - 0.05) / 90), 9)::DOUBLE AS threshold FROM generate_series(0, 90) AS t(k)), gr AS (SELECT model, subject_id, threshold, count(*) FILTER (label = 1 AND prob >= threshold)::DOUBLE / greatest(count(*) FILTER (label = 1), 1) AS sens, CASE WHEN count(*) FILTER (label = 0) > 0 THEN count(*) FILTER (label = 0 AND prob >= threshold)::DOUBLE / (count(*) FILTER (label = 0) * {STEP} / 3600.0::DOUBLE) END AS fpr_h FROM scored, g GROUP BY ALL)"

@@ -23,17 +23,17 @@ def level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.blocks(level(spark, sf_dir), BY)
+    return o.blocks(level(spark, sf_dir), BY, place="seq")
 
 
 @query(f"WITH {LEVEL} SELECT subject_id, seq, round(CASE WHEN count(*) OVER (PARTITION BY subject_id) < 10 THEN prob ELSE sum(prob) OVER (PARTITION BY subject_id ORDER BY seq ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) / 10 END, 6) AS smoothed FROM lv")
 def e2_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.smooth(level(spark, sf_dir), BY).select("subject_id", "seq", r6(F.col("smoothed")).alias("smoothed"))
+    return o.smooth(level(spark, sf_dir), BY, place="seq").select("subject_id", "seq", r6(F.col("smoothed")).alias("smoothed"))
 
 
 @query(f"WITH {LEVEL}, s AS (SELECT subject_id, seq, sum(prob) OVER (PARTITION BY subject_id ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) / 10 AS v FROM lv) SELECT subject_id, seq, round(v, 6) AS smoothed FROM s WHERE seq >= 9")
 def e3_smooth_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.smooth_causal(level(spark, sf_dir), BY).select("subject_id", "seq", r6(F.col("smoothed")).alias("smoothed"))
+    return o.smooth_causal(level(spark, sf_dir), BY, place="seq").select("subject_id", "seq", r6(F.col("smoothed")).alias("smoothed"))
 
 
 @query(f"WITH {BLOCKS} SELECT subject_id, block, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS rows FROM ab WHERE block IS NOT NULL GROUP BY ALL")

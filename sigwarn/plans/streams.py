@@ -56,5 +56,5 @@ def l2_stream_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {STREAM_ALARMS} SELECT subject_id, count(*) FILTER (label = 1 AND alarm = 1) AS tp, count(*) FILTER (label = 0 AND alarm = 1) AS fp, count(*) FILTER (label = 1 AND alarm = 0) AS fn, count(*) FILTER (label = 0 AND alarm = 0) AS tn FROM alarmed GROUP BY 1")
 def l3_stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = o.alarms(level(spark, sf_dir), ["subject_id"], THRESHOLD, K, M, REFRACTORY).select("subject_id", "label", "alarm")
+    flagged = o.alarms(level(spark, sf_dir), ["subject_id"], THRESHOLD, K, M, REFRACTORY, place="seq").select("subject_id", "label", "alarm")
     return to_end(online.running_counters(arriving(flagged, "flagged"), ["subject_id"]), "counters", "complete")

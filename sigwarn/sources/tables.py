@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from sigwarn.functions import micros
+from sigwarn.operators.prefix import numbered
 
 SUBJECTS, DAY = 21, 86_400
 INCIDENT_VALUE = 120
@@ -20,8 +21,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, subject_id, seq, event_id, t_us, label, prob): two scoring rules on the stream of events in order."""
     e = read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % SUBJECTS).alias("subject_id"), micros(F.col("ts")).alias("t_us"), "event_type", "value")
-    order = Window.partitionBy("subject_id").orderBy("t_us", "event_id")
-    e = e.withColumn("seq", F.row_number().over(order).cast("long") - 1).withColumn("label", (F.col("event_type") == "error").cast("int"))
+    e = numbered(e, ["subject_id"], ["t_us", "event_id"], "seq").drop("_rows").withColumn("label", (F.col("event_type") == "error").cast("int"))
     level = F.col("value") / (F.col("value") + 50)
     noise = (F.col("event_id") * 7919 % 1000) / F.lit(1000.0)
     models = F.array(F.struct(F.lit("level").alias("model"), level.alias("prob")), F.struct(F.lit("mixed").alias("model"), ((level + noise) / 2).alias("prob")))
