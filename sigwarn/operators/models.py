@@ -20,11 +20,11 @@ from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from sigwarn.functions import hash_order, sigmoid
+from sigwarn.functions import sigmoid
 from sigwarn.operators.metrics import auc_ap
 from sigwarn.sources.results import fresh_path, stored
 
@@ -157,33 +157,6 @@ def grid_search(df: DataFrame, strengths: list[float], folds: int) -> DataFrame:
     return df.sparkSession.createDataFrame([(s, v, k == best) for k, (s, v) in enumerate(zip(strengths, means, strict=True))], "reg_param double, mean_ap double, best boolean")
 
 
-def identify(df: DataFrame, folds: int = 3, most: int = 400, seed: str = "probe") -> DataFrame:
-    """(subjects, balanced_accuracy, times_chance): how well a row's subject can be told from its features.
-
-    At most `most` rows a subject take part, drawn by hash, as the measure weighs subjects equally; folds are
-    stratified by subject.
-    """
-    w = Window.partitionBy("subject_id").orderBy(hash_order(seed, F.col("subject_id"), F.col("seq")), "seq")
-    rows = df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).withColumn("fold", F.col("_k") % folds)
-    rows = rows.join(F.broadcast(_numbers(df)), "subject_id")  # a row per subject
-    rows = rows.withColumn("vector", array_to_vector("features"))
-    estimator = LogisticRegression(family="multinomial", maxIter=15, regParam=0.01, featuresCol="scaled", labelCol="number")
-    told = None
-    for fold in range(folds):
-        model = Pipeline(stages=[scaler(), estimator]).fit(rows.where(F.col("fold") != fold))
-        one = model.transform(rows.where(F.col("fold") == fold)).select("number", "prediction")
-        told = one if told is None else told.unionByName(one)
-    recall = told.groupBy("number").agg(F.avg((F.col("number") == F.col("prediction")).cast("double")).alias("r"))
-    out = recall.agg(F.count(F.lit(1)).alias("subjects"), F.avg("r").alias("balanced_accuracy"))
-    return out.withColumn("times_chance", F.col("balanced_accuracy") * F.col("subjects"))
-
-
-def _numbers(df: DataFrame) -> DataFrame:
-    """(subject_id, number) from 0: the dimension of subjects."""
-    found = df.select("subject_id").distinct()
-    return found.withColumn("number", (F.row_number().over(Window.orderBy("subject_id")) - 1).cast("double"))
-
-
 def principal_components(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(subject_id, seq, label, projected) of all rows and (component, explained), the share of variance from 1 on."""
     rows = vectors(df)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigwarn.functions import hash_order, hash_uniform, ratio, two_sided
-from sigwarn.operators.metrics import auc_ap
 
 
 def mann_whitney(df: DataFrame, by: list[str], label: str = "label", value: str = "prob") -> DataFrame:

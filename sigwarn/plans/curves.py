@@ -11,7 +11,7 @@ from sigwarn.operators import metrics as m
 from sigwarn.operators import ordered as o
 from sigwarn.operators import statistics as st
 from sigwarn.plans.evaluation import (
-    AREAS, ALARM_LEVEL, BY, CONFUSION, EVALUATE, EVENT_COLUMNS, EVENTS, GRID, K, M, POINTS, RATIOS, REFRACTORY, STEP, TARGET, YOUDEN, alarm_sql, block_sql, evaluated, flag, thresholds,
+    AREAS, ALARM_LEVEL, BY, EVALUATE, EVENT_COLUMNS, EVENTS, GRID, K, M, POINTS, RATIOS, REFRACTORY, STEP, TARGET, YOUDEN, alarm_sql, block_sql, evaluated, flag, thresholds,
 )
 from sigwarn.registry import query
 from sigwarn.sources.results import stored

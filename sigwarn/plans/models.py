@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from sigwarn.functions import micros, r6
 from sigwarn.operators import folds as fd
+from sigwarn.operators import graphs
 from sigwarn.operators import models as d
 from sigwarn.operators import ordered as o
+from sigwarn.operators import probes as pb
 from sigwarn.operators import protocols as pr
 from sigwarn.operators import windows as w
 from sigwarn.operators.metrics import auc_ap, skill
@@ -80,9 +82,48 @@ def j7_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.grid_search(featured(spark, sf_dir), [0.01, 0.1, 1.0], 3)
 
 
+SIDE, PROBE_FOLDS = 8, 3
+
+
+def described(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, list[int]]]:
+    """(subject_id, seq, label, features): cells of each matrix and its descriptors; and the places of each group of features."""
+    rows = featured(spark, sf_dir).withColumn("features", F.concat("features", graphs.descriptors(F.col("features"))))
+    cells, groups = SIDE * SIDE, {}
+    at = cells
+    for name, size in {**{g: SIDE for g in graphs.GROUPS}, "scalars": len(graphs.SCALARS), "singular": graphs.SINGULAR}.items():
+        groups[name] = list(range(at, at + size))
+        at += size
+    return rows, {"cells": list(range(cells)), "descriptors": list(range(cells, at))} | groups
+
+
+def probed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[str, list[int]]]:
+    """Recalls of the probes of all groups and channels (a channel: its row and column), the rows and the groups."""
+    rows, groups = described(spark, sf_dir)
+    table = stored(rows, "described")
+    channels = {f"channel_{c}": sorted({c * SIDE + k for k in range(SIDE)} | {k * SIDE + c for k in range(SIDE)}) for c in range(SIDE)}
+    dealt = pb.dealt(table, PROBE_FOLDS)
+    return pb.recalls(dealt, pb.train(dealt, groups | channels, PROBE_FOLDS, tolerance=1e-4)), table, groups
+
+
 @query()
 def j9_identifiability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.identify(featured(spark, sf_dir))
+    """How well groups of features and single channels tell subjects apart, from all rows."""
+    return pb.identifiability(probed(spark, sf_dir)[0])
+
+
+@query()
+def j10_identifiability_against_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each feature group's identifiability beside the mean area of left-out subjects, and their correlation over groups."""
+    told, rows, groups = probed(spark, sf_dir)
+    width = max(max(p) for p in groups.values()) + 1
+    # features outside the group are constant, so that one fit serves all groups
+    only = lambda places: F.transform(F.arrays_zip(F.col("features"), F.lit([int(j in places) for j in range(width)]).alias("m")), lambda x: x["features"] * x["m"])
+    masked = [only(set(places)) for places in groups.values()]
+    each = rows.select("subject_id", "seq", "label", F.inline(F.array(*[F.struct(F.lit(g).alias("pool"), m.alias("features")) for g, m in zip(groups, masked, strict=True)])))
+    scored = fitted_scores(each.withColumn("part", F.col("subject_id")))
+    area = auc_ap(scored, ["pool", "subject_id"]).groupBy(F.col("pool").alias("probe")).agg(F.avg("auc").alias("lopo_auc"))
+    both = pb.identifiability(told).join(area, "probe").select("probe", F.col("mean_acc").alias("identifiability"), "lopo_auc")
+    return both.crossJoin(F.broadcast(both.agg(F.corr("identifiability", "lopo_auc").alias("r"))))  # one row
 
 
 @query()
