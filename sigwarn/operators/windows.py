@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigwarn.functions import hash_order
 
 KEYS = ["subject_id", "recording_id"]
+#: Seconds of a bucket of time. Intervals meet in the buckets that both reach into, so a subject's many events don't meet all its windows.
+BUCKET = 14_400
+
+
+def buckets(start: Column, end: Column, size: int = BUCKET) -> Column:
+    """The buckets that an interval reaches into, for explode(); none for an unknown or reversed one."""
+    first, last = F.floor(start / size), F.floor(end / size)
+    return F.when(first <= last, F.sequence(first, last))
 
 
 def grid(recordings: DataFrame, width: int, step: int) -> DataFrame:
@@ -33,7 +41,7 @@ def lead_zones(events: DataFrame, lead: int, horizon: int) -> DataFrame:
     return z.groupBy(*KEYS, "_island").agg(F.min("z_start").alias("z_start"), F.max("z_end").alias("z_end")).drop("_island")
 
 
-def label_windows(windows: DataFrame, events: DataFrame, recordings: DataFrame, lead: int, horizon: int, after: int, exclude_gap: bool = False) -> DataFrame:
+def label_windows(windows: DataFrame, events: DataFrame, recordings: DataFrame, lead: int, horizon: int, after: int, exclude_gap: bool = False, bucket: int = BUCKET) -> DataFrame:
     """windows with `label`: -1 where it overlaps an exclusion zone or partly a lead zone, 1 inside a lead zone, else 0.
 
     With exclude_gap, windows that overlap [onset - horizon, onset) are -1 too, instead of 0.
@@ -41,9 +49,11 @@ def label_windows(windows: DataFrame, events: DataFrame, recordings: DataFrame,
     zones = exclusion_zones(events, recordings, after).withColumn("kind", F.lit("x")).unionByName(lead_zones(events, lead, horizon).withColumn("kind", F.lit("l")))
     if exclude_gap:
         zones = zones.unionByName(events.select(*KEYS, F.greatest(F.col("onset") - horizon, F.lit(0)).alias("z_start"), F.col("onset").alias("z_end"), F.lit("x").alias("kind")))
-    on = [windows[k] == zones[k] for k in KEYS] + [windows["start_sec"] < zones["z_end"], windows["end_sec"] > zones["z_start"]]
-    inside = (zones["kind"] == "l") & (windows["start_sec"] >= zones["z_start"]) & (windows["end_sec"] <= zones["z_end"])
-    hits = windows.join(zones, on).groupBy(*[windows[k] for k in KEYS], windows["win_idx"]).agg(F.max((F.col("kind") == "x").cast("int")).alias("_x"), F.max(inside.cast("int")).alias("_in"))
+    w = windows.select(*KEYS, "win_idx", "start_sec", "end_sec", F.explode(buckets(F.col("start_sec"), F.col("end_sec"), bucket)).alias("_b")).alias("w")
+    z = zones.select("*", F.explode(buckets(F.col("z_start"), F.col("z_end"), bucket)).alias("_b")).alias("z")
+    on = [F.col(f"w.{k}") == F.col(f"z.{k}") for k in (*KEYS, "_b")] + [F.col("start_sec") < F.col("z_end"), F.col("end_sec") > F.col("z_start")]
+    inside = (F.col("kind") == "l") & (F.col("start_sec") >= F.col("z_start")) & (F.col("end_sec") <= F.col("z_end"))
+    hits = w.join(z, on).groupBy(*[F.col(f"w.{k}") for k in KEYS], "win_idx").agg(F.max((F.col("kind") == "x").cast("int")).alias("_x"), F.max(inside.cast("int")).alias("_in"))
     out = windows.join(hits, [*KEYS, "win_idx"], "left")
     return out.withColumn("label", F.when(F.col("_x").isNull(), 0).when((F.col("_x") == 0) & (F.col("_in") == 1), 1).otherwise(-1)).drop("_x", "_in")
 
@@ -68,7 +78,7 @@ def usable_subjects(df: DataFrame, by: list[str], least: int = 1, label: str = "
     return df.join(good.select(*by), by, "left_semi")
 
 
-def clean_recordings(recordings: DataFrame, events: DataFrame, before: int, after: int) -> DataFrame:
+def clean_recordings(recordings: DataFrame, events: DataFrame, before: int, after: int, bucket: int = BUCKET) -> DataFrame:
     """Every recording with `reason` (null: clean) and `gap_hours` to the event that excludes it, the first by onset.
 
     A recording is clean without an event in it, and before seconds or more before each onset of its subject and
@@ -77,19 +87,27 @@ def clean_recordings(recordings: DataFrame, events: DataFrame, before: int, afte
     r, e = recordings.alias("r"), events.alias("e")
     own = F.col("r.recording_id") == F.col("e.recording_id")
     to_next, to_last = F.col("e.abs_onset") - F.col("r.abs_end"), F.col("r.abs_start") - F.col("e.abs_offset")
-    near = own | ((F.col("e.abs_onset") >= F.col("r.abs_end")) & (to_next < before)) | ((F.col("e.abs_onset") < F.col("r.abs_end")) & (to_last < after))
+    near = ((F.col("e.abs_onset") >= F.col("r.abs_end")) & (to_next < before)) | ((F.col("e.abs_onset") < F.col("r.abs_end")) & (to_last < after))
     reason = F.when(own, "has_event").when(F.col("e.abs_onset") >= F.col("r.abs_end"), "before_event").otherwise("after_event")
     gap = F.when(own, F.lit(0)).when(F.col("e.abs_onset") >= F.col("r.abs_end"), to_next).otherwise(to_last) / 3600.0
-    hits = r.join(e, (F.col("r.subject_id") == F.col("e.subject_id")) & near).select("r.subject_id", "r.recording_id", F.struct((~own).alias("far"), F.col("e.abs_onset").alias("o"), F.col("e.event_idx").alias("k"), reason.alias("reason"), gap.alias("gap")).alias("h"))
+    hit = ["r.subject_id", "r.recording_id", F.struct((~own).alias("far"), F.col("e.abs_onset").alias("o"), F.col("e.event_idx").alias("k"), reason.alias("reason"), gap.alias("gap")).alias("h")]
+    within = r.join(e, (F.col("r.subject_id") == F.col("e.subject_id")) & own).select(*hit)
+    reach = recordings.withColumn("_b", F.explode(buckets(F.col("abs_start") - after, F.col("abs_end") + before, bucket))).alias("r")
+    at = events.withColumn("_b", F.explode(buckets(F.col("abs_onset"), F.col("abs_offset"), bucket))).alias("e")
+    around = reach.join(at, (F.col("r.subject_id") == F.col("e.subject_id")) & (F.col("r._b") == F.col("e._b")) & near).select(*hit)
+    hits = within.unionByName(around)
     first = hits.groupBy(*KEYS).agg(F.min("h").alias("h"))
     return recordings.join(first, KEYS, "left").select(*[recordings[c] for c in recordings.columns], F.col("h.reason").alias("reason"), F.col("h.gap").alias("gap_hours"))
 
 
-def far_from_events(windows: DataFrame, events: DataFrame, buffer: int) -> DataFrame:
+def far_from_events(windows: DataFrame, events: DataFrame, buffer: int, bucket: int = BUCKET) -> DataFrame:
     """Positive windows, and others at least `buffer` seconds from every event of their subject; windows without a clock (abs_start null) stay."""
-    w, e = windows.alias("w"), events.select(F.col("subject_id").alias("_s"), "abs_onset", "abs_offset").alias("e")
-    near = (F.col("w.subject_id") == F.col("e._s")) & (F.col("w.abs_start") < F.col("e.abs_offset") + buffer) & (F.col("w.abs_end") > F.col("e.abs_onset") - buffer) & (F.col("w.label") != 1)
-    return w.join(e, near, "left_anti")
+    w = windows.where(F.col("label") != 1).select("subject_id", "abs_start", "abs_end", F.explode(buckets(F.col("abs_start"), F.col("abs_end"), bucket)).alias("_b"))
+    e = events.select(F.col("subject_id").alias("_s"), "abs_onset", "abs_offset", F.explode(buckets(F.col("abs_onset") - buffer, F.col("abs_offset") + buffer, bucket)).alias("_e"))
+    met = (F.col("subject_id") == F.col("_s")) & (F.col("_b") == F.col("_e")) & (F.col("abs_start") < F.col("abs_offset") + buffer) & (F.col("abs_end") > F.col("abs_onset") - buffer)
+    near = w.join(e, met, "left_semi").select(*[F.col(c).alias(f"_{c}") for c in ("subject_id", "abs_start", "abs_end")]).distinct()
+    same = [F.col(c) == F.col(f"_{c}") for c in ("subject_id", "abs_start", "abs_end")]
+    return windows.join(near, [*same, F.col("label") != 1], "left_anti")
 
 
 def lead_only(blocked: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:
