@@ -91,7 +91,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 def read_back(chats: DataFrame) -> DataFrame:
     """chats with `turns`, read from the formatted string alone: (role, text, raw_start) of each turn.
 
-    raw_start is where the escaped text begins in its turn. Placeholders stay in the text as they are.
+    raw_start is where the escaped text begins in its turn. Placeholders stay in the text as they are. A null or empty string
+    has no turns; rows and other columns stay as they are, repeated rows too, and an empty table stays empty.
     """
     pieces = F.filter(F.split("formatted", r"\n</turn>\n"), lambda s: s != "")
     width = lambda s: F.regexp_extract(s, r"^<turn ([0-9]+)>", 1)
@@ -120,7 +121,11 @@ def read_parts(raw: Column) -> Column:
 
 
 def digests(chats: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the formatted string."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the formatted string.
+
+    One row per row of chats, with a null conv_id as well; a conversation without turns that learn has loss_chars 0 and the
+    digest of the empty text. An empty table gives an empty result.
+    """
     chats = read_back(chats)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     # the mask's spans cut the raw text of their turn; their lengths are taken from the spans

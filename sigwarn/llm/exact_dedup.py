@@ -13,7 +13,10 @@ LEAST, MOST = 768, 4096
 
 
 def chunks(text: Column, least: int = LEAST, most: int = MOST) -> Column:
-    """The chunks of a text in order; together they are the text. An empty text has none."""
+    """The chunks of a text in order; together they are the text. An empty text has none, a null one null.
+
+    A text without white space after a vowel or stop is cut every `most` characters.
+    """
     rule = rf"(?s).{{{least},{most}}}?(?<=[aeiou.]\s)|.{{1,{most}}}"
     return F.regexp_extract_all(text, F.lit(rule), F.lit(0))
 

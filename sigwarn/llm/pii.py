@@ -375,7 +375,8 @@ def redacted(text: str, model: Model) -> str:
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = None, model: Model | None = None) -> DataFrame:
     """docs with the personal data in text_col replaced by its kind, and chars_col, if named, set to the new length.
 
-    Null texts stay null and keep their chars_col.
+    Null texts stay null and keep their chars_col, empty ones stay empty. Repeated rows are cleaned each. An empty table
+    gives an empty result, by a classifier that learnt from no candidate; columns may have any names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col) if model is None else model)
 

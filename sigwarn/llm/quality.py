@@ -141,7 +141,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the classifier accepts, with the columns of docs; scores are computed beside each row."""
+    """The rows of docs that the classifier accepts, with the columns of docs, whatever their names; scores are computed beside each row.
+
+    Null texts count as empty, and score the bias alone. Repeated rows are judged each; a null id stays and gives no
+    label. An empty table gives an empty result; without labels every text scores one half and stays.
+    """
     model = fit(docs, labels, id_col, text_col)
     value, bias = docs.sparkSession.sparkContext.broadcast(model[0]), model[1]
 

@@ -270,3 +270,31 @@ def test_bounds_are_lengths_of_documents_at_any_length(spark):
     cost = lambda cut: sum(min(b for b in cut if b >= n) - n for n in sizes)
     best = min(cost((a, b, c, 40_003)) for a in sizes for b in sizes for c in sizes)
     assert sum(r["padding"] for r in got) == best and all(r["padding"] == r["bound"] - r["n_tokens"] for r in got)
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([], schema)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns), name
+
+
+def test_chats_with_odd_rows_and_other_columns(spark):
+    long = "many words < and \\ signs " * 20_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", "yes"), (1, 1, "assistant", "yes"), (None, 0, "assistant", "no id"), (None, None, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumns({c: F.lit(1) for c in ("c", "t", "i", "k", "found", "head", "body", "at", "span", "p", "n_turns")})
+    out = chat.digests(chat.format_chats(turns.withColumn("parts", chat.text_part(F.col("text")))))
+    said = {1: [rows[0], rows[1], rows[2]], None: [rows[4], rows[3]]}
+    want = {k: (len(v), hashlib.sha256("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in v).encode()).hexdigest()) for k, v in said.items()}
+    assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"]) for r in out.collect()} == want
+    assert chat.digests(chat.format_chats(turns.limit(0).withColumn("parts", chat.text_part(F.col("text"))))).count() == 0
+
+
+def test_vectors_beside_other_columns(spark):
+    rows = [(k, [float(k % 5), float(k % 3)]) for k in range(45)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    other = df.withColumns({c: F.lit("x") for c in ("query_id", "rank", "score", "block", "q", "x", "id", "v")})
+    key = lambda d: sorted(tuple(r) for r in topk.exact_top_k(d).collect())
+    assert key(other) == key(df) and len(key(df)) == 60
