@@ -7,14 +7,14 @@ with the rows; every fit and every scoring is a distributed job.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import partial
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import PCA, StandardScaler
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from sigwarn.functions import sigmoid
+from sigwarn.functions import hash_order, sigmoid
 from sigwarn.operators.metrics import auc_ap
 from sigwarn.sources.results import fresh_path, stored
 
@@ -46,9 +46,62 @@ def boosted() -> Estimator:
     return GBTClassifier(weightCol="weight", maxIter=5, maxDepth=3, seed=7, **COLUMNS)
 
 
-def margin() -> Estimator:
-    """Linear margin; on random_features() it stands in for a margin with a Gaussian kernel."""
-    return LinearSVC(weightCol="weight", maxIter=15, regParam=0.01, **COLUMNS)
+def margin(regularised: float = 0.01, rounds: int = 15) -> Estimator:
+    """Linear margin."""
+    return LinearSVC(weightCol="weight", maxIter=rounds, regParam=regularised, **COLUMNS)
+
+
+def kernel_map(landmarks: np.ndarray, gamma: float, least: float = 1e-10) -> np.ndarray:
+    """The matrix that takes kernel values with the landmarks to features whose inner products are the kernel between landmarks."""
+    values, vectors_ = np.linalg.eigh(gaussian(landmarks, landmarks, gamma))
+    kept = values > least * values[-1]
+    return vectors_[:, kept] / np.sqrt(values[kept])
+
+
+def gaussian(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
+    return np.exp(-gamma * np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
+
+
+class Landmarks(Estimator):
+    """Features of a Gaussian kernel from at most `size` training rows, drawn by hash: exact with all rows, else the best that they span.
+
+    What comes to the driver and goes to the executors is `size` rows and a size x size matrix. gamma None: 1 over the
+    number of features times their variance.
+    """
+
+    def __init__(self, size: int = 256, gamma: float | None = None, inputCol: str = "scaled", outputCol: str = "mapped", seed: str = "landmarks") -> None:
+        super().__init__()
+        self.size, self.gamma, self.columns, self.seed = size, gamma, (inputCol, outputCol), seed
+
+    def _fit(self, dataset: DataFrame) -> LandmarkModel:
+        drawn = dataset.orderBy(hash_order(self.seed, F.col("subject_id"), F.col("seq")), "subject_id", "seq").limit(self.size)
+        at = np.array([r[0] for r in drawn.select(vector_to_array(self.columns[0])).collect()])
+        gamma = self.gamma if self.gamma is not None else 1 / max(at.shape[1] * at.var(), 1e-12)
+        return LandmarkModel(at, gamma, self.columns)
+
+
+class LandmarkModel(Model):
+    """Adds the kernel features of Landmarks."""
+
+    def __init__(self, landmarks: np.ndarray, gamma: float, columns: tuple[str, str]) -> None:
+        super().__init__()
+        self.landmarks, self.gamma, self.columns = landmarks, gamma, columns
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        landmarks, gamma, to = self.landmarks, self.gamma, kernel_map(self.landmarks, self.gamma)
+
+        @F.pandas_udf("array<double>")
+        def mapped(column: pd.Series) -> pd.Series:
+            x = np.stack(column.to_list()) if len(column) else np.zeros((0, landmarks.shape[1]))
+            return pd.Series(list(gaussian(x, landmarks, gamma) @ to))
+
+        return dataset.withColumn(self.columns[1], array_to_vector(mapped(vector_to_array(self.columns[0]))))
+
+
+def kernel_margin(size: int = 256, gamma: float | None = None, regularised: float = 0.01, rounds: int = 30, offset: bool = True) -> Estimator:
+    """Margin with a Gaussian kernel, on the features that landmarks span."""
+    plain = LinearSVC(weightCol="weight", maxIter=rounds, regParam=regularised, standardization=False, fitIntercept=offset, featuresCol="mapped", labelCol="label")
+    return Pipeline(stages=[Landmarks(size, gamma), plain])
 
 
 def dense(width: int) -> Estimator:
@@ -118,21 +171,6 @@ def leave_one_out(df: DataFrame, estimator: Estimator) -> DataFrame:
     return _gathered(df, [partial(lambda s: fit_and_score(other(s), own(s), estimator), s) for s in subjects_of(rows)])
 
 
-def random_features(df: DataFrame, size: int, width: int, gamma: float, seed: int = 7) -> DataFrame:
-    """df with `features` replaced by `size` random cosines whose inner products approach exp(-gamma * distance ** 2)."""
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, np.sqrt(2 * gamma), (width, size)), rng.uniform(0, 2 * np.pi, size)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            z = np.sqrt(2 / size) * np.cos(x @ w + b)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * size, pa.int32()), pa.array(z.ravel()))
-            yield batch.set_column(batch.schema.get_field_index("features"), pa.field("features", flat.type), flat)
-
-    return df.mapInArrow(run, df.schema)
-
-
 class AveragePrecision(Evaluator):
     """Exact average precision of all rows; 0 where a class is missing."""
 

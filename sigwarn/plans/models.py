@@ -34,21 +34,21 @@ def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("subject_id", "seq", "label", F.col("a").alias("features"))
 
 
-def _left_out(name: str, doc: str, estimator: Callable[[], Estimator], view: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+def _left_out(name: str, doc: str, estimator: Callable[[], Estimator]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return d.leave_one_out(view(featured(spark, sf_dir)), estimator())
+        return d.leave_one_out(featured(spark, sf_dir), estimator())
 
     run.__name__, run.__doc__ = name, doc
     query()(run)
 
 
-for _name, _doc, _estimator, *_view in (
+for _name, _doc, _estimator in (
     ("j3_forest", "Random forest.", d.forest),
     ("j4_boosted_trees", "Boosted trees.", d.boosted),
-    ("j5_kernel_margin", "Margin on random cosines.", d.margin, lambda df: d.random_features(df, 128, WIDTH, 1 / WIDTH)),
+    ("j5_kernel_margin", "Margin with a Gaussian kernel on features of landmarks.", d.kernel_margin),
     ("j6_dense_network", "Dense network.", lambda: d.dense(WIDTH)),
 ):
-    _left_out(_name, _doc, _estimator, *_view)
+    _left_out(_name, _doc, _estimator)
 
 
 @query(f"""WITH {CELLS}, s AS (SELECT DISTINCT subject_id AS fold FROM cells) SELECT fold, (i * 8 + j)::INTEGER AS feature, round(avg(a), 6) AS mean, round(stddev_pop(a), 6) AS std
