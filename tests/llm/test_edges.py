@@ -298,3 +298,28 @@ def test_vectors_beside_other_columns(spark):
     other = df.withColumns({c: F.lit("x") for c in ("query_id", "rank", "score", "block", "q", "x", "id", "v")})
     key = lambda d: sorted(tuple(r) for r in topk.exact_top_k(d).collect())
     assert key(other) == key(df) and len(key(df)) == 60
+
+
+@pytest.mark.parametrize(("groups", "spread", "same"), [(6, 0.05, 0), (1, 1.0, 0), (4, 0.05, 150)])
+def test_top_k_over_many_blocks(spark, groups, spread, same):
+    """Many small blocks against brute force; where vectors are in groups, a query meets its own group's blocks only."""
+    rng = np.random.default_rng(groups)
+    centres = rng.normal(size=(groups, 24)) * 4
+    x = centres[np.arange(400) % groups] + spread * rng.normal(size=(400, 24))
+    x[: same] = x[0]
+    whole = np.floor(64 * x).astype(np.int64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.exact_top_k(df, query_every=10, k=5, row_block=40, query_block=16).collect())
+    want = []
+    for q in range(0, 400, 10):
+        scores = whole @ whole[q]
+        best = sorted((i for i in range(400) if i != q), key=lambda i: (-scores[i], i))[:5]
+        want += [(q, k + 1, i, int(scores[i])) for k, i in enumerate(best)]
+    assert got == sorted(want)
+    placed, found = topk.place_rows(df, "vec_id", "embedding", 64, 40)
+    queries = placed.where("id % 10 = 0").withColumn("floor", F.lit(None).cast("long"))
+    everything = topk.open_blocks(queries, found).count()
+    floors = spark.createDataFrame([(w[0], w[3]) for w in want if w[1] == 5], "id long, floor long")
+    sent = topk.open_blocks(queries.drop("floor").join(floors, "id"), found).count()
+    assert everything == 40 * (int(found["count"].sum()) - 1)
+    assert sent < everything / 2 if groups > 1 else sent == everything
