@@ -40,16 +40,30 @@ def signal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("path", F.when(F.col("recording_id") % 9 == 4, F.substring(content, 1, 300)).otherwise(content).alias("content"))
 
 
-@query(f"""WITH e AS (SELECT user_id % {SUBJECTS} AS subject_id, epoch_us(ts) // 86400000000 AS recording_id, event_type, round(value * 10) AS d, row_number() OVER (PARTITION BY user_id % {SUBJECTS}, epoch_us(ts) // 86400000000, event_type ORDER BY epoch_us(ts), event_id) - 1 AS i FROM events),
+DECODED = f"""WITH e AS (SELECT user_id % {SUBJECTS} AS subject_id, epoch_us(ts) // 86400000000 AS recording_id, event_type, round(value * 10) AS d, row_number() OVER (PARTITION BY user_id % {SUBJECTS}, epoch_us(ts) // 86400000000, event_type ORDER BY epoch_us(ts), event_id) - 1 AS i FROM events),
 s AS (SELECT subject_id, recording_id, event_type, max(i) + 1 AS n, sum(d) AS d, sum(d * (i % 7)) AS wd FROM e GROUP BY ALL), m AS (SELECT subject_id, recording_id, ((max(n) + {RATE - 1}) // {RATE}) * {RATE} AS n FROM s GROUP BY ALL)
-SELECT s.subject_id || '/' || s.recording_id AS recording, event_type AS channel, m.n::BIGINT AS samples, {RATE}.0::DOUBLE AS fs, round(d / 10, 1) AS sum_uv, round(wd / 10, 1) AS weighted_uv FROM s JOIN m USING (subject_id, recording_id) WHERE recording_id % 9 <> 4""")
-def a1_decoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = rec.decode(signal_files(spark, sf_dir)).where("error is null")
-    x = chunks.select(F.regexp_extract("path", r"made/(.*)\.edf", 1).alias("recording"), F.get("names", F.col("place")).alias("channel"), "fs", "start_sample", F.posexplode("samples").alias("k", "v"))
+SELECT s.subject_id || '/' || s.recording_id AS recording, event_type AS channel, m.n::BIGINT AS samples, {RATE}.0::DOUBLE AS fs, round(d / 10, 1) AS sum_uv, round(wd / 10, 1) AS weighted_uv FROM s JOIN m USING (subject_id, recording_id) WHERE recording_id % 9 <> 4"""
+
+
+def decoded_sums(chunks: DataFrame) -> DataFrame:
+    x = chunks.where("error is null").select(F.regexp_extract("path", r"made/(.*)\.edf", 1).alias("recording"), F.get("names", F.col("place")).alias("channel"), "fs", "start_sample", F.posexplode("samples").alias("k", "v"))
     g = x.groupBy("recording", "channel", "fs").agg(F.count(F.lit(1)).alias("samples"), F.sum(F.col("v").cast("double") * 1e6).alias("s"), F.sum(F.col("v").cast("double") * 1e6 * ((F.col("start_sample") + F.col("k")) % 7)).alias("t"))
     return g.select("recording", "channel", "samples", "fs", (F.round("s", 1) + 0.0).alias("sum_uv"), (F.round("t", 1) + 0.0).alias("weighted_uv"))
 
 
+@query(DECODED)
+def a1_decoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decoded_sums(rec.decode(signal_files(spark, sf_dir)))
+
+
+@query(DECODED)
+def a1_file_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files, written to a folder and read back by ranges of records."""
+    folder = fresh_path(spark, "signals")
+    rec.write_files(signal_files(spark, sf_dir), folder)
+    return decoded_sums(rec.read_ranges(spark, folder))
+
+
 def raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(subject_id, recording_id, place, name): the channels of a recording under other spellings; some twice, some missing."""
     t = F.array(*[F.lit(c) for c in rec.CHANNELS])

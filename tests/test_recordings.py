@@ -64,6 +64,25 @@ def test_signal_files(spark, tmp_path):
     assert rec.decode(files).where("path like '%cut.edf'").selectExpr("sum(size(samples)) n").first()["n"] == 32
 
 
+@pytest.mark.parametrize("task_bytes", [1 << 20, 500, 33])
+def test_ranges_of_a_file_give_the_chunks_of_the_whole(spark, tmp_path, task_bytes):
+    rng = np.random.default_rng(task_bytes)
+    files = {"one/a.edf": rec.encode(["A", "B"], [rng.integers(-9000, 9000, n) for n in (205, 190)], 4), "two/b.edf": rec.encode(["A"], [np.arange(3)], 8), "cut.edf": rec.encode(["A", "B"], [np.arange(40)] * 2, 4)[:-5], "bad.edf": b"no file " * 200, "short.edf": b"x", "none.edf": b"", "odd.edf": b"0".ljust(252) + b"many" + b"0" * 90}
+    given = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "path string, content binary")
+    assert rec.write_files(given, str(tmp_path)) == len(files)
+    assert {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()} == set(files)
+    found = rec.read_ranges(spark, str(tmp_path), chunk=16, task_bytes=task_bytes)
+    rows = lambda df, cut: sorted((r["path"][cut:], r["place"] or 0, r["start_sample"] or 0, r["fs"], r["samples"], r["names"], r["error"] is None) for r in df.collect())
+    assert rows(found, len(str(tmp_path)) + 1) == rows(rec.decode(given, 16), 0)
+    assert task_bytes > 1000 or found.rdd.getNumPartitions() > len(files)
+    kept, refused = rec.complete(found, 4, ("A", "B"))
+    assert kept.select("path").distinct().count() == 2 and refused.count() == 5
+
+
+def test_a_folder_without_signal_files(spark, tmp_path):
+    assert rec.read_ranges(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize(("raw", "want"), [([" fp1 - f7", "T8-P8-0", "T8-P8-1"], [0, 1]), (["T8-P8", "FP1-F7", "T8-P8-0"], [1, 0]), (["FP1-F7", "fp1 -f7", "T8- P8"], [1, 2]), (["T8-P8-1", "FP1-F7"], [1, None]), ([None, "T8-P8"], [None, 1])])
 def test_channel_names(spark, raw, want):
     df = spark.createDataFrame([(1, k, n) for k, n in enumerate(raw)], "r int, place int, name string")
