@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from sigwarn.llm.store import id_of_any_name
 
-#: Distinct pre-tokens whose ids a task keeps; when full it starts anew.
-CACHED = 200_000
+#: Bytes of pre-tokens and their ids that a task keeps, about, beside those of one text; when full it starts anew.
+CACHED_BYTES = 64 << 20
+#: Bytes of an entry besides its characters and ids, about.
+ENTRY_BYTES = 200
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -80,6 +82,7 @@ class Codec:
         self.whole = {t: struct.pack("<I", k) for k, t in enumerate(tokens)}
         self.map = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
@@ -87,9 +90,9 @@ class Codec:
             cache = self.cache
             missing = [p for p in set(parts) if p not in cache]
             if missing:
-                if len(cache) + len(missing) > CACHED:
-                    cache = self.cache = {}
-                    missing = list(set(parts))
+                if self.held > CACHED_BYTES:
+                    cache, self.held = {}, 0
+                    self.cache, missing = cache, list(set(parts))
                 self._learn(missing)
             yield b"".join(map(cache.__getitem__, parts))
 
@@ -103,6 +106,7 @@ class Codec:
                 split.append((p, raw.decode("latin-1").translate(self.map)))
         for (p, _), ids in zip(split, self.model.encode([m for _, m in split], num_threads=1) if split else [], strict=True):
             self.cache[p] = np.asarray(ids, dtype="<u4").tobytes()
+        self.held += sum(4 * len(p) + len(self.cache[p]) + ENTRY_BYTES for p in parts)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -323,3 +323,15 @@ def test_top_k_over_many_blocks(spark, groups, spread, same):
     sent = topk.open_blocks(queries.drop("floor").join(floors, "id"), found).count()
     assert everything == 40 * (int(found["count"].sum()) - 1)
     assert sent < everything / 2 if groups > 1 else sent == everything
+
+
+def test_kept_ids_are_bounded_by_bytes(monkeypatch):
+    """Long pre-tokens count by their length: the kept ids start anew, and all ids stay right."""
+    import public_tokenizers
+
+    monkeypatch.setattr(bpe, "CACHED_BYTES", 20_000)
+    codec = bpe.Codec(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    texts = [f"{chr(97 + k) * 3000} word{k} again" for k in range(20)] * 2
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert codec.decode(ids).decode() == text
+        assert codec.held <= 20_000 + 6 * 5 * 3000 and sum(map(len, codec.cache)) < 20_000
