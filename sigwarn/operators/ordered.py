@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigwarn.operators.prefix import CHUNK_ROWS, framed, join_null_safe, numbered, scanned
+from sigwarn.sources.results import stored
 
 
 def placed(df: DataFrame, by: list[str], order: str, place: str | None) -> tuple[DataFrame, str, list[str]]:
@@ -168,19 +169,17 @@ def expanding_folds(df: DataFrame, by: list[str], shares: tuple[float, ...] = (0
     return rows.withColumn("fold", F.col("_f.fold")).withColumn("part", part).where("part is not null").drop("_n", "_rows", "_f")
 
 
-def leave_one_event_out(blocked: DataFrame, by: list[str], order: str = "seq", label: str = "label", least_train: int = 50, least_test: int = 30) -> DataFrame:
+def leave_one_event_out(blocked: DataFrame, by: list[str], order: str = "seq", label: str = "label", least_train: int = 50, least_test: int = 30, place: str | None = None) -> DataFrame:
     """(by, fold, train and test rows and positives): fold k tests on the rows after block k-1's end up to block k's end.
 
-    Series with one block, and folds that are too small or lack a class on either side, are left out. Sizes of the
-    parts come from prefix counts, so no row is copied to the folds.
+    Series with one block, and folds that are too small or lack a class on either side, are left out. A row's fold is the
+    block that it lies in or that comes next, from one scan of the series, so rows meet no list of blocks.
     """
-    series = blocked.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum(label).alias("positives"))
-    ends = blocked.where("block is not null").groupBy(*by, "block").agg(F.max(order).alias("last"))
-    w = Window.partitionBy(*by).orderBy("block")
-    ends = ends.withColumn("after", F.lag("last").over(w)).withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    counts = join_null_safe(blocked, ends.select(*by, F.col("block").alias("_b"), "last", "after"), by).where(F.col(order) <= F.col("last")).where(F.coalesce(F.col(order) > F.col("after"), F.lit(True)))
-    tests = counts.groupBy(*by, F.col("_b").alias("fold")).agg(F.count(F.lit(1)).alias("test_rows"), F.sum(label).alias("test_positives"))
-    out = join_null_safe(join_null_safe(tests, series, by), ends.groupBy(*by).agg(F.max("blocks").alias("blocks")), by).where("blocks >= 2")
+    df, n, _ = placed(blocked, by, order, place)
+    rows = scanned(df.select(*dict.fromkeys([*by, n, label, "block"])), by, n, following={"fold": F.col("block")})
+    parts = stored(rows.groupBy(*by, "fold").agg(F.count(F.lit(1)).alias("test_rows"), F.sum(label).alias("test_positives")), "parts")
+    series = parts.groupBy(*by).agg(F.sum("test_rows").alias("rows"), F.sum("test_positives").alias("positives"), F.count("fold").alias("blocks"))
+    out = join_null_safe(parts.where("fold is not null"), series, by).where("blocks >= 2")
     out = out.withColumn("train_rows", F.col("rows") - F.col("test_rows")).withColumn("train_positives", F.col("positives") - F.col("test_positives"))
     fits = f"train_rows >= {least_train} and test_rows >= {least_test} and train_positives between 1 and train_rows - 1 and test_positives between 1 and test_rows - 1"
     return out.where(fits).select(*by, "fold", "train_rows", "train_positives", "test_rows", "test_positives")

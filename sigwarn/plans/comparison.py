@@ -66,7 +66,7 @@ def d19_event_fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BLOCKS}, s AS (SELECT subject_id, count(*) AS rows, sum(label)::BIGINT AS positives, max(block) AS blocks FROM ab GROUP BY 1), e AS (SELECT subject_id, block, max(seq) AS last FROM ab WHERE block IS NOT NULL GROUP BY ALL), b AS (SELECT *, lag(last) OVER (PARTITION BY subject_id ORDER BY block) AS after FROM e), t AS (SELECT b.subject_id, b.block AS fold, count(*) AS test_rows, sum(label)::BIGINT AS test_positives FROM b JOIN ab ON ab.subject_id = b.subject_id AND ab.seq <= b.last AND ab.seq > coalesce(b.after, -1) GROUP BY ALL) SELECT subject_id, fold, rows - test_rows AS train_rows, positives - test_positives AS train_positives, test_rows, test_positives FROM t JOIN s USING (subject_id) WHERE blocks >= 2 AND rows - test_rows >= 10 AND test_rows >= 2 AND positives - test_positives BETWEEN 1 AND rows - test_rows - 1 AND test_positives BETWEEN 1 AND test_rows - 1")
 def e14_leave_one_event_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o.leave_one_event_out(blocked(spark, sf_dir), ["subject_id"], least_train=10, least_test=2)
+    return o.leave_one_event_out(blocked(spark, sf_dir), ["subject_id"], least_train=10, least_test=2, place="seq")
 
 
 @query(f"WITH {LEVEL}, n AS (SELECT *, seq + 1 <= floor(round(count(*) OVER (PARTITION BY subject_id) * 0.6::DOUBLE, 9)) AS early FROM lv), t AS (SELECT subject_id, count(*) FILTER (early) AS own, count(*) FILTER (NOT early) AS test_rows FROM n GROUP BY 1), g AS (SELECT subject_id, own, test_rows, (SELECT count(*) FROM lv) - own - test_rows AS others FROM t) SELECT subject_id, v.variant, CASE v.variant WHEN 'cross' THEN others WHEN 'calibrated' THEN others + own ELSE own END::BIGINT AS train_rows, test_rows FROM g, (VALUES ('cross'), ('calibrated'), ('within')) AS v(variant)")

@@ -78,6 +78,18 @@ def test_leave_one_event_out_needs_two_blocks(spark):
     assert [(r["fold"], r["test_rows"], r["test_positives"], r["train_rows"]) for r in got] == [(1, 200, 10, 200), (2, 200, 10, 200)]
 
 
+def test_leave_one_event_out_meets_no_list_of_blocks(spark):
+    labels = [int(x) for x in random.Random(4).choices("001", k=300)]
+    df = o.blocks(rows(spark, [0.1] * 300, labels), ["subject_id"])
+    got = o.leave_one_event_out(df, ["subject_id"], least_train=1, least_test=1)
+    ends = [i for i in range(300) if labels[i] and not (i + 1 < 300 and labels[i + 1])]
+    want = [(k + 1, end - begin, sum(labels[begin + 1 : end + 1])) for k, (begin, end) in enumerate(zip([-1, *ends], ends, strict=False))]
+    want = [(k, n, p, 300 - n, sum(labels) - p) for k, n, p in want if 0 < p < n]
+    assert sorted(tuple(r[c] for c in ("fold", "test_rows", "test_positives", "train_rows", "train_positives")) for r in got.collect()) == want
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert not any("seq#" in x for x in joins)  # no row is compared with the blocks' ends
+
+
 def test_auc_and_ap_count_ties(spark):
     df = rows(spark, [0.9, 0.5, 0.5, 0.1], [1, 1, 0, 0])
     r = m.auc_ap(df, ["subject_id"]).first()
