@@ -21,6 +21,19 @@ def test_permutations_are_even():
     assert abs(neighbours - 101 / 3) < 1
 
 
+def test_labels_move_as_places_do_without_places_being_sorted(monkeypatch):
+    rng = np.random.default_rng(3)
+    k, (a, b, c) = np.arange(1, 70_001, dtype=object), p.multipliers("s", 5)
+    x = (k * (a + 1) + b) % p.PRIME
+    y = (x * x + c) % p.PRIME
+    assert (p.numbers(70_000, "s", 5) == ((y * y + x) % p.PRIME).astype(np.int64)).all()
+    whole = p.numbers
+    for n, numbers in ((70_000, whole), (900, lambda n, seed, rep: whole(n, seed, rep) % np.uint32(200))):  # the second has many ties
+        monkeypatch.setattr(p, "numbers", numbers)
+        label = (rng.random(n) < 0.3).astype(np.uint8)
+        assert all((p.moved(label, "s", rep) == np.flatnonzero(label[p.shuffled(n, "s", rep)])).all() for rep in range(1, 20))
+
+
 def test_areas_of_packed_ranks_are_exact(spark):
     df = spark.createDataFrame(rows(), "model string, subject_id int, seq int, label int, prob double").repartition(3)
     got = {r["subject_id"]: (r["auc"], r["ap"]) for r in p.null_areas(df, ["model", "subject_id"], 0).collect()}
