@@ -8,8 +8,9 @@ softmaxes sum hashed weights of n-gram features (previous token, previous two) a
 token), and start from the corpus's log shares. Features are hashed from the words themselves, whatever their rank; the
 nearest and the third last word count by shape too where they are in the tail.
 
-Training goes over all training documents in ROUNDS parts. In each, every partition follows the gradient on its own
-documents from the common weights; the changes are averaged, each weighted by how often its row was touched.
+Training goes over all training documents in ROUNDS parts. In each, every task follows the gradient on its own
+documents from the common weights; the changes are averaged, each weighted by how often its row was touched. Small
+partitions are read by one task together, as what a task hands on has the size of the weights.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ CLASS_ROWS, WORD_ROWS = 1 << 15, 1 << 16
 START = np.uint64(0x73746172742D6F66)
 #: Partial sums that are added up in one group.
 FAN_IN = 64
+#: A task of a round hands on all weights, so there are no more tasks than training tokens / TASK_TOKENS, but one a core.
+TASK_TOKENS = 1 << 22
 ROUNDS, STEP_TOKENS, RATE, SHRINK = 2, 1 << 14, 0.25, 20
 #: Weights of a row that take a step of the same size share so much of its squared gradient.
 SPREAD = 4
@@ -277,8 +280,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     for row in rest.groupBy("shape", at.alias("cell")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # a row per cell
         tail[row["shape"], row["cell"]], types[row["shape"], row["cell"]] = row["c"], row["v"]
     model = Model(cached, cached_counts, tail, types)
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(total) // TASK_TOKENS)
     for k in range(ROUNDS):
-        _round(texts.where(F.col("part") == k).select("text"), model)
+        _round(texts.where(F.col("part") == k).select("text").coalesce(tasks), model)
     return model, counts.select("h", "c"), int(total), int(distinct)
 
 

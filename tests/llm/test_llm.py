@@ -125,6 +125,13 @@ def test_quality_learns_from_texts(spark):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_small_partitions_train_together(spark, texts, monkeypatch):
+    seen, whole = [], maxent_lm._round
+    monkeypatch.setattr(maxent_lm, "_round", lambda rows, model: (seen.append(rows.rdd.getNumPartitions()), whole(rows, model)))
+    maxent_lm.fit(documents(spark, texts).repartition(37))
+    assert len(seen) == maxent_lm.ROUNDS and max(seen) <= spark.sparkContext.defaultParallelism
+
+
 def test_language_model_is_a_distribution_and_beats_counts(spark):
     rng = random.Random(2)
     texts = [" ".join(f"{w}{k % 2}" for k, w in enumerate(rng.choices(WORDS, k=60))) for _ in range(120)] + [None, "never seen"]
