@@ -59,12 +59,16 @@ def fire(at: np.ndarray, start: int, blocked: int, span: int) -> np.ndarray:
 
 def handed_over(at: np.ndarray, start: int, end: int, span: int) -> np.ndarray:
     """For each number 0..span of positions suppressed at start, how many are still suppressed at end."""
-    follow, left = _first_free(at, span), np.zeros(len(at) + 1, dtype=np.int64)
-    for i in range(len(at) - 1, -1, -1):
-        left[i] = left[follow[i]] if follow[i] < len(at) else max(0, at[i] + span + 1 - end)
-    blocked = np.arange(span + 1)
+    follow, blocked = _first_free(at, span), np.arange(span + 1)
     i = np.searchsorted(at, start + blocked)
-    return np.where(i < len(at), left[i], np.maximum(0, start + blocked - end))
+    last, chain = np.unique(i[i < len(at)], return_inverse=True)
+    following = follow[last]
+    while (goes := following < len(at)).any():  # all chains at once: as many steps as the refractory period fits in
+        last = np.where(goes, following, last)
+        following = follow[last]
+    left = np.maximum(0, start + blocked - end)
+    left[i < len(at)] = np.maximum(0, at[last] + span + 1 - end)[chain] if len(at) else 0
+    return left
 
 
 def alarms(df: DataFrame, by: list[str], threshold: Column | float = 0.5, k: int = 5, m: int = 12, refractory: int = 180, order: str = "seq", value: str = "prob", chunk: int = CHUNK_ROWS, place: str | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sigwarn.operators import metrics as m
@@ -55,6 +57,28 @@ def test_chunked_alarms_equal_the_sequential_rule(spark):
         assert got == plain(votes, span)
 
 
+def test_what_a_chunk_hands_over_by_plain_loops():
+    for seed in range(12):
+        rng = random.Random(seed)
+        at = np.array(sorted(rng.sample(range(100, 400), rng.choice([0, 1, 5, 90, 300]))), dtype=np.int64)
+        span, want = rng.choice([0, 1, 7, 60]), []
+        for blocked in range(span + 1):
+            free = 100 + blocked
+            for p in at:
+                free = p + span + 1 if p >= free else free
+            want.append(max(0, free - 400))
+        assert o.handed_over(at, 100, 400, span).tolist() == want
+
+
+def test_a_chunk_hands_over_in_steps_of_the_refractory_period(monkeypatch):
+    steps, whole = [], np.where
+    monkeypatch.setattr(o.np, "where", lambda *a: (steps.append(1), whole(*a))[1])
+    began = time.process_time()
+    for _ in range(20):
+        o.handed_over(np.arange(1 << 16), 0, 1 << 16, 180)
+    assert len(steps) <= 20 * ((1 << 16) // 181 + 1) and time.process_time() - began < 0.6
+
+
 def test_smoothing_pads_with_zeros(spark):
     x = [i * i for i in range(20)]
     got = [r["smoothed"] for r in o.smooth(rows(spark, x, [0] * 20), ["subject_id"]).orderBy("seq").collect()]
