@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sigwarn.functions import ratio
 from sigwarn.operators.ordered import fire, handed_over, placed
 from sigwarn.operators.prefix import CHUNK_ROWS, framed, join_null_safe
+from sigwarn.sources.results import stored
 
 
 def even_grid(first: float = 0.05, last: float = 0.95, points: int = 91) -> list[float]:
@@ -35,7 +36,7 @@ def alarm_counts(blocked: DataFrame, by: list[str], grid: list[float], k: int =
     levels = np.array(sorted(grid))
     rows, n, _ = placed(blocked.select(*dict.fromkeys([*by, order, value, label, "block", *([place] if place else [])])), by, order, place)
     rows = vote_level(rows, k, m, by, n, value).withColumn("_n", F.col(n).cast("long"))
-    candidates = rows.where(F.col("_q") >= float(levels[0])).select(*by, "_n", "_q", F.coalesce(F.col(label) == 1, F.lit(False)).alias("_y"), "block", F.floor(F.col("_n") / chunk).cast("long").alias("_chunk"))
+    candidates = stored(rows.where(F.col("_q") >= float(levels[0])).select(*by, "_n", "_q", F.coalesce(F.col(label) == 1, F.lit(False)).alias("_y"), "block", F.floor(F.col("_n") / chunk).cast("long").alias("_chunk")), "candidates")
     types = {f.name: f.dataType.simpleString() for f in blocked.schema.fields}
     keys = ", ".join(f"`{b}` {types[b]}" for b in by)
 
@@ -54,24 +55,26 @@ def alarm_counts(blocked: DataFrame, by: list[str], grid: list[float], k: int =
             state, last = np.asarray(over).reshape(len(levels), refractory + 1)[np.arange(len(levels)), state], c
         return frame[by].astype(object).assign(_chunk=frame["_chunk"], _blocked=entry)
 
-    def follow(frame: pd.DataFrame) -> pd.DataFrame:
+    def follow(frame: pd.DataFrame, entered: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_n")
         at, q, y, block = (frame[c].to_numpy() for c in ("_n", "_q", "_y", "block"))
-        start, blocked_at, out = int(frame["_chunk"].iloc[0]) * chunk, frame["_blocked"].iloc[0], []
+        start, blocked_at, out = int(frame["_chunk"].iloc[0]) * chunk, entered["_blocked"].iloc[0], []
+        first, last = (int(block[y].min()), int(block[y].max())) if y.any() else (None, None)  # only these can reach into other chunks, so other hits are handed on as a number
         for t, held in zip(levels, blocked_at, strict=True):
             own = np.flatnonzero(q >= t)
             own = own[fire(at[own], start, int(held), refractory)]
             if len(own):
-                hit, count = np.unique(block[own][y[own]], return_counts=True)
-                out += [(t, int(b), int(c), 0) for b, c in zip(hit, count, strict=True)] + [(t, None, 0, int((~y[own]).sum()))]
-        found = pd.DataFrame(out, columns=["threshold", "block", "tp", "fp"]).astype({"threshold": float, "block": "Int64", "tp": "int64", "fp": "int64"})
+                hit = np.unique(block[own][y[own]])
+                out += [(t, None, int(y[own].sum()), int((~y[own]).sum()), int(((hit != first) & (hit != last)).sum()))] + [(t, int(b), 0, 0, 0) for b in {first, last} & set(hit.tolist())]
+        found = pd.DataFrame(out, columns=["threshold", "block", "tp", "fp", "inside"]).astype({"threshold": float, "block": "Int64", "tp": "int64", "fp": "int64", "inside": "int64"})
         return pd.DataFrame({b: pd.Series([frame[b].iloc[0]] * len(found), dtype=object) for b in by} | {c: found[c] for c in found})
 
     over = candidates.groupBy(*by, "_chunk").applyInPandas(tables, f"{keys}, _chunk long, _over array<long>")
     entry = over.groupBy(*by).applyInPandas(compose, f"{keys}, _chunk long, _blocked array<long>")
-    fired = join_null_safe(candidates, entry, [*by, "_chunk"]).groupBy(*by, "_chunk").applyInPandas(follow, f"{keys}, threshold double, block long, tp long, fp long")
-    counts = fired.groupBy(*by, "threshold", "block").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
-    counts = counts.groupBy(*by, "threshold").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.count("block").alias("events_hit"))
+    # what a chunk is handed has a number per threshold: it comes beside the chunk's rows, not on each of them
+    fired = candidates.groupBy(*by, "_chunk").cogroup(entry.groupBy(*by, "_chunk")).applyInPandas(follow, f"{keys}, threshold double, block long, tp long, fp long, inside long")
+    counts = fired.groupBy(*by, "threshold", "block").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "inside")])
+    counts = counts.groupBy(*by, "threshold").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), (F.count("block") + F.sum("inside")).alias("events_hit"))
     whole = blocked.groupBy(*by).agg(F.sum((F.col(label) == 1).cast("long")).alias("_p"), F.sum((F.col(label) == 0).cast("long")).alias("_m"), F.coalesce(F.max("block"), F.lit(0)).alias("n_events"))
     every = whole.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in levels])))
     zero = F.lit(0).cast("long")

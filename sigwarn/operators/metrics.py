@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigwarn.functions import r6, ratio
+from sigwarn.operators.prefix import join_null_safe
+from sigwarn.sources.results import stored
 
 
 def confusion(df: DataFrame, by: list[str], flag: Column, label: str = "label") -> DataFrame:
@@ -23,11 +25,19 @@ def confusion(df: DataFrame, by: list[str], flag: Column, label: str = "label")
 
 
 def score_counts(df: DataFrame, by: list[str], label: str = "label", value: str = "prob") -> DataFrame:
-    """p and n (positives and negatives) at each distinct score, all_p and all_n of the group, tp and fp at or above the score."""
+    """p and n (positives and negatives) at each distinct score, all_p and all_n of the group, tp and fp at or above the score.
+
+    Scores are dealt out by ranges, each of which is totalled and starts from the totals above it, so a group is the work of many tasks.
+    """
     at = df.groupBy(*by, value).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("n"))
-    whole = Window.partitionBy(*by)
-    down = whole.orderBy(F.desc(value))
-    return at.withColumns({"all_p": F.sum("p").over(whole), "all_n": F.sum("n").over(whole), "tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
+    rows = stored(at.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()), "counts")
+    series, own = Window.partitionBy(*by), Window.partitionBy(*by, "_range").orderBy(F.desc(value))
+    above = series.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*by, "_range").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))  # a row per range that the group reaches into
+    whole = {"all_p": F.sum("_p").over(series), "all_n": F.sum("_n").over(series)}
+    handed = parts.select(*by, "_range", *[c.alias(k) for k, c in whole.items()], *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_above{c}") for c in ("_p", "_n")])
+    met = join_null_safe(rows, handed, [*by, "_range"])
+    return met.withColumns({"tp": F.col("_above_p") + F.sum("p").over(own), "fp": F.col("_above_n") + F.sum("n").over(own)}).drop("_range", "_above_p", "_above_n")
 
 
 def auc_ap(df: DataFrame, by: list[str], label: str = "label", value: str = "prob") -> DataFrame:

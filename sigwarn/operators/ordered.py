@@ -61,13 +61,13 @@ def handed_over(at: np.ndarray, start: int, end: int, span: int) -> np.ndarray:
     """For each number 0..span of positions suppressed at start, how many are still suppressed at end."""
     follow, blocked = _first_free(at, span), np.arange(span + 1)
     i = np.searchsorted(at, start + blocked)
-    last, chain = np.unique(i[i < len(at)], return_inverse=True)
-    following = follow[last]
-    while (goes := following < len(at)).any():  # all chains at once: as many steps as the refractory period fits in
-        last = np.where(goes, following, last)
-        following = follow[last]
     left = np.maximum(0, start + blocked - end)
-    left[i < len(at)] = np.maximum(0, at[last] + span + 1 - end)[chain] if len(at) else 0
+    if len(at):
+        last = np.where(follow < len(at), follow, np.arange(len(at)))
+        while ((far := last[last]) != last).any():  # chains of all candidates at once, twice as far in each step
+            last = far
+        some = i < len(at)
+        left[some] = np.maximum(0, at[last[i[some]]] + span + 1 - end)
     return left
 
 

@@ -14,6 +14,8 @@ from sigwarn.sources.results import stored
 
 #: Rows of a chunk.
 CHUNK_ROWS = 65_536
+#: Tasks of a scan, as a multiple of the session's shuffle partitions.
+SCAN_TASKS = 4
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -73,5 +75,7 @@ def scanned(df: DataFrame, by: list[str], place: str, sums: dict[str, Column] |
     up, down = here.orderBy(place).rowsBetween(Window.unboundedPreceding, 0), here.orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, 0)
     found = {k: F.col(f"_h_{k}") + F.coalesce(F.sum(f"_v_{k}").over(up), F.lit(0)) for k in sums}
     found |= {k: F.coalesce(F.max(f"_v_{k}").over(up), F.col(f"_h_{k}")) for k in last} | {k: F.coalesce(F.min(f"_v_{k}").over(down), F.col(f"_h_{k}")) for k in following}
-    met = join_null_safe(rows, handed, [*by, "_chunk"])
+    # a task sorts its rows both ways and holds both, so there are more tasks than elsewhere
+    tasks = SCAN_TASKS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = join_null_safe(rows, handed, [*by, "_chunk"]).repartition(tasks, *by, "_chunk")
     return met.withColumns(found).drop("_chunk", *[f"{p}{k}" for k in names for p in ("_v_", "_h_")])

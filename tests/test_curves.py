@@ -51,6 +51,12 @@ def test_counts_along_the_grid(spark, chunk):
         assert (r["n_events"], r["events_hit"]) == (len({b for (q, _), b in block.items() if q == s and b is not None}), len(hit))
 
 
+def test_what_a_chunk_is_handed_is_not_on_its_rows(spark):
+    blocked = ordered.blocks(series(spark)[0], ["s"])
+    plan = curves.alarm_counts(blocked, ["s"], [0.2, 0.5], 3, 6, 5, chunk=7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "_right__chunk" not in plan
+
+
 def test_exact_p_of_signed_ranks(spark):
     d = [0.3, -0.1, 0.5, 0.2, 0.0, -0.2, 0.4]
     pairs = spark.createDataFrame([(x, 0.0) for x in d] + [(None, 1.0)], "x double, y double")

@@ -79,6 +79,26 @@ def test_a_chunk_hands_over_in_steps_of_the_refractory_period(monkeypatch):
     assert len(steps) <= 20 * ((1 << 16) // 181 + 1) and time.process_time() - began < 0.6
 
 
+def test_a_chunk_hands_over_as_fast_with_short_refractory_periods():
+    at, took = np.arange(0, 1 << 16, 2), 0.0
+    for span in (0, 1, 20):
+        want = [max(0, free - (1 << 16)) for free in _walked(at, span)]
+        began = time.process_time()
+        for _ in range(10):
+            assert o.handed_over(at, 0, 1 << 16, span).tolist() == want
+        took += time.process_time() - began
+    assert took < 1.0  # in steps of the period: about 9 s
+
+
+def _walked(at, span):
+    at = at.tolist()
+    for blocked in range(span + 1):
+        free = blocked
+        for p in at:
+            free = p + span + 1 if p >= free else free
+        yield free
+
+
 def test_smoothing_pads_with_zeros(spark):
     x = [i * i for i in range(20)]
     got = [r["smoothed"] for r in o.smooth(rows(spark, x, [0] * 20), ["subject_id"]).orderBy("seq").collect()]
@@ -119,3 +139,19 @@ def test_auc_and_ap_count_ties(spark):
     r = m.auc_ap(df, ["subject_id"]).first()
     assert abs(r["auc"] - 0.875) < 1e-12 and abs(r["ap"] - (0.5 + 0.5 * 2 / 3)) < 1e-12
     assert m.auc_ap(df.where(F.col("label") == 1), ["subject_id"]).first()["auc"] is None
+
+
+def test_score_counts_over_ranges_of_scores(spark):
+    rng = random.Random(8)
+    data = [(s, None if k % 31 == 3 else rng.randrange(60) / 60, rng.choice([0, 1, 1, None])) for s in ("a", None, "c") for k in range(300 if s != "c" else 2)]
+    got = m.score_counts(spark.createDataFrame(data, "s string, prob double, label int").repartition(5), ["s"])
+    windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
+    assert windows and all("_range" in x or "prob#" not in x for x in windows)  # none over all scores of a group
+    low = lambda p: -1.0 if p is None else p
+    for r in got.collect():
+        own = [d for d in data if d[0] == r["s"]]
+        count = lambda y, at: sum(d[2] == y and at(low(d[1])) for d in own)
+        p = low(r["prob"])
+        assert (r["p"], r["n"]) == (count(1, lambda x: x == p), count(0, lambda x: x == p))
+        assert (r["tp"], r["fp"], r["all_p"], r["all_n"]) == (count(1, lambda x: x >= p), count(0, lambda x: x >= p), count(1, lambda x: True), count(0, lambda x: True))
+    assert got.count() == len({(s, p) for s, p, _ in data})
