@@ -35,9 +35,10 @@ def score_counts(df: DataFrame, by: list[str], label: str = "label", value: str
     above = series.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy(*by, "_range").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))  # a row per range that the group reaches into
     whole = {"all_p": F.sum("_p").over(series), "all_n": F.sum("_n").over(series)}
-    handed = parts.select(*by, "_range", *[c.alias(k) for k, c in whole.items()], *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_above{c}") for c in ("_p", "_n")])
+    handed = parts.select(*by, "_range", *[c.alias(k) for k, c in whole.items()], *[F.sum(c).over(above).alias(f"_above{c}") for c in ("_p", "_n")])
     met = join_null_safe(rows, handed, [*by, "_range"])
-    return met.withColumns({"tp": F.col("_above_p") + F.sum("p").over(own), "fp": F.col("_above_n") + F.sum("n").over(own)}).drop("_range", "_above_p", "_above_n")
+    total = lambda high, low: F.coalesce(high + low, high, low)
+    return met.withColumns({"tp": total(F.col("_above_p"), F.sum("p").over(own)), "fp": total(F.col("_above_n"), F.sum("n").over(own))}).drop("_range", "_above_p", "_above_n")
 
 
 def auc_ap(df: DataFrame, by: list[str], label: str = "label", value: str = "prob") -> DataFrame:

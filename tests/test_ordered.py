@@ -150,7 +150,8 @@ def test_score_counts_over_ranges_of_scores(spark):
     low = lambda p: -1.0 if p is None else p
     for r in got.collect():
         own = [d for d in data if d[0] == r["s"]]
-        count = lambda y, at: sum(d[2] == y and at(low(d[1])) for d in own)
+        known = lambda at: [d[2] for d in own if d[2] is not None and at(low(d[1]))]
+        count = lambda y, at: known(at).count(y) if known(at) else None
         p = low(r["prob"])
         assert (r["p"], r["n"]) == (count(1, lambda x: x == p), count(0, lambda x: x == p))
         assert (r["tp"], r["fp"], r["all_p"], r["all_n"]) == (count(1, lambda x: x >= p), count(0, lambda x: x >= p), count(1, lambda x: True), count(0, lambda x: True))
