@@ -20,7 +20,7 @@ BANDS = {"delta": (0.5, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30),
 
 
 #: Samples of windows that a helper gets at once, so that its temporary arrays stay small.
-BLOCK_SAMPLES = 1 << 22
+BLOCK_SAMPLES = 1 << 17
 
 
 def windows(df: DataFrame, by: list[str], order: str, value: str, channels: int, length: int, *more: Column) -> DataFrame:

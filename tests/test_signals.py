@@ -1,7 +1,8 @@
 import numpy as np
-
 import pytest
 
+from pyspark.sql import functions as F
+
 from sigwarn import registry
 from sigwarn.operators import autoregression as v
 from sigwarn.operators import signals as s
@@ -170,3 +171,14 @@ def test_best_and_modal_orders(spark):
     best = plans.best_orders(spark.createDataFrame(rows, "subject_id int, label int, p int, aic double, bic double"))
     assert sorted(map(tuple, best.collect())) == [(1, 0, 2, 1), (1, 1, 1, 2), (2, 0, 2, 2), (3, 0, 3, 3)]
     assert sorted(map(tuple, plans.modal_orders(best).collect())) == [(0, 3, 2, 1), (1, 1, 1, 2)]
+
+
+def test_helpers_get_windows_in_blocks_of_bounded_size(spark):
+    n = 2000
+
+    def sizes(x):
+        return np.full((len(x), 1), x.nbytes)
+
+    df = spark.range(n, numPartitions=1).select(F.col("id").alias("win"), F.array_repeat(F.lit(1.0), 192).alias("x"))
+    got = [r["features"][0] for r in s.apply(df, sizes, 3, 64).collect()]
+    assert len(got) == n and max(got) <= 1 << 20
