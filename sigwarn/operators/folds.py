@@ -56,12 +56,16 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
+def _codes(column: pa.Array) -> tuple[np.ndarray, list]:
+    """The place of each row's value among the distinct values, and these, the last one null."""
+    told = column.dictionary_encode()
+    return told.indices.fill_null(len(told.dictionary)).to_numpy(zero_copy_only=False), [*told.dictionary.to_pylist(), None]
+
+
 def _groups(*columns: pa.Array) -> Iterator[tuple[tuple, np.ndarray]]:
     """(values, places) of equal rows of the columns; nulls are equal."""
-    frame = pd.DataFrame({str(k): pd.Series(c.to_pylist(), dtype=object) for k, c in enumerate(columns)})
-    codes = [pd.factorize(frame[c], use_na_sentinel=False) for c in frame]
-    key = np.zeros(len(frame), dtype=np.int64)
-    for code, values in codes:
+    key = np.zeros(len(columns[0]), dtype=np.int64)
+    for code, values in map(_codes, columns):
         key = key * len(values) + code
     order = np.argsort(key, kind="stable")
     for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
@@ -69,6 +73,12 @@ def _groups(*columns: pa.Array) -> Iterator[tuple[tuple, np.ndarray]]:
             yield tuple(c[int(at[0])].as_py() for c in columns), at
 
 
+def _folds_of(column: pa.Array, where: dict) -> np.ndarray:
+    """The fold that holds each row out; -1 for none."""
+    code, values = _codes(column)
+    return np.array([where.get(v, -1) for v in values])[code]
+
+
 def _partial(rows: DataFrame, keys: list[str], statistics: Callable[[pa.RecordBatch], Iterator[tuple[tuple, np.ndarray]]], merge: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(keys, v): each key's statistics of the rows of a task."""
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
@@ -202,8 +212,15 @@ def _inputs(x: np.ndarray, pool: _Pool) -> np.ndarray:
     return np.concatenate([np.ones((len(x), 1)), (x - pool.mean) / pool.std], axis=1)
 
 
+def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Losses and probabilities of margins, from one exponential each."""
+    e = np.exp(-np.abs(m))
+    return np.log1p(e) + np.maximum(np.where(y == 1, -m, m), 0), np.where(m >= 0, 1.0, e) / (1 + e)
+
+
 def _sigmoid(m: np.ndarray) -> np.ndarray:
-    return np.exp(-np.logaddexp(0, -m))
+    e = np.exp(-np.abs(m))
+    return np.where(m >= 0, 1.0, e) / (1 + e)
 
 
 def _place(parts: list) -> dict:
@@ -215,16 +232,15 @@ def _gradients(rows: DataFrame, pools: dict, coef: dict) -> dict:
 
     def statistics(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
         x, y = _matrix(batch), (batch.column("label").to_numpy(zero_copy_only=False) == 1).astype(int)
-        part = batch.column("part").to_pylist()
         for (name,), at in _groups(batch.column("pool")):
             if name in pools:
                 pool, where = pools[name], _place(pools[name].parts)
-                z, own = _inputs(x[at], pool), np.array([where.get(part[k], -1) for k in at])
+                z, own = _inputs(x[at], pool), _folds_of(batch.column("part"), where)[at]
                 margin = z @ coef[name].T
                 weight = pool.weights[:, y[at]].T.copy()
                 weight[np.flatnonzero(own >= 0), own[own >= 0]] = 0
-                loss = (weight * np.logaddexp(0, np.where(y[at][:, None] == 1, -margin, margin))).sum(axis=0)
-                gradient = (weight * (_sigmoid(margin) - y[at][:, None])).T @ z
+                loss, p = _logistic(margin, y[at][:, None])
+                loss, gradient = (weight * loss).sum(axis=0), (weight * (p - y[at][:, None])).T @ z
                 yield (name,), np.concatenate([loss[:, None], gradient], axis=1).ravel()
 
     partial = _partial(rows, ["pool"], statistics, _sum)
@@ -255,11 +271,10 @@ def _own_curvatures(rows: DataFrame, pools: dict, coef: dict) -> DataFrame:
 
     def statistics(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
         x, y = _matrix(batch), (batch.column("label").to_numpy(zero_copy_only=False) == 1).astype(int)
-        part = batch.column("part").to_pylist()
         for (name,), at in _groups(batch.column("pool")):
             if name in pools:
                 pool, where = pools[name], _place(pools[name].parts)
-                z, own = _inputs(x[at], pool), np.array([where.get(part[k], -1) for k in at])
+                z, own = _inputs(x[at], pool), _folds_of(batch.column("part"), where)[at]
                 p = _sigmoid(z @ coef[name].T)
                 for k in range(len(pool.parts)):
                     weight = np.where(own == k, 0.0, pool.weights[k, y[at]] * p[:, k] * (1 - p[:, k]))

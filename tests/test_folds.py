@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sigwarn.operators import folds as f
@@ -91,3 +92,13 @@ def test_constant_features_separable_classes_and_useless_folds(spark):
     assert set(tested.pools) == {"a", "small"}
     nothing = f.fit_logistic(df.limit(0))
     assert not nothing.pools and f.score(df, nothing).count() == 0 and f.fold_scalers(df.limit(0)).count() == 0
+
+
+def test_losses_probabilities_and_folds_of_rows():
+    m = np.array([[-800.0, -3.0, 0.0], [800.0, 2.0, -0.5]])
+    y = np.array([[1], [0]])
+    loss, p = f._logistic(m, y)
+    assert np.allclose(loss, np.logaddexp(0, np.where(y == 1, -m, m))) and np.allclose(p, np.exp(-np.logaddexp(0, -m)))
+    assert f._folds_of(pa.array([7, None, 3, 9, 7]), {7: 1, 3: 2}).tolist() == [1, -1, 2, -1, 1]
+    groups = {k: at.tolist() for k, at in f._groups(pa.array(["a", "b", "a", None]), pa.array([1, None, 1, None]))}
+    assert groups == {("a", 1): [0, 2], ("b", None): [1], (None, None): [3]}
