@@ -13,7 +13,7 @@ from sigwarn.operators import ordered as o
 from sigwarn.plans.evaluation import K, M, REFRACTORY, THRESHOLD, alarm_sql
 from sigwarn.plans.series import LEVEL, level
 from sigwarn.registry import query
-from sigwarn.sources.results import fresh_path
+from sigwarn.sources.results import fresh_path, stored
 from sigwarn.sources.tables import SUBJECTS, read
 from sigwarn.streaming import online
 
@@ -87,7 +87,7 @@ SPREAD_DAYS, BUFFER_HOURS = 5, 60
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = level(spark, sf_dir).select("subject_id", "seq", "t_us", F.timestamp_micros("t_us").alias("ts"), "prob")
+    rows = stored(level(spark, sf_dir).select("subject_id", "seq", "t_us", F.timestamp_micros("t_us").alias("ts"), "prob"), "scores")  # each batch reads it
     first = rows.agg(F.min("t_us")).first()[0]
     moved = F.col("t_us") - first + F.when(F.col("seq") % 3 == 0, 86_400_000_000).otherwise(0)
     batch = F.least(F.floor(moved / (SPREAD_DAYS * 86_400_000_000)), F.lit(BATCHES)).cast("int")

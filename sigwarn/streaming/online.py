@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sigwarn.operators.metrics import confusion
+from sigwarn.operators.ordered import fire
 
 
 def within_lateness(samples: DataFrame, key: list[str], ts: str, late: str) -> DataFrame:
@@ -56,26 +58,33 @@ def online_alarms(scores: DataFrame, subject: str, ts: str, threshold: float, k:
         mark = state.getCurrentWatermarkMs()
         due = arrived["a"] < mark * 1000
         now, wait = arrived[due], arrived[~due]
-        flags, out = [int(c) for c in text], []
-        for us, hit in zip(now["a"].tolist(), (now["v"] >= threshold).astype(int), strict=True):
-            if silent and last >= 0 and us - last > silent * 1000:
-                flags, left = [], 0
-            last = us
-            flags = [*flags, hit][-m:]
-            fires = left == 0 and sum(flags) >= k
-            left = refractory if fires else max(0, left - 1)
-            out.append(int(fires))
+        us, hits = now["a"].to_numpy(), (now["v"] >= threshold).to_numpy().astype(np.int64)
+        flags, out = np.array([int(c) for c in text], dtype=np.int64), np.zeros(len(now), dtype=np.int32)
+        since = np.diff(us, prepend=last if last >= 0 else us[:1])
+        anew = np.flatnonzero(since > silent * 1000).tolist() if silent else []
+        for begin, end in zip([0, *anew], [*anew, len(now)], strict=True):
+            if begin in anew:
+                flags, left = flags[:0], 0
+            if end > begin:
+                seen = np.concatenate([np.zeros(m, dtype=np.int64), flags, hits[begin:end]])
+                total = np.cumsum(seen)[-(end - begin) - m :]
+                at = np.flatnonzero(total[m:] - total[:-m] >= k)
+                at = at[fire(at, 0, left, refractory)]
+                out[begin + at] = 1
+                left = max(0, (int(at[-1]) + refractory + 1 if len(at) else left) - (end - begin))
+                flags = seen[m:][-m:]
+        last = int(us[-1]) if len(us) else last
         upto = max(upto, mark * 1000 - 1)
         if state.hasTimedOut and wait.empty and now.empty:
             state.remove()
         else:
-            state.update((wait["a"].tolist(), wait["p"].tolist(), wait["v"].tolist(), "".join(map(str, flags[-(m - 1) :] if m > 1 else [])), left, upto, last))
+            state.update((wait["a"].tolist(), wait["p"].tolist(), wait["v"].tolist(), "".join(map(str, flags[-(m - 1) :].tolist() if m > 1 else [])), left, upto, last))
             if not wait.empty:
                 state.setTimeoutTimestamp(max(mark, int(wait["a"].iloc[0]) // 1000))
             elif silent:
                 state.setTimeoutTimestamp(max(mark, last // 1000 + silent))
         if len(now):
-            yield pd.DataFrame({subject: pd.Series([key[0]] * len(now), dtype=object), ts: pd.to_datetime(now["a"].to_numpy(), unit="us"), order: now["p"].to_numpy(), "alarm": pd.Series(out, dtype="int32")})
+            yield pd.DataFrame({subject: pd.Series([key[0]] * len(now), dtype=object), ts: pd.to_datetime(now["a"].to_numpy(), unit="us"), order: now["p"].to_numpy(), "alarm": out})
 
     held = "at array<long>, place array<long>, score array<double>, flags string, suppressed int, upto long, last long"
     return rows.groupBy(subject).applyInPandasWithState(run, f"`{subject}` {types[subject]}, `{ts}` timestamp, `{order}` long, alarm int", held, "append", GroupStateTimeout.EventTimeTimeout)

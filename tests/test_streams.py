@@ -58,3 +58,13 @@ def test_a_silent_subject_begins_anew(spark):
     for idle, alarm in ((None, 1), ("100 seconds", 0)):
         out = plans.to_end(online.online_alarms(plans.arriving(df, "idle", F.col("b"), 6), "who", "ts", 0.5, 3, 3, 2, late="10 seconds", idle=idle), "alarms")
         assert {r["seq"]: r["alarm"] for r in out.where("who = 'a'").collect()} == {0: 0, 1: 0, 1001: alarm}
+
+
+def test_batches_of_scores_read_a_stored_table(spark, monkeypatch):
+    sources = []
+    monkeypatch.setattr(plans, "arriving", lambda df, name, batch, batches: sources.append(df) or df)
+    monkeypatch.setattr(plans, "to_end", lambda df, name: df)
+    monkeypatch.setattr(plans.online, "online_alarms", lambda df, *a, **k: df)
+    plans.streamed(spark, "/root/testdata/sf0.001")
+    plan = sources[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
