@@ -80,9 +80,9 @@ def alarms(df: DataFrame, by: list[str], threshold: Column | float = 0.5, k: int
     start; these short tables are composed per series; then every chunk fires on its own.
     """
     df, n, extra = placed(df, by, order, place)
-    voted = votes(df, by, threshold, k, m, order, value, n)
-    voted = voted if n == "_n" else voted.withColumn("_n", F.col(n).cast("long"))
-    candidates = voted.where("vote").select(*by, "_n", F.floor(F.col("_n") / chunk).cast("long").alias("_chunk"))
+    df = df if n == "_n" else df.withColumn("_n", F.col(n).cast("long"))
+    # two steps follow from the candidates, and rows only meet the alarms: votes are counted once
+    candidates = stored(votes(df, by, threshold, k, m, order, value, n).where("vote").select(*by, "_n", F.floor(F.col("_n") / chunk).cast("long").alias("_chunk")), "candidates")
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     keys = ", ".join(f"`{b}` {types[b]}" for b in by)
 
@@ -109,7 +109,7 @@ def alarms(df: DataFrame, by: list[str], threshold: Column | float = 0.5, k: int
     entry = over.groupBy(*by).applyInPandas(compose, f"{keys}, _chunk long, _blocked long")
     entered = join_null_safe(candidates, entry, [*by, "_chunk"])
     fired = entered.groupBy(*by, "_chunk").applyInPandas(follow, f"{keys}, _n long")
-    return join_null_safe(voted, fired.withColumn("_fired", F.lit(1)), [*by, "_n"], "left").withColumn("alarm", F.coalesce("_fired", F.lit(0))).drop("_n", "_fired", "vote", *extra)
+    return join_null_safe(df, fired.withColumn("_fired", F.lit(1)), [*by, "_n"], "left").withColumn("alarm", F.coalesce("_fired", F.lit(0))).drop("_n", "_fired", *extra)
 
 
 def blocks(df: DataFrame, by: list[str], order: str = "seq", label: str = "label", place: str | None = None) -> DataFrame:

@@ -72,12 +72,13 @@ sx AS (SELECT sm.*, th.threshold FROM sm JOIN th USING (model, subject_id)), {al
 @query(f"WITH RECURSIVE {CALIBRATED}, {EVENTS}, lev AS ({ALARM_LEVEL}), ex AS (SELECT model, subject_id, {EVENT_COLUMNS} FROM ev), wn AS (SELECT model, subject_id, count(*) FILTER (label = 1 AND prob >= youden) AS w_tp, count(*) FILTER (label = 0 AND prob >= youden) AS w_fp, count(*) FILTER (label = 1) AS w_n1, count(*) FILTER (label = 0) AS w_n0 FROM scored JOIN rw USING (model, subject_id) GROUP BY ALL) SELECT lev.model, lev.subject_id, round(th.threshold, 6) AS threshold, lev.sensitivity, lev.specificity, lev.precision, lev.f1, lev.fpr_h, ex.n_events, ex.events_hit, ex.event_sensitivity, round(rw.youden, 6) AS window_threshold, round(CASE WHEN w_n1 > 0 THEN w_tp::DOUBLE / w_n1 ELSE 0 END, 6) AS window_sensitivity, round(CASE WHEN w_n0 > 0 THEN w_fp / (w_n0 * {STEP} / 3600.0::DOUBLE) END, 6) AS window_fpr_h FROM lev JOIN ex USING (model, subject_id) JOIN th USING (model, subject_id) JOIN rw USING (model, subject_id) JOIN wn USING (model, subject_id)")
 def f8_calibrated_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothing, the operating threshold of the smoothed scores and its alarms, beside raw scores at Youden's threshold."""
-    raw = scored(spark, sf_dir)
-    smooth = stored(o.smooth(raw, BY, place="seq").drop("prob").withColumnRenamed("smoothed", "prob"), "smoothed")
-    alarmed = stored(o.alarms(smooth.join(thresholds(smooth), BY), BY, F.col("threshold"), K, M, REFRACTORY, place="seq"), "alarms")
-    flagged = stored(o.blocks(alarmed, BY, place="seq"), "flagged")
+    both = stored(o.smooth(scored(spark, sf_dir), BY, place="seq").select(*BY, "seq", "label", "prob", "smoothed"), "smoothed")
+    raw, smooth = both.drop("smoothed"), both.drop("prob").withColumnRenamed("smoothed", "prob")
+    chosen = stored(thresholds(smooth), "thresholds")
+    alarmed = o.alarms(smooth.join(F.broadcast(chosen), BY), BY, F.col("threshold"), K, M, REFRACTORY, place="seq")  # a row per series
+    alarmed = stored(alarmed.select(*BY, "seq", "label", "alarm"), "alarms")
+    flagged = stored(o.blocks(alarmed, BY, place="seq").select(*BY, "label", "alarm", "block"), "flagged")
     level, events = m.confusion(flagged, BY, F.col("alarm") == 1), m.event_level(flagged, BY, STEP)
-    chosen = flagged.groupBy(*BY).agg(F.first("threshold").alias("threshold"))
     y = m.youden(m.roc_points(raw, BY), BY).select(*BY, F.col("threshold").alias("_y"))
     at = raw.join(y, BY, "left").withColumn("window_threshold", F.least(F.greatest(F.coalesce("_y", F.lit(0.95)), F.lit(0.05)), F.lit(0.95)))
     windows = m.confusion(at, [*BY, "window_threshold"], F.col("prob") >= F.col("window_threshold"))

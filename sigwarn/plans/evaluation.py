@@ -235,8 +235,9 @@ def f4_operating_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def thresholds(s: DataFrame) -> DataFrame:
     """Operating threshold of each group at window level, else Youden's, clipped to [0.05, 0.95]."""
-    found = m.operating_threshold(m.grid_rates(s, BY, STEP), BY, TARGET)
-    y = m.youden(m.roc_points(s, BY), BY).select(*BY, F.col("threshold").alias("fallback"))
+    found = stored(m.operating_threshold(m.grid_rates(s, BY, STEP), BY, TARGET), "fits")
+    unfit = F.broadcast(found.where("threshold is null").select(*BY))  # a row per group at most
+    y = m.youden(m.roc_points(s.join(unfit, BY, "left_semi"), BY), BY).select(*BY, F.col("threshold").alias("fallback"))
     clipped = F.least(F.greatest(F.coalesce("fallback", F.lit(0.95)), F.lit(0.05)), F.lit(0.95))
     return found.join(y, BY, "left").select(*BY, F.coalesce("threshold", clipped).alias("threshold"))
 
